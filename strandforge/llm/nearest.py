@@ -9,7 +9,9 @@ partitions with lookup tables and reranks the best exactly, in double precision.
 The index is fitted on a bounded sample (SAMPLE rows, by hash of the id), also used to measure how
 many partitions must be probed for TARGET_RECALL; every row is indexed. Equal vectors are one
 entry that keeps the k + 1 smallest ids, all that any result can name. Partitions and their queries
-are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most.
+are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most. The
+sample also gives each query a score that its last result should reach; only the first blocks of a
+query return what is below it.
 
 Defined results: null, zero, or non-finite vectors, vectors of another length than the most common
 one (the shorter on ties) and rows without an id take no part; repeated rows count as one; an empty
@@ -44,6 +46,7 @@ class Index:
     books: np.ndarray  # subspaces x 16 x 2
     eta: float
     probes: int
+    sample: np.ndarray  # SAMPLE x d at most
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -128,7 +131,17 @@ def fit(x: np.ndarray, rows: int, k: int, recall: float = TARGET_RECALL, seed: i
         rank = np.argsort(np.argsort(-(x[probe] @ centroids.T), axis=1), axis=1)
         depth = np.sort(np.take_along_axis(rank, near[top], axis=1).ravel())
         probes = min(cells, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1)
-    return Index(centroids, books, eta, probes)
+    return Index(centroids, books, eta, probes, x)
+
+
+def floors(q: np.ndarray, sample: np.ndarray, k: int, step: int = 256) -> np.ndarray:
+    """For each query, a score that k other vectors reach: its (k + 1)-th best in the sample, of
+    which one may be the query itself (a little less, for rounding)."""
+    if len(sample) <= k:
+        return np.full(len(q), -np.inf)
+    parts = [np.partition(-(q[i : i + step] @ sample.T), k, axis=1)[:, k] for i in range(0, len(q), step)]
+    best = -np.concatenate(parts) if parts else np.zeros(0)
+    return best - 1e-9 * np.maximum(1.0, np.abs(best))
 
 
 def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, centroid: np.ndarray, books: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,23 +213,30 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
         for b in batches:
             if b.num_rows:
                 q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype("<f8")
-                cells = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
-                n = cells.shape[1]
+                order = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
+                # the first cells that hold k + 1 entries give their best whatever the score, so no query comes back short
+                sure = np.cumsum(held[order], axis=1) - held[order] < k + 1
+                taken = sure | (np.arange(order.shape[1]) < ix.probes)
+                row, rank = np.nonzero(taken)
+                least = np.where(sure[row, rank], -np.inf, floors(q, ix.sample, k)[row])
+                raw = [r.tobytes() for r in q]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel(), pa.int32()), pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), pa.array([r.tobytes() for r in q for _ in range(n)], pa.binary())],
-                    names=["cell", "query_id", "q"],
+                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary()), pa.array(least, pa.float64())],
+                    names=["cell", "query_id", "q", "least"],
                 )
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     stored = materialize(entries.select("v", "ids").mapInArrow(coded, "cell int, ids array<long>, x binary, code binary"), "codes")
+    counts = {"x": dict(stored.groupBy("cell").count().collect())}  # a row for each cell
+    held = np.array([counts["x"].get(c, 0) for c in range(len(index.centroids))])
     asked = base.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v")
-    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary"), "probes")
+    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary, least double"), "probes")
 
-    cells = len(index.centroids)
-    blocks = {}
-    for name, df, most in (("x", stored, CELL_ROWS), ("q", asked, QUERY_ROWS)):
-        counts = dict(df.groupBy("cell").count().collect())  # a row for each cell
-        blocks[name] = F.element_at(F.array(*[F.lit(-(-counts.get(c, 1) // most)) for c in range(cells)]), F.col("cell") + 1)
+    counts["q"] = dict(asked.groupBy("cell").count().collect())
+    blocks = {
+        name: F.element_at(F.array(*[F.lit(-(-counts[name].get(c, 1) // most)) for c in range(len(index.centroids))]), F.col("cell") + 1)
+        for name, most in (("x", CELL_ROWS), ("q", QUERY_ROWS))
+    }
     last = lambda b: F.sequence(F.lit(0), b - 1)
     x = stored.withColumn("xb", F.pmod(F.xxhash64(F.col("ids")[0]), blocks["x"]).cast("int")).withColumn("qb", F.explode(last(blocks["q"])))
     q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), blocks["q"]).cast("int")).withColumn("xb", F.explode(last(blocks["x"])))
@@ -228,10 +248,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(len(xs), -1)
             names = right.column("ids").to_pylist()
             where, exact = search_block(qs, xs, codes, ix.centroids[key[0].as_py()], ix.books, RERANK * (k + 1))
-            for own, at, s in zip(left.column("query_id").to_pylist(), where, exact, strict=True):
+            for own, least, at, s in zip(left.column("query_id").to_pylist(), left.column("least").to_pylist(), where, exact, strict=True):
                 got, floor = [], -np.inf
                 for j in np.argsort(-s, kind="stable").tolist():
-                    if len(got) >= k and s[j] < floor:
+                    if s[j] < least or len(got) >= k and s[j] < floor:
                         break
                     got += [(-s[j], i) for i in names[at[j]] if i != own]
                     floor = s[j]
