@@ -413,6 +413,27 @@ def test_html_regions(spark):
     assert ht.extract("<article><p>a &lt; b < c</p><p>cut <b") == "a < b < c\ncut"
 
 
+def test_html_regions_by_class_and_density():
+    body = "<p>%s</p><p>Short end.</p>" % ("Long running text. " * 15)
+    text = ("Long running text. " * 15).strip() + "\nShort end."
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(20)) + "</ul>"
+    assert ht.extract(f"<body><div class='page with-sidebar'><div>{links}</div><div id=c>{body}</div></div></body>") == text
+    assert ht.extract(f"<body><div class='page has-sidebar'><main>{body}</main><div class=sidebar><article class=teaser>x</article></div></div></body>") == text
+    assert ht.extract(f"<body><main><div class='breadcrumbs'>a b</div><article>{body}</article><div class=comments><article class=comment><p>no</p></article></div></main></body>") == text
+    assert ht.extract(f"<body><h1>Title</h1>{body}{links}<div class=related-posts>r</div></body>") == "Title\n" + text
+    assert ht.extract(f"<body><div role=main>{body}</div><div role=complementary>{body}</div></body>") == text
+    assert ht.extract(f"<body><article><div style='display: none'>h</div><div hidden>h</div>{body}<aside>q</aside><dl><dt>a<dd>b</dl><table><tr><td>1<td>2<tr><td>3</table></article>") == text + "\na\nb\n1\n2\n3"
+
+
+def test_template_text_goes_and_copies_stay():
+    page = "<body><div><p>Share this page with friends</p><p>%s</p></div></body>"
+    texts = ["first text of its own, long enough", "second text of its own, long enough"]
+    w = ht.align(ht.skeleton(ht.parse(page % texts[0])), ht.skeleton(ht.parse(page % texts[1])))
+    assert ht.extract(page % texts[0], w) == texts[0]
+    same = ht.skeleton(ht.parse(page % texts[0]))
+    assert ht.extract(page % texts[0], ht.align(same, same)) == "Share this page with friends\n" + texts[0]
+
+
 def test_wrapper_inference(spark):
     page = lambda n, extra="": f"<html><body><div class=x><p>Share this</p>{extra}<p>{'t' + str(n)}</p>" + "".join(f"<li>i{n}{k}</li>" for k in range(n)) + "</div></body></html>"
     a = ht.skeleton(ht.parse(page(1)))
