@@ -72,11 +72,13 @@ def total_rows(aligned: DataFrame) -> DataFrame:
 
 
 def work_items(aligned: DataFrame, rows: int) -> DataFrame:
-    """ref_name, item, first_row, last_row: row ranges of at most ``rows`` rows, none across references."""
+    """order_idx, ref_name, item, first_row, last_row: row ranges of at most ``rows`` rows, none across
+    references, numbered densely in row order (a row for each range, not for each alignment)."""
     b = boundaries(aligned)
     item = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last_row") - F.col("first_row")) / rows).cast("long")))
     b = b.select("ref_name", F.col("first_row").alias("_f"), F.col("last_row").alias("_l"), item.alias("item"))
-    return b.select("ref_name", "item", (F.col("_f") + F.col("item") * rows).alias("first_row"), F.least(F.col("_f") + (F.col("item") + 1) * rows - 1, F.col("_l")).alias("last_row"))
+    nth = (F.row_number().over(Window.orderBy("_f", "item")) - 1).cast("long")
+    return b.select(nth.alias("order_idx"), "ref_name", "item", (F.col("_f") + F.col("item") * rows).alias("first_row"), F.least(F.col("_f") + (F.col("item") + 1) * rows - 1, F.col("_l")).alias("last_row"))
 
 
 def placements(aligned: DataFrame, references: DataFrame, name: str | None = None, start: int = 0, length: int | None = None, min_mapq: int = 0, window: int = 5000) -> DataFrame:

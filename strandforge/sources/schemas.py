@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-ALIGNED_COLUMNS = StructType.fromDDL(
-    "align_id bigint, sam_flags int, cigar_short string, cigar_long string, mate_align_id bigint, mate_ref_name string, mate_ref_pos int, "
-    "template_len int, read string, quality string, edit_distance bigint, spot_group string, seq_name string, alignment_count int, "
-    "read_filter int, ref_pos int, mapq int, ref_name string"
-)
-SEQUENCE_COLUMNS = StructType.fromDDL(
-    "row_id bigint, name string, spot_group string, read string, quality array<int>, read_start array<int>, read_len array<bigint>, "
-    "read_type array<int>, read_filter array<int>, primary_alignment_id array<bigint>"
-)
-REFERENCE_COLUMNS = StructType.fromDDL("ref_idx int, name string, seq_id string, seq_length bigint")
-DEPENDENCY_COLUMNS = StructType.fromDDL("accession string, seq_id string, local boolean")
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
+
+INT, LONG, TEXT, BOOL = IntegerType(), LongType(), StringType(), BooleanType()
+INTS, LONGS = ArrayType(INT), ArrayType(LONG)
+
+
+def _schema(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+ALIGNED_COLUMNS = _schema(
+    align_id=LONG, sam_flags=INT, cigar_short=TEXT, cigar_long=TEXT, mate_align_id=LONG, mate_ref_name=TEXT, mate_ref_pos=INT, template_len=INT, read=TEXT, quality=TEXT,
+    edit_distance=LONG, spot_group=TEXT, seq_name=TEXT, alignment_count=INT, read_filter=INT, ref_pos=INT, mapq=INT, ref_name=TEXT,
+)
+SEQUENCE_COLUMNS = _schema(
+    row_id=LONG, name=TEXT, spot_group=TEXT, read=TEXT, quality=INTS, read_start=INTS, read_len=LONGS, read_type=INTS, read_filter=INTS, primary_alignment_id=LONGS,
+)
+REFERENCE_COLUMNS = _schema(ref_idx=INT, name=TEXT, seq_id=TEXT, seq_length=LONG)
+DEPENDENCY_COLUMNS = _schema(accession=TEXT, seq_id=TEXT, local=BOOL)
 
 #: Columns that a table may lack, with the value that then stands for them.
 OPTIONAL = {"alignment_count": 0, "read_filter": None}
