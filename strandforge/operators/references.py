@@ -88,7 +88,7 @@ def placements(aligned: DataFrame, references: DataFrame, name: str | None = Non
     hit = aligned.where((F.col("mapq") >= min_mapq) & (F.col("ref_pos") >= start))
     if length is not None:
         hit = hit.where(F.col("ref_pos") < start + length)
-    hit = hit.drop("ref_idx").join(F.broadcast(refs.select("ref_idx", F.col("name").alias("_n"))), F.col("ref_name") == F.col("_n"))
+    hit = hit.drop("ref_idx").join(refs.select("ref_idx", F.col("name").alias("_n")), F.col("ref_name") == F.col("_n"))
     return hit.select("ref_idx", F.floor(F.col("ref_pos") / window).cast("long").alias("window_no"), F.col("ref_pos").alias("pos"), "align_id", "mapq", "spot_group")
 
 

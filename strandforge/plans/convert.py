@@ -84,7 +84,8 @@ def aligned_rows(archive: Archive, table: str, o: Options) -> DataFrame:
         scope = ("ref_name",)
     rows = with_cached_mates(rows, scope)
     named = refs.select(F.col("name").alias("_name"), "ref_idx", F.col("seq_id" if o.seqid else "name").alias("rname"))
-    rows = rows.join(F.broadcast(named), F.col("ref_name") == F.col("_name"), "left").drop("_name")  # one row a reference
+    # no hint: references are few for most archives, and then Spark broadcasts them by their size
+    rows = rows.join(named, F.col("ref_name") == F.col("_name"), "left").drop("_name")
     rows = rows.withColumn("rname", F.coalesce("rname", "ref_name"))
     rows = rows.withColumn("sam_flags", without_lost_mate(F.col("sam_flags"), F.col("mate_align_id")))
     return rows.withColumn("group_no", F.col("region_no").cast("long") if o.regions else F.coalesce("ref_idx", F.lit(-1)).cast("long"))
@@ -92,7 +93,7 @@ def aligned_rows(archive: Archive, table: str, o: Options) -> DataFrame:
 
 def with_bam_ids(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """ref_id from the reference list, mate_ref_id from the header's dictionary (ref_id, name)."""
-    ids = F.broadcast(dictionary.select(F.col("ref_id").alias("mate_ref_id"), F.col("name").alias("_mate_name")))
+    ids = dictionary.select(F.col("ref_id").alias("mate_ref_id"), F.col("name").alias("_mate_name"))
     rows = rows.withColumn("ref_id", F.coalesce("ref_idx", F.lit(-1)))
     return rows.join(ids, F.col("mate_ref_name") == F.col("_mate_name"), "left").drop("_mate_name")
 

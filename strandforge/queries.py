@@ -345,8 +345,7 @@ def sq_dictionary(a):
 @query
 def ref_name_to_id(a):
     d = references.sequence_dictionary(references.header_lines(a.references()))
-    ids = F.broadcast(d.select("ref_id", "name"))
-    r = a.aligned().join(ids, c("mate_ref_name") == c("name"), "left")
+    r = a.aligned().join(d.select("ref_id", "name"), c("mate_ref_name") == c("name"), "left")
     return r.select("align_id", F.coalesce("ref_id", F.lit(-1)).alias("mate_ref_id"))
 
 

@@ -43,7 +43,7 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     before = F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
     shifts = counts.select(F.col(group).alias("_g"), F.coalesce(before, F.lit(0)).alias("_shift"))
     inside = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.join(F.broadcast(shifts), F.col(group) == F.col("_g")).withColumn(name, inside.cast("long") + F.col("_shift")).drop("_g", "_shift")
+    return df.join(shifts, F.col(group) == F.col("_g")).withColumn(name, inside.cast("long") + F.col("_shift")).drop("_g", "_shift")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
