@@ -21,9 +21,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import change_rows, map_rows
+from strandforge.llm.common import change_rows, discard, map_rows, materialize
 
-#: Labelled rows to learn from, at most, and the longest total of their texts in bytes.
+#: Labelled ids to learn from, at most, and the largest total of their texts in bytes; the driver gets no more.
 MAX_TRAIN = 4_000
 MAX_TRAIN_BYTES = 64 << 20
 DICT_BYTES = 110_000
@@ -112,20 +112,24 @@ def score_texts(model: Model, texts: list[str | None], compressors: tuple | None
     return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Learns from at most max_train labelled rows outside the held-out fold, taken in the order of a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Learns from at most max_train labelled ids outside the held-out fold, taken in the order of a hash
+    of their id, as long as their texts stay within max_bytes; of several texts of an id the smallest counts."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("q")).where(F.col("q").isNotNull() & (fold(F.col("id")) != 0))
     known = known.groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("q"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_train)  # so few that they can be broadcast
     found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    rows = sorted(found.select("id", "text", "q").collect(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[1] or ""))
-    kept, held = [], 0
-    for r in rows:
-        held += len(r[1] or "")
-        if held > MAX_TRAIN_BYTES:
+    found = materialize(found.groupBy("id", "q").agg(F.min("text").alias("text")), "quality-train")  # one text an id
+    sizes = found.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).collect()
+    fits, held = [], 0
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"])):
+        held += r["bytes"]
+        if held > max_bytes:
             break
-        kept.append(tuple(r))
-    return fit(kept)
+        fits.append(r["id"])
+    rows = found.where(F.col("id").isin(fits)).select("id", "text", "q").collect() if fits else []
+    discard(found)
+    return fit([tuple(r) for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"]))])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
