@@ -9,8 +9,8 @@ times. Blocks and slots are joined by index.
 
 Only sizes (not texts) are kept between the steps. Positions come from hashed buckets of a source
 with bounded size, whose block counts are summed in two levels, so that no source, however large,
-is ordered by one task. What the driver holds grows with sources x shards (at most MAX_SHARDS
-shards), not with documents.
+is ordered by one task. What the driver holds grows with sources x shards (at most
+MAX_SHARDS shards and MAX_DRAWN counts, or one for each source), not with documents.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its own,
 last in order; repeated rows are packed each; equal runs give equal results; an empty table gives
@@ -33,6 +33,8 @@ BLOCK_WORDS = 64
 BUCKET_WORDS = 1 << 16
 SHARD_SLOTS = 4096
 MAX_SHARDS = 10_000
+#: Source counts of all shards that the driver draws, at most; with more sources shards get larger.
+MAX_DRAWN = 500_000
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 20_240_229
@@ -141,7 +143,8 @@ def slots(sources: DataFrame, max_repeat: int = MAX_REPEAT, shard_slots: int = S
     spark = sources.sparkSession
     s = sources.select("source_no", "blocks", "source_size", "target").orderBy("source_no").toPandas()  # a row per source
     totals = slot_totals(s["blocks"].to_numpy(float), s["source_size"].to_numpy(float), s["target"].to_numpy(float), max_repeat)
-    shard_slots = max(shard_slots, math.ceil(int(totals.sum()) / max_shards))
+    shards = max(1, min(max_shards, MAX_DRAWN // max(1, len(s))))
+    shard_slots = max(shard_slots, math.ceil(int(totals.sum()) / shards))
     rows, given = [], np.zeros(len(totals), dtype=np.int64)
     for shard, counts in enumerate(draw_counts(totals, shard_slots, seed)):
         first = np.cumsum(counts) - counts
