@@ -396,6 +396,21 @@ def test_quality_odd_rows(spark):
     assert qual.score(frame(spark, []), qual.fit([])).count() == 0
 
 
+def test_quality_learns_from_bounded_rows(spark):
+    rows = [(1, f"text {i % 3}", "en", "a", 1) for i in range(300)] + [(4, "b" * 50, "en", "a", 1), (7, None, "en", "a", 1)]
+    labels = spark.createDataFrame([(1, 1), (4, 0), (7, 0)], "doc_id long, quality int")
+    seen = []
+    fit, qual.fit = qual.fit, lambda rows: seen.append(sorted(rows)) or fit(rows)
+    try:
+        qual.train(frame(spark, rows), labels)
+        qual.train(frame(spark, rows), labels, max_bytes=20)
+        qual.train(frame(spark, rows), labels, max_bytes=-1)
+    finally:
+        qual.fit = fit
+    keep = [r for r in [(1, "text 0", 1), (4, "b" * 50, 0), (7, None, 0)] if zlib.crc32(str(r[0]).encode()) % 5]
+    assert seen[0] == keep and set(seen[1]) < set(keep) and seen[2] == []
+
+
 # --- 8
 
 
@@ -425,6 +440,15 @@ def test_html_regions_by_class_and_density():
     assert ht.extract(f"<body><article><div style='display: none'>h</div><div hidden>h</div>{body}<aside>q</aside><dl><dt>a<dd>b</dl><table><tr><td>1<td>2<tr><td>3</table></article>") == text + "\na\nb\n1\n2\n3"
 
 
+def test_html_of_any_depth():
+    n = 5000
+    deep = "<article>" + "<div>a" * n + "<nav><ul><li>menu</ul></nav>t" + "</div>" * n + "<p>end</p></article><p>out"
+    assert ht.extract(deep) == "\n".join(["a"] * n + ["t", "end"])
+    assert ht.extract("<body>" + "<b>x" * n + "</body>") == "x" * n
+    a, b = (ht.skeleton(ht.parse(x)) for x in ("<div>" * n + "x", "<div><p>q</p>" * n + "y"))
+    assert ht.extract("<div>" * n + "x", ht.align(a, b)) == "x" and ht.as_regex(ht.align(b, a))
+
+
 def test_template_text_goes_and_copies_stay():
     page = "<body><div><p>Share this page with friends</p><p>%s</p></div></body>"
     texts = ["first text of its own, long enough", "second text of its own, long enough"]
