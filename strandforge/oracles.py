@@ -192,9 +192,9 @@ ORACLES: dict[str, str] = {
     "sam_omit_quality": _with(f"SELECT align_id, {_sam(qual=chr(39) + '*' + chr(39))} AS line FROM m", *_mated("aligned", "mapq >= 40")),
     "fasta_aligned": _with("SELECT align_id, '>'||seq_name||chr(10)||read AS record FROM aligned"),
     "fastq_aligned": _with("SELECT align_id, '@'||seq_name||chr(10)||read||chr(10)||'+'||chr(10)||CASE WHEN quality='' THEN '*' ELSE quality END AS record FROM aligned"),
-    "primary_secondary_union": _with("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id FROM aligned WHERE mapq>=50 UNION ALL SELECT 1, ref_idx::bigint, align_id FROM secondary WHERE mapq>=50"),
-    "primary_only": _with("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id FROM aligned WHERE mapq>=50"),
-    "stages_with_unaligned": _with("SELECT stage, count(*) AS n FROM (SELECT 0 AS stage FROM aligned WHERE mapq>=58 UNION ALL SELECT 1 FROM secondary WHERE mapq>=58 UNION ALL SELECT 2 FROM emitted) GROUP BY 1"),
+    "primary_secondary_union": _with("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id FROM aligned UNION ALL SELECT 1, ref_idx::bigint, align_id FROM secondary"),
+    "primary_only": _with("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id FROM aligned"),
+    "stages_with_unaligned": _with("SELECT stage, count(*) AS n FROM (SELECT 0 AS stage FROM aligned UNION ALL SELECT 1 FROM secondary UNION ALL SELECT 2 FROM emitted) GROUP BY 1"),
     "spot_explode": _with("SELECT row_id, read_no, bio_index, n AS n_emitted, read_type, read_filter, read FROM emitted"),
     "spot_read_counts": _with("SELECT row_id, count(*)::int AS n_emitted FROM emitted GROUP BY 1"),
     "unaligned_spots_only": _with("SELECT row_id, bio_index, read FROM emitted WHERE row_id NOT IN (SELECT row_id FROM spots WHERE list_sum(ids)<>0)"),

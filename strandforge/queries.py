@@ -204,18 +204,18 @@ def fastq_aligned(a):
 
 @query
 def primary_secondary_union(a):
-    plan = records_plan(a, Options(min_mapq=50))
+    plan = records_plan(a, Options())
     return plan.select("stage", "group_no", "row_id")
 
 
 @query
 def primary_only(a):
-    return records_plan(a, Options(primary_only=True, min_mapq=50)).select("stage", "group_no", "row_id")
+    return records_plan(a, Options(primary_only=True)).select("stage", "group_no", "row_id")
 
 
 @query
 def stages_with_unaligned(a):
-    return records_plan(a, Options(unaligned=True, min_mapq=58)).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return records_plan(a, Options(unaligned=True)).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
