@@ -216,19 +216,3 @@ def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     full = full.select(F.col("fp").alias("fp2"), F.coalesce("best", "least").alias("component_id"), F.coalesce("c", "fp").alias("root"))
     full = materialize(full, "class-components")
     return prints.join(full, F.col("fp") == F.col("fp2")).drop("fp2")
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row, with all its columns, of each group of near duplicates: that of the smallest doc_id."""
-
-    def run(cols: list[list]) -> list[list]:
-        return [cols[0], [f - (1 << 64) if f >> 63 else f for f in map(fingerprint, cols[1])], cols[2]]
-
-    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = map_rows(docs, [F.col(doc_id).cast("long"), F.col(text), text_hash], "doc_id long, fp long, text_hash long", run)
-    groups = components_of(materialize(prints, "fingerprints"), radius)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
-    kept = docs.withColumn("_text_hash", text_hash)
-    kept = kept.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_text_hash"]).select(*docs.columns)
