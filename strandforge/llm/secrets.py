@@ -44,12 +44,20 @@ def _cased(word: str) -> str:
 
 _NAMES = "|".join(_cased(w) for w in ("password", "passwd", "secret", "token")) + "|" + _cased("api") + "_?" + _cased("key")
 
+_SEP = r"(?:[\x20\x09-\x0D]|\\[nr])"  # white space, or line ends as JSON writes them
+_EDGE = r" (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+#: From BEGIN to the next END line; where that is missing, the header lines, the base64 lines and the shorter one after them.
+_KEY = (
+    rf"-----BEGIN{_EDGE}(?:(?:[^-]|-{{1,4}}[^-])*-----END{_EDGE}"
+    rf"|(?:{_SEP}+[A-Za-z][A-Za-z-]*:\x20[^\x0A\\]*)*(?:{_SEP}*[A-Za-z0-9+/=]{{16,}})*(?:{_SEP}+[A-Za-z0-9+/]+={{0,2}})?(?:{_SEP}+=[A-Za-z0-9+/]{{4}})?)"
+)
+
 #: Kinds in the order of their names in results; base kinds first.
 RULES = (
     Rule("assign", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18, True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
