@@ -18,6 +18,13 @@ def by_mapq(df: DataFrame, min_mapq: int | None = None) -> DataFrame:
     return df.where(F.col("mapq") >= mapq_threshold(min_mapq))
 
 
+def stored_mapq(min_mapq: int | None = None) -> Column:
+    """The same on a stored table, whose empty cells count as 0: plain comparisons, which reach the Parquet reader."""
+    least = mapq_threshold(min_mapq)
+    kept = F.col("mapq") >= least
+    return kept | F.col("mapq").isNull() if least <= 0 else kept
+
+
 def starts_inside(pos: Column, start: Column, end: Column) -> Column:
     """The start position lies in [start, end); an alignment that only reaches in does not count."""
     return (pos >= start) & (pos < end)

@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandforge.functions.cigar import reference_length
+
 
 def header_lines(references: DataFrame, use_seqid: bool = False) -> DataFrame:
     """line_no, line of a rebuilt header: format version, then a line for each reference."""
@@ -82,14 +84,28 @@ def work_items(aligned: DataFrame, rows: int) -> DataFrame:
 
 
 def placements(aligned: DataFrame, references: DataFrame, name: str | None = None, start: int = 0, length: int | None = None, min_mapq: int = 0, window: int = 5000) -> DataFrame:
-    """ref_idx, window_no, pos, align_id, mapq, spot_group of alignments that start in the window of
-    one reference (or of all): sort by these columns to walk reference, window, position, record."""
+    """ref_idx, window_no, pos, align_id, len, mapq, spot_group of alignments that start in the window of
+    one reference (or of all): sort by these columns to walk reference, window, position, record.
+    len is how many bases of the reference an alignment spans."""
     refs = references if name is None else references.where((F.col("name") == name) | (F.col("seq_id") == name))
     hit = aligned.where((F.col("mapq") >= min_mapq) & (F.col("ref_pos") >= start))
     if length is not None:
         hit = hit.where(F.col("ref_pos") < start + length)
     hit = hit.drop("ref_idx").join(refs.select("ref_idx", F.col("name").alias("_n")), F.col("ref_name") == F.col("_n"))
-    return hit.select("ref_idx", F.floor(F.col("ref_pos") / window).cast("long").alias("window_no"), F.col("ref_pos").alias("pos"), "align_id", "mapq", "spot_group")
+    return hit.select("ref_idx", F.floor(F.col("ref_pos") / window).cast("long").alias("window_no"), F.col("ref_pos").alias("pos"), "align_id", reference_length(F.col("cigar")).alias("len"), "mapq", "spot_group")
+
+
+def placement_set(iterators: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Placements of several sources (name of the table, placements) as one, with id_src: sorted by
+    ref_idx, window_no, pos, the order of sources and align_id they are walked together. A source
+    without placements adds nothing."""
+    out = None
+    for nth, (source, placed) in enumerate(iterators):
+        rows = placed.select("ref_idx", "window_no", "pos", F.lit(nth).alias("source_no"), F.lit(source).alias("id_src"), "align_id", "len", "mapq", "spot_group")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a placement set needs a source")
+    return out
 
 
 def available_positions(placed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandforge.operators.filters import starts_inside
@@ -60,6 +60,19 @@ def require_alignments(aligned: DataFrame, regions: list[Region]) -> None:
         raise ValueError(f"no alignments on {', '.join(missing)}")
 
 
+def stored_regions(regions: list[Region]) -> Column:
+    """Rows of a stored table that start in any region; an empty position counts as 0 and an empty name as the
+    empty text. Made of plain comparisons, which reach the Parquet reader."""
+    any_of = None
+    for r in regions:
+        one = F.col("ref_name") == r.name if r.name else F.col("ref_name").isNull() | (F.col("ref_name") == "")
+        if r.start is not None:
+            inside = starts_inside(F.col("ref_pos"), F.lit(r.start), F.lit(r.end))
+            one = one & (inside | F.col("ref_pos").isNull() if r.start <= 0 < r.end else inside)
+        any_of = one if any_of is None else any_of | one
+    return F.lit(False) if any_of is None else any_of
+
+
 def in_regions(aligned: DataFrame, regions: list[Region]) -> DataFrame:
     """Rows that start in a region, with region_no; overlapping or repeated regions repeat rows.
 

@@ -37,14 +37,14 @@ def _with(select: str, *ctes: str) -> str:
     return "WITH " + ",\n".join((_FIXTURE, *ctes)) + "\n" + select
 
 
-def _mated(source: str, where: str = "mapq >= 0", scope: str = "ref_name") -> tuple[str, ...]:
-    """k: kept rows; m: with cached_pos, from the take order of each mate."""
+def _mated(source: str, where: str = "mapq >= 0", scope: str = "ref_name", n: str = "") -> tuple[str, ...]:
+    """k: kept rows; m: with cached_pos, from the take order of each mate. n ends these names."""
     cols = scope.split(", ")
     return (
-        f"k AS (SELECT * FROM {source} WHERE {where})",
-        f"pend AS (SELECT align_id, {scope}, mate_align_id, row_number() OVER (PARTITION BY {scope}, mate_align_id ORDER BY align_id) AS take_no FROM k WHERE mate_align_id<>0 AND align_id>mate_align_id)",
-        f"m AS (SELECT k.*, x.ref_pos AS cached_pos FROM k LEFT JOIN pend p ON p.align_id=k.align_id AND p.take_no=1 AND {' AND '.join(f'p.{c}=k.{c}' for c in cols)} "
-        f"LEFT JOIN k x ON x.align_id=p.mate_align_id AND x.mate_align_id<>0 AND {' AND '.join(f'x.{c}=p.{c}' for c in cols)})",
+        f"k{n} AS (SELECT * FROM {source} WHERE {where})",
+        f"pend{n} AS (SELECT align_id, {scope}, mate_align_id, row_number() OVER (PARTITION BY {scope}, mate_align_id ORDER BY align_id) AS take_no FROM k{n} WHERE mate_align_id<>0 AND align_id>mate_align_id)",
+        f"m{n} AS (SELECT k.*, x.ref_pos AS cached_pos FROM k{n} k LEFT JOIN pend{n} p ON p.align_id=k.align_id AND p.take_no=1 AND {' AND '.join(f'p.{c}=k.{c}' for c in cols)} "
+        f"LEFT JOIN k{n} x ON x.align_id=p.mate_align_id AND x.mate_align_id<>0 AND {' AND '.join(f'x.{c}=p.{c}' for c in cols)})",
     )
 
 
@@ -131,29 +131,84 @@ def _phred_text(q: str) -> str:
     return f"array_to_string(list_transform({q}, lambda x: chr(x+33)), '')"
 
 
-_MATE_ID = "(CASE WHEN cached_pos IS NOT NULL THEN ref_idx WHEN mate_align_id=0 OR mate_ref_name IN ('','*') THEN -1 ELSE coalesce((SELECT r.ref_idx FROM refs r WHERE r.name=mate_ref_name), -1) END)::int"
-_BAM = ("b AS (SELECT *, " + _MATE_ID + " AS mate_id FROM m)", "bb AS (SELECT *, (CASE WHEN cached_pos IS NOT NULL THEN cached_pos WHEN mate_id=-1 THEN -1 ELSE mate_ref_pos END)::int AS mpos, (CASE WHEN mate_align_id=0 THEN 0 ELSE template_len END)::int AS mtlen FROM b)")
+def _bam_mates(n: str = "", header_id: str = "r.ref_idx") -> tuple[str, ...]:
+    """bb: m with mate_id, mpos, mtlen. header_id: a reference's number in the header."""
+    mate = f"(CASE WHEN cached_pos IS NOT NULL THEN ref_idx WHEN mate_align_id=0 OR mate_ref_name IN ('','*') THEN -1 ELSE coalesce((SELECT {header_id} FROM refs r WHERE r.name=mate_ref_name), -1) END)::int"
+    return (f"b{n} AS (SELECT *, {mate} AS mate_id FROM m{n})", f"bb{n} AS (SELECT *, (CASE WHEN cached_pos IS NOT NULL THEN cached_pos WHEN mate_id=-1 THEN -1 ELSE mate_ref_pos END)::int AS mpos, (CASE WHEN mate_align_id=0 THEN 0 ELSE template_len END)::int AS mtlen FROM b{n})")
 
 
-def _bam_record() -> str:
+def _bam_body() -> str:
     name = _hex("seq_name")
     ops = f"array_to_string(list_transform({_OPS}, lambda op: {_le(f'({_OP_LEN} << 4) | (instr(' + chr(39) + 'MIDNSHP=X' + chr(39) + ', op[-1])-1)', 4)}), '')"
     fixed = [("ref_idx", 4), ("ref_pos", 4), ("length(seq_name)+1", 1), ("mapq", 1), (_bin("ref_pos", f"ref_pos+{_REF_LENGTH}"), 2), (f"len({_OPS})", 2), (_filtered(_STRIPPED), 2), ("length(read)", 4), ("mate_id", 4), ("mpos", 4), ("mtlen", 4)]
     body = "||".join([*[_le(x, n) for x, n in fixed], name, "'00'", ops, _packed("read"), f"({_qual_hex('quality')})", _tag_number("NM", "edit_distance"), f"CASE WHEN alignment_count>0 THEN {_tag_number('NH', 'alignment_count')} ELSE '' END", f"({_RG_HEX})", _tag_number("XI", "align_id")])
-    return _with(f"SELECT align_id, {_le('length(body)//2', 4)}||body AS record FROM (SELECT align_id, {body} AS body FROM bb)", *_mated("aligned", "mapq >= 10"), *_BAM)
+    return body
+
+
+def _bam_record() -> str:
+    return _with(f"SELECT align_id, {_le('length(body)//2', 4)}||body AS record FROM (SELECT align_id, {_bam_body()} AS body FROM bb)", *_mated("aligned"), *_bam_mates())
+
+
+def _unaligned_body(turn: bool = True) -> str:
+    """The binary record of turned and turned_q, without its size."""
+    fixed = [("-1", 4), ("-1", 4), ("length(name)+1", 1), ("0", 1), ("4680", 2), ("0", 2), (_unaligned_flags(turn), 2), ("length(read)", 4), ("-1", 4), ("-1", 4), ("0", 4)]
+    return "||".join([*[_le(x, n) for x, n in fixed], _hex("name"), "'00'", _packed("turned"), "array_to_string(list_transform(turned_q, lambda x: lpad(lower(hex(x::bigint)), 2, '0')), '')", f"({_RG_HEX})"])
 
 
 def _bam_unaligned() -> str:
     read = f"CASE WHEN read_type & 2 <> 0 THEN {_reversed('read')} ELSE read END"
     qual = "CASE WHEN read_type & 2 <> 0 THEN list_reverse(quality) ELSE quality END"
-    fixed = [("-1", 4), ("-1", 4), ("length(name)+1", 1), ("0", 1), ("4680", 2), ("0", 2), (_unaligned_flags(True), 2), ("length(read)", 4), ("-1", 4), ("-1", 4), ("0", 4)]
-    body = "||".join([*[_le(x, n) for x, n in fixed], _hex("name"), "'00'", _packed("turned"), "array_to_string(list_transform(turned_q, lambda x: lpad(lower(hex(x::bigint)), 2, '0')), '')", f"({_RG_HEX})"])
-    return _with(f"SELECT row_id, bio_index, {_le('length(body)//2', 4)}||body AS record FROM (SELECT row_id, bio_index, {body} AS body FROM (SELECT *, {read} AS turned, {qual} AS turned_q FROM emitted))")
+    return _with(f"SELECT row_id, bio_index, {_le('length(body)//2', 4)}||body AS record FROM (SELECT row_id, bio_index, {_unaligned_body()} AS body FROM (SELECT *, {read} AS turned, {qual} AS turned_q FROM emitted))")
+
+
+_SAM_UNALIGNED = "name||chr(9)||{flags}::string||chr(9)||'*'||chr(9)||'0'||chr(9)||'0'||chr(9)||'*'||chr(9)||'*'||chr(9)||'0'||chr(9)||'0'||chr(9)||read||chr(9)||{text}||CASE WHEN spot_group<>'' THEN chr(9)||'RG:Z:'||spot_group ELSE '' END"
+
+
+def _all_sam() -> tuple[str, ...]:
+    """every: all records as SAM, primary, secondary and unaligned."""
+    line = _SAM_UNALIGNED.format(flags=_unaligned_flags(False), text=_phred_text("quality"))
+    return (
+        *_mated("aligned"), *_mated("secondary", n="2"),
+        f"every AS (SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, {_sam()} AS record FROM m UNION ALL SELECT 1, ref_idx::bigint, align_id, 0, {_sam()} FROM m2 UNION ALL SELECT 2, 0::bigint, row_id, bio_index, {line} FROM emitted)",
+    )
+
+
+_SQ = "'@SQ'||chr(9)||'SN:'||{}||chr(9)||'LN:'||seq_length::string"
+_REBUILT = "SELECT 0::bigint AS line_no, '@HD'||chr(9)||'VN:1.3' AS line UNION ALL SELECT ref_idx+1, " + _SQ.format("{name}") + " FROM refs"
+_STORED = f"SELECT 0::bigint AS line_no, '@HD'||chr(9)||'VN:1.6'||chr(9)||'SO:coordinate' AS line UNION ALL SELECT 25-ref_idx, {_SQ.format('name')} FROM refs UNION ALL SELECT 26, '@RG'||chr(9)||'ID:RG1'||chr(9)||'SM:sample'"
+
+
+def _file(records: str, header: str | None = _REBUILT.format(name="name")) -> str:
+    """line_no, line of header lines and then the lines of records (a select of stage, group_no, row_id, read_no, record)."""
+    head = f"SELECT -1 AS stage, 0::bigint AS group_no, line_no AS row_id, 0 AS read_no, line AS record FROM ({header}) UNION ALL " if header else ""
+    return (
+        f"SELECT row_number() OVER (ORDER BY stage, group_no, row_id, read_no, i) AS line_no, line FROM (SELECT stage, group_no, row_id, read_no, unnest(string_split(record, chr(10))) AS line, generate_subscripts(string_split(record, chr(10)), 1) AS i FROM ({head}{records}))"
+    )
+
+
+def _bam_file(unaligned: bool, header: str, header_order: str, header_id: str = "r.ref_idx") -> str:
+    """n_bytes and sha256 of a whole binary file: header, then records."""
+    text = f"(SELECT string_agg(line||chr(10), '' ORDER BY line_no) FROM ({header}))"
+    names = f"(SELECT string_agg({_le('length(name)+1', 4)}||{_hex('name')}||'00'||{_le('seq_length', 4)}, '' ORDER BY {header_order}) FROM refs)"
+    head = f"'42414d01'||{_le(f'length({text})', 4)}||{_hex(text)}||{_le('(SELECT count(*) FROM refs)', 4)}||{names}"
+    parts = [f"SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, {_bam_body()} AS body FROM bb"]
+    ctes = [*_mated("aligned"), *_bam_mates(header_id=header_id)]
+    if unaligned:
+        parts += [f"SELECT 1, ref_idx::bigint, align_id, 0, {_bam_body()} FROM bb2", f"SELECT 2, 0::bigint, row_id, bio_index, {_unaligned_body(False)} FROM (SELECT *, read AS turned, quality AS turned_q FROM emitted)"]
+        ctes += [*_mated("secondary", n="2"), *_bam_mates("2", header_id)]
+    body = f"SELECT string_agg({_le('length(body)//2', 4)}||body, '' ORDER BY stage, group_no, row_id, read_no) AS t FROM ({' UNION ALL '.join(parts)})"
+    return _with(f"SELECT (length(t)//2)::bigint AS n_bytes, sha256(unhex(t)) AS sha256 FROM (SELECT ({head})||t AS t FROM ({body}))", *ctes)
 
 
 _REGION_ROWS = "regs AS (SELECT * FROM (VALUES (0,'chr3',999,60000),(1,'chr7',NULL,NULL),(2,'chr3',19999,90000)) t(region_no, region, lo, hi))"
 _IN_REGIONS = "hit AS (SELECT a.*, region_no FROM aligned a JOIN regs ON ref_name=region AND (lo IS NULL OR ref_pos>=lo AND ref_pos<hi))"
 _COLS = "align_id, sam_flags, cigar, mate_align_id, mate_ref_name, mate_ref_pos, template_len, read, quality, edit_distance, spot_group, seq_name, alignment_count, read_filter, ref_pos, mapq, ref_name"
+_COLUMNS = {
+    "['PRIMARY_ALIGNMENT', 'SECONDARY_ALIGNMENT']": "align_id, sam_flags, cigar_short, cigar_long, mate_align_id, mate_ref_name, mate_ref_pos, template_len, read, quality, edit_distance, spot_group, seq_name, alignment_count, read_filter, ref_pos, mapq, ref_name",
+    "['SEQUENCE']": "row_id, name, spot_group, read, quality, read_start, read_len, read_type, read_filter, primary_alignment_id",
+    "['REFERENCE']": "ref_idx, name, seq_id, seq_length",
+    "['DEPENDENCIES']": "accession, seq_id, local",
+}
 _ERROR = "(align_id*2654435761 % 4294967296)"
 _BIG = "(align_id*40000000-90000000000)"
 
@@ -162,9 +217,9 @@ ORACLES: dict[str, str] = {
     "scan_aligned_long_cigar": _with("SELECT align_id, cigar_long AS cigar FROM aligned"),
     "scan_sequence": _with("SELECT row_id, name, spot_group, read, len(ids)::int AS n_reads, list_sum(lens)::bigint AS bases FROM spots"),
     "list_tables": "SELECT unnest(['DEPENDENCIES','PRIMARY_ALIGNMENT','REFERENCE','SECONDARY_ALIGNMENT','SEQUENCE']) AS table_name",
-    "list_columns": "SELECT * FROM (VALUES ('REFERENCE','ref_idx'),('REFERENCE','name'),('REFERENCE','seq_id'),('REFERENCE','seq_length'),('DEPENDENCIES','accession'),('DEPENDENCIES','seq_id'),('DEPENDENCIES','local')) t(table_name, column_name)",
+    "list_columns": "SELECT unnest(t) AS table_name, column_name FROM (VALUES " + ", ".join(f"({tables}, '{c}')" for tables, columns in _COLUMNS.items() for c in columns.split(", ")) + ") v(t, column_name)",
     "optional_columns": _with("SELECT align_id, 0 AS alignment_count, -1 AS read_filter_or_none FROM aligned"),
-    "id_range": _with("SELECT min(align_id) AS first_id, count(*) AS n_rows FROM aligned"),
+    "id_range": _with("SELECT 'PRIMARY_ALIGNMENT' AS table_name, min(align_id) AS first_id, count(*) AS n_rows FROM aligned UNION ALL SELECT 'SECONDARY_ALIGNMENT', min(align_id), count(*) FROM secondary UNION ALL SELECT 'SEQUENCE', min(row_id), count(*) FROM spots"),
     "find_reference": _with("SELECT * FROM refs WHERE ref_idx IN (3, 8)"),
     "min_mapq": _with("SELECT align_id, mapq FROM aligned WHERE mapq >= 30"),
     "min_mapq_unset_drops_negative": _with("SELECT align_id, mapq-20 AS mapq FROM aligned WHERE mapq-20 >= 0"),
@@ -174,22 +229,24 @@ ORACLES: dict[str, str] = {
     "ref_boundaries": _with("SELECT ref_name, min(align_id) AS first_row, max(align_id) AS last_row, count(*) AS n_rows FROM aligned GROUP BY 1"),
     "boundary_total": _with("SELECT count(*)::bigint AS n_rows FROM aligned"),
     "work_items": _with("SELECT row_number() OVER (ORDER BY f, item) - 1 AS order_idx, ref_name, item, f+item*500 AS first_row, least(f+(item+1)*500-1, l) AS last_row FROM (SELECT ref_name, f, l, unnest(range((l-f)//500+1)) AS item FROM (SELECT ref_name, min(align_id) AS f, max(align_id) AS l FROM aligned GROUP BY 1))"),
-    "mate_lookup": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned", "mapq >= 10")),
+    "mate_lookup": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned")),
+    "mate_lookup_min_mapq": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned", "mapq >= 10")),
     "mate_lookup_contested": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("secondary", "true")),
     "mate_take_order": _with("SELECT align_id, mate_align_id, take_no FROM pend", *_mated("secondary", "true")),
-    "mate_fields_sam": _with(f"SELECT align_id, {_rnext('ref_name')} AS rnext, {_pnext()} AS pnext, template_len FROM m", *_mated("aligned", "mapq >= 10")),
-    "mate_fields_bam": _with("SELECT align_id, mate_id, mpos AS mate_pos, mtlen AS tlen FROM bb", *_mated("aligned", "mapq >= 10"), *_BAM),
+    "mate_fields_sam": _with(f"SELECT align_id, {_rnext('ref_name')} AS rnext, {_pnext()} AS pnext, template_len FROM m", *_mated("aligned")),
+    "mate_fields_bam": _with("SELECT align_id, mate_id, mpos AS mate_pos, mtlen AS tlen FROM bb", *_mated("aligned"), *_bam_mates()),
     "strip_paired": _with(f"SELECT align_id, {_STRIPPED} AS flags FROM aligned"),
     "read_filter_flags": _with(f"SELECT align_id, {_filtered('(sam_flags | 512)')} AS flags FROM aligned"),
     "qname": _with("SELECT align_id, 'PRE.'||seq_name||CASE WHEN spot_group<>'' THEN '.'||spot_group ELSE '' END AS qname, seq_name AS plain FROM aligned"),
     "rnext_pnext": _with(f"SELECT align_id, {_rnext('ref_name', 'NULL')} AS rnext, {_pnext('NULL::int')} AS pnext, ref_pos+1 AS pos FROM aligned"),
     "sam_tags": _with(f"SELECT align_id, {_TAGS}||chr(9)||'XI:i:'||align_id::string AS tags FROM aligned"),
-    "sam_aligned": _with(f"SELECT align_id, {_sam()} AS line FROM m", *_mated("aligned", "mapq >= 10")),
+    "sam_aligned": _with(f"SELECT align_id, {_sam()} AS line FROM m", *_mated("aligned")),
+    "sam_aligned_min_mapq": _with(f"SELECT align_id, {_sam()} AS line FROM m", *_mated("aligned", "mapq >= 10")),
     "sam_aligned_all_options": _with(
         "SELECT align_id, " + _sam("seq_id", "'X.'||seq_name||CASE WHEN spot_group<>'' THEN '.'||spot_group ELSE '' END", "cigar_long", f"CASE WHEN quality='' THEN '*' ELSE {_quantized('quality')} END", _TAGS + "||chr(9)||'XI:i:'||align_id::string") + " AS line FROM m JOIN refs ON refs.name=m.ref_name",
         *_mated("aligned"),
     ),
-    "sam_omit_quality": _with(f"SELECT align_id, {_sam(qual=chr(39) + '*' + chr(39))} AS line FROM m", *_mated("aligned", "mapq >= 40")),
+    "sam_omit_quality": _with(f"SELECT align_id, {_sam(qual=chr(39) + '*' + chr(39))} AS line FROM m", *_mated("aligned")),
     "fasta_aligned": _with("SELECT align_id, '>'||seq_name||chr(10)||read AS record FROM aligned"),
     "fastq_aligned": _with("SELECT align_id, '@'||seq_name||chr(10)||read||chr(10)||'+'||chr(10)||CASE WHEN quality='' THEN '*' ELSE quality END AS record FROM aligned"),
     "primary_secondary_union": _with("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id FROM aligned UNION ALL SELECT 1, ref_idx::bigint, align_id FROM secondary"),
@@ -215,7 +272,7 @@ ORACLES: dict[str, str] = {
     "cigar_ref_length": _with(f"SELECT align_id, {_REF_LENGTH} AS ref_length FROM aligned"),
     "reg2bin": _with(f"SELECT align_id, {_bin('ref_pos', f'ref_pos+{_REF_LENGTH}')} AS bin, {_bin('ref_pos', '(ref_pos::bigint*700)')} AS wide_bin FROM aligned"),
     "base_codes": _with("SELECT align_id, " + _CODES.format("read||'=rykmswbdhvnx'") + " AS codes FROM aligned"),
-    "packed_sequence_hex": _with(f"SELECT align_id, {_packed('part')} AS packed FROM (SELECT align_id, substr(read, 1, align_id%31+1) AS part FROM aligned)"),
+    "packed_sequence_hex": _with(f"SELECT align_id, {_packed('read')} AS packed, {_packed('odd')} AS packed_odd FROM (SELECT align_id, read, read||'N' AS odd FROM aligned)"),
     "bam_quality_hex": _with(f"SELECT align_id, {_qual_hex('quality')} AS quality, {_qual_hex('quality', True)} AS quantized FROM aligned"),
     "bam_tags_hex": _with(
         f"SELECT align_id, {_tag_number('NM', '(align_id*37)')} AS number, CASE WHEN {_BIG} BETWEEN 0 AND 4294967295 THEN {_tag_number('XI', _BIG)} WHEN {_BIG} BETWEEN -2147483648 AND -1 THEN '584969'||{_le(_BIG, 4)} ELSE '58495a'||{_hex(_BIG + '::string')}||'00' END AS big, '52475a'||{_hex('seq_name')}||'00' AS named FROM aligned"
@@ -229,13 +286,26 @@ ORACLES: dict[str, str] = {
     "ref_name_to_id": _with("SELECT align_id, coalesce(r.ref_idx, -1)::int AS mate_ref_id FROM aligned LEFT JOIN refs r ON r.name=mate_ref_name"),
     "placement_positions": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, count(*) AS n FROM aligned WHERE mapq>=20 GROUP BY 1, 2, 3"),
     "placement_windows": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, count(*) AS n, min(ref_pos) AS first_pos FROM aligned WHERE ref_name='chr2' AND mapq>=5 AND ref_pos>=1000 AND ref_pos<61000 GROUP BY 1, 2"),
-    "placement_records": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, align_id, mapq, spot_group FROM aligned WHERE ref_name='chr2' AND mapq>=5 AND ref_pos>=1000 AND ref_pos<61000"),
+    "placement_records": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, align_id, " + _REF_LENGTH + " AS len, mapq, spot_group FROM aligned WHERE ref_name='chr2' AND mapq>=5 AND ref_pos>=1000 AND ref_pos<61000"),
+    "placement_sources": _with(" UNION ALL ".join(f"SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, '{t}' AS id_src, align_id, {_REF_LENGTH} AS len, mapq, spot_group FROM {v} WHERE ref_name IN ('chr2','chr5') AND mapq>=3 AND ref_pos>=500 AND ref_pos<70500" for t, v in (("PRIMARY_ALIGNMENT", "aligned"), ("SECONDARY_ALIGNMENT", "secondary")))),
     "dependency_summary": _with("SELECT accession, count(*) AS total, count(*) FILTER (local) AS n_local, count(*) FILTER (NOT local) AS n_resolved FROM deps GROUP BY 1"),
     "missing_dependencies": _with("SELECT accession, seq_id FROM deps WHERE NOT local"),
-    "ordered_output": _with(
-        f"SELECT 0 AS stage, region_no::bigint AS group_no, row_number() OVER (PARTITION BY region_no ORDER BY align_id) AS place, align_id AS row_id, {_sam()} AS record FROM m",
+    "ordered_output": _with("SELECT row_number() OVER (ORDER BY stage, group_no, row_id, read_no) AS place, stage, group_no, row_id, record FROM every", *_all_sam()),
+    "ordered_regions": _with(
+        f"SELECT row_number() OVER (ORDER BY region_no, align_id) AS place, 0 AS stage, region_no::bigint AS group_no, align_id AS row_id, {_sam()} AS record FROM m",
         _REGION_ROWS, _IN_REGIONS, *_mated("hit", "mapq >= 0", "ref_name, region_no"),
     ),
+    "sam_file_lines": _with(_file("SELECT stage, group_no, row_id, read_no, record FROM every"), *_all_sam()),
+    "sam_folder_lines": _with(_file("SELECT stage, group_no, row_id, read_no, record FROM every"), *_all_sam()),
+    "sam_gzip_lines": _with(_file(f"SELECT 0, ref_idx::bigint, align_id, 0, {_sam('seq_id')} FROM (SELECT m.*, seq_id FROM m JOIN refs ON refs.name=m.ref_name)", _REBUILT.format(name="seq_id")), *_mated("aligned")),
+    "fastq_bzip2_lines": _with(_file("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, '@'||seq_name||chr(10)||read||chr(10)||'+'||chr(10)||CASE WHEN quality='' THEN '*' ELSE quality END AS record FROM aligned", None)),
+    "sam_no_header_lines": _with(_file(f"SELECT 0 AS stage, 0::bigint AS group_no, align_id AS row_id, 0 AS read_no, {_sam()} AS record FROM m", None), *_mated("aligned", "ref_name='chr3' AND ref_pos>=999 AND ref_pos<60000")),
+    "bam_file_bytes": _bam_file(True, _REBUILT.format(name="name"), "ref_idx"),
+    "bam_folder_bytes": _bam_file(True, _REBUILT.format(name="name"), "ref_idx"),
+    "bam_stored_header_bytes": _bam_file(False, _STORED, "ref_idx DESC", "24-r.ref_idx"),
+    "stored_header": _with(f"SELECT 'stored' AS which, * FROM ({_STORED})"),
+    "header_precedence": _with(f"SELECT 'rebuilt' AS which, * FROM ({_REBUILT.format(name='name')}) UNION ALL SELECT 'seqid', * FROM ({_REBUILT.format(name='seq_id')}) UNION ALL SELECT 'comments', * FROM ({_STORED} UNION ALL SELECT 27, '@CO'||chr(9)||'one' UNION ALL SELECT 28, '@CO'||chr(9)||'two words')"),
+    "header_without_stored": _with(f"SELECT 'none stored' AS which, * FROM ({_REBUILT.format(name='name')} UNION ALL SELECT 26, '@CO'||chr(9)||'c')"),
     "error_fields": _with(f"SELECT align_id, ({_ERROR}&63)::int AS state, (({_ERROR}>>6)&255)::int AS object, (({_ERROR}>>14)&127)::int AS context, (({_ERROR}>>21)&63)::int AS target, (({_ERROR}>>27)&31)::int AS module, {_ERROR}&63=1 AS is_done, ({_ERROR}>>27)&31=18 AS is_network FROM aligned"),
     "progress_texts": _with(
         "SELECT align_id, CASE WHEN s<60 THEN s::string||'s' WHEN s<3600 THEN (s//60)::string||'m'||CASE WHEN s%60=0 THEN '' ELSE ' '||(s%60)::string||'s' END ELSE (s//3600)::string||'h'||CASE WHEN s%3600//60=0 THEN '' ELSE ' '||(s%3600//60)::string||'m' END END AS duration, format('{:,}', align_id*1013) AS n FROM (SELECT align_id, align_id*7 AS s FROM aligned)"

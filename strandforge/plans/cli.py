@@ -11,12 +11,13 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from strandforge.operators.references import bam_header, dependency_summary
-from strandforge.plans.convert import ORDER, Options, header_of, records_plan
+from strandforge.operators.references import dependency_summary
+from strandforge.plans.convert import ORDER, Options, header_of, key_ranges, records_plan
 from strandforge.plans.progress import Progress
 from strandforge.sources import schemas as S
-from strandforge.sources.archive import open_archive
-from strandforge.sources.writers import write_bam_file, write_text, write_text_file
+from strandforge.sources.archive import Archive, open_archive
+from strandforge.sources.storage import discard, materialize
+from strandforge.sources.writers import PART_ROWS, ordered, write_bam, write_bam_file, write_text, write_text_file
 
 
 def parser() -> argparse.ArgumentParser:
@@ -64,24 +65,27 @@ def session(threads: int | None) -> SparkSession:
     return b.getOrCreate()
 
 
-def convert(spark: SparkSession, path: str, o: Options, output_file: str | None = None, output_folder: str | None = None) -> str | None:
-    """Converts one archive; everything is checked before an output is opened."""
-    archive = open_archive(spark, path)
+def convert(archive: Archive, o: Options, output_file: str | None = None, output_folder: str | None = None, part_rows: int = PART_ROWS) -> str | None:
+    """Converts one archive; everything is checked before an output is opened.
+
+    A folder holds the same as a file, in parts: the first begins with the header.
+    """
+    if not (output_file or output_folder) and (o.mode == "bam" or o.compression != "none"):
+        raise ValueError("binary and compressed output need --output-file or --output-folder")
     header = header_of(archive, o) if o.writes_header else ""
     progress = Progress()
-    plan = progress.watch(records_plan(archive, o, header))
-    if output_folder:
-        write_text(plan, output_folder, ORDER, o.compression)
-    elif output_file and o.mode == "bam":
-        write_bam_file(plan, output_file, ORDER, bam_header(header))
+    plan = progress.watch(records_plan(archive, o, header, o.writes_header))
+    ranges = materialize(key_ranges(archive, o), "key-ranges")
+    if o.mode == "bam":
+        (write_bam if output_folder else write_bam_file)(plan, output_folder or output_file, ORDER, ranges, part_rows)
+    elif output_folder:
+        write_text(plan, output_folder, ORDER, ranges, o.compression, part_rows)
     elif output_file:
-        write_text_file(plan, output_file, ORDER, header, o.compression)
-    elif o.mode == "bam" or o.compression != "none":
-        raise ValueError("binary and compressed output need --output-file or --output-folder")
+        write_text_file(plan, output_file, ORDER, ranges, o.compression, part_rows)
     else:
-        sys.stdout.write(header)
-        for r in plan.orderBy(*ORDER).select("record").toLocalIterator():
+        for r in ordered(plan, ORDER, ranges, part_rows).select("record").toLocalIterator():
             sys.stdout.write(r["record"] + "\n")
+    discard(ranges)
     return progress.line() if output_file or output_folder else None
 
 
@@ -91,7 +95,7 @@ def tosam(spark: SparkSession, args: argparse.Namespace) -> None:
     if len(args.accessions) > 1 and (args.output_file or args.output_folder):
         raise ValueError("several archives would overwrite one output: convert them one by one")
     for path in args.accessions:
-        line = convert(spark, path, o, args.output_file, args.output_folder)
+        line = convert(open_archive(spark, path), o, args.output_file, args.output_folder)
         if line:
             print(line, file=sys.stderr)
 

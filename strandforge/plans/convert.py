@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from strandforge.functions.flags import without_lost_mate
 from strandforge.functions.quality import parse_table
 from strandforge.operators import records, references
-from strandforge.operators.filters import by_mapq
+from strandforge.operators.filters import stored_mapq
 from strandforge.operators.mates import with_cached_mates
-from strandforge.operators.regions import in_regions, parse_region, require_alignments, resolve
+from strandforge.operators.regions import Region, in_regions, parse_region, require_alignments, resolve, stored_regions
 from strandforge.operators.spots import emitted_reads
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive
 
-#: Order of a record: stage (primary, secondary, unaligned), region in the order typed or reference, row, read.
+#: Order of a record: stage (header, primary, secondary, unaligned), region in the order typed or reference, row, read.
 ORDER = ["stage", "group_no", "row_id", "read_no"]
+HEADER_STAGE = -1
 
 
 @dataclass(frozen=True)
@@ -71,24 +72,34 @@ class Options:
         _ = self.format
 
 
-def aligned_rows(archive: Archive, table: str, o: Options) -> DataFrame:
-    """Kept rows of an alignment table with group_no, rname, ref_idx, cached_pos and mended flags."""
-    rows = by_mapq(archive.aligned(table, o.cigar_long), o.min_mapq)
-    refs = archive.references()
-    if o.regions:
-        regions = resolve([parse_region(r) for r in o.regions], refs, o.seqid)
+def resolved_regions(archive: Archive, table: str, o: Options) -> list[Region]:
+    """The regions asked for, by reference name; each must have alignments in the table."""
+    regions = resolve([parse_region(r) for r in o.regions], archive.references(), o.seqid)
+    if regions:
         require_alignments(archive.aligned(table), regions)
-        rows = in_regions(rows, regions)
-        scope: tuple[str, ...] = ("ref_name", "region_no")
-    else:
-        scope = ("ref_name",)
-    rows = with_cached_mates(rows, scope)
-    named = refs.select(F.col("name").alias("_name"), "ref_idx", F.col("seq_id" if o.seqid else "name").alias("rname"))
+    return regions
+
+
+def kept_rows(archive: Archive, table: str, o: Options, regions: list[Region]) -> DataFrame:
+    """Rows of an alignment table that the options keep, with ref_idx, rname and group_no.
+
+    Quality and regions are asked of the stored columns, so they reach the Parquet reader.
+    """
+    keep = stored_mapq(o.min_mapq) & stored_regions(regions) if regions else stored_mapq(o.min_mapq)
+    rows = archive.aligned(table, o.cigar_long, keep)
+    rows = in_regions(rows, regions) if regions else rows
+    named = archive.references().select(F.col("name").alias("_name"), "ref_idx", F.col("seq_id" if o.seqid else "name").alias("rname"))
     # no hint: references are few for most archives, and then Spark broadcasts them by their size
-    rows = rows.join(named, F.col("ref_name") == F.col("_name"), "left").drop("_name")
+    rows = rows.drop("ref_idx").join(named, F.col("ref_name") == F.col("_name"), "left").drop("_name")
     rows = rows.withColumn("rname", F.coalesce("rname", "ref_name"))
-    rows = rows.withColumn("sam_flags", without_lost_mate(F.col("sam_flags"), F.col("mate_align_id")))
-    return rows.withColumn("group_no", F.col("region_no").cast("long") if o.regions else F.coalesce("ref_idx", F.lit(-1)).cast("long"))
+    return rows.withColumn("group_no", F.col("region_no").cast("long") if regions else F.coalesce("ref_idx", F.lit(-1)).cast("long"))
+
+
+def aligned_rows(archive: Archive, table: str, o: Options, regions: list[Region] | None = None) -> DataFrame:
+    """Kept rows of an alignment table with group_no, rname, ref_idx, cached_pos and mended flags."""
+    regions = resolved_regions(archive, table, o) if regions is None else regions
+    rows = with_cached_mates(kept_rows(archive, table, o, regions), ("ref_name", "region_no") if regions else ("ref_name",))
+    return rows.withColumn("sam_flags", without_lost_mate(F.col("sam_flags"), F.col("mate_align_id")))
 
 
 def with_bam_ids(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -105,18 +116,47 @@ def dictionary_table(archive: Archive, header: str) -> DataFrame:
     return archive.spark.createDataFrame([(i, n) for n, i in last.items()], "ref_id int, name string")
 
 
-def records_plan(archive: Archive, o: Options, header: str | None = None) -> DataFrame:
+def aligned_tables(archive: Archive, o: Options) -> list[str]:
+    if o.unaligned_spots_only:
+        return []
+    return [S.PRIMARY] + [S.SECONDARY] * (not o.primary_only and archive.has_table(S.SECONDARY))
+
+
+def key_ranges(archive: Archive, o: Options) -> DataFrame:
+    """stage, group_no, first_id, last_id, n_rows of the records that records_plan gives, from the scans
+    alone: no mates are joined and no records made, so Spark reads the key columns only."""
+    parts = [kept_rows(archive, t, o, resolved_regions(archive, t, o)).select(F.lit(stage).alias("stage"), "group_no", F.col("align_id").alias("row_id")) for stage, t in enumerate(aligned_tables(archive, o))]
+    if o.unaligned or o.unaligned_spots_only:
+        reads = emitted_reads(archive.sequence(), o.unaligned_spots_only)
+        parts.append(reads.select(F.lit(2).alias("stage"), F.lit(0).cast("long").alias("group_no"), "row_id"))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("stage", "group_no").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def header_records(archive: Archive, o: Options, header: str) -> DataFrame:
+    """The header as records before all others: a line each, or the bytes of a binary header."""
+    if o.mode == "bam":
+        lines = [references.bam_header(header).hex()]
+    else:
+        lines = header.split("\n")[:-1] if header else []
+    rows = [(HEADER_STAGE, 0, i, 0, x) for i, x in enumerate(lines)]
+    return archive.spark.createDataFrame(rows, "stage int, group_no long, row_id long, read_no int, record string")
+
+
+def records_plan(archive: Archive, o: Options, header: str | None = None, with_header: bool = False) -> DataFrame:
     """stage, group_no, row_id, read_no, record of everything the options ask for."""
     o.check()
     parts = []
-    if not o.unaligned_spots_only:
-        tables = [S.PRIMARY] + [S.SECONDARY] * (not o.primary_only and archive.has_table(S.SECONDARY))
-        for stage, name in enumerate(tables):
-            rows = aligned_rows(archive, name, o)
-            if o.mode == "bam":
-                text = header if header is not None else header_of(archive, o)
-                rows = with_bam_ids(rows, dictionary_table(archive, text))
-            parts.append(rows.select(F.lit(stage).alias("stage"), "group_no", F.col("align_id").alias("row_id"), F.lit(0).alias("read_no"), records.aligned_record(o.format).alias("record")))
+    if with_header:
+        parts.append(header_records(archive, o, header if header is not None else header_of(archive, o)))
+    for stage, name in enumerate(aligned_tables(archive, o)):
+        rows = aligned_rows(archive, name, o)
+        if o.mode == "bam":
+            text = header if header is not None else header_of(archive, o)
+            rows = with_bam_ids(rows, dictionary_table(archive, text))
+        parts.append(rows.select(F.lit(stage).alias("stage"), "group_no", F.col("align_id").alias("row_id"), F.lit(0).alias("read_no"), records.aligned_record(o.format).alias("record")))
     if o.unaligned or o.unaligned_spots_only:
         reads = emitted_reads(archive.sequence(), o.unaligned_spots_only)
         parts.append(reads.select(F.lit(2).alias("stage"), F.lit(0).cast("long").alias("group_no"), "row_id", F.col("index").alias("read_no"), records.unaligned_record(o.format).alias("record")))

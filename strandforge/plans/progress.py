@@ -17,7 +17,7 @@ class Progress:
         self.observation, self.began = Observation("progress"), time.monotonic()
 
     def watch(self, records: DataFrame) -> DataFrame:
-        return records.observe(self.observation, F.count(F.lit(1)).alias("records"))
+        return records.observe(self.observation, F.count_if(F.col("stage") >= 0).alias("records"))
 
     def line(self, items: int | None = None) -> str:
         n, seconds = self.observation.get["records"], time.monotonic() - self.began

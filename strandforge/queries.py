@@ -12,9 +12,12 @@ from strandforge.operators import filters, records, references, regions
 from strandforge.operators.mates import take_order, with_cached_mates
 from strandforge.operators.records import Format
 from strandforge.operators.spots import emitted_reads
-from strandforge.plans.convert import Options, aligned_rows, dictionary_table, records_plan, with_bam_ids
+from strandforge.plans.cli import convert
+from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_table, header_of, key_ranges, records_plan, with_bam_ids
 from strandforge.sources import fixture
 from strandforge.sources import schemas as S
+from strandforge.sources.storage import new_path
+from strandforge.sources.writers import join_parts, ordered
 
 c = F.col
 QUANT = "0:10,10:20,20:30,30:40"
@@ -27,6 +30,12 @@ def query(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
     return f
 
 
+def query_with_header(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
+    """Over an archive that stores a header of its own."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(fixture.archive(spark, sf_dir, header=True))
+    return f
+
+
 def _rows(a, o: Options = Options(), table: str = S.PRIMARY) -> DataFrame:  # noqa: B008
     return aligned_rows(a, table, o)
 
@@ -54,7 +63,7 @@ def list_tables(a):
 
 @query
 def list_columns(a):
-    rows = [F.struct(F.lit(t).alias("table_name"), F.lit(x).alias("column_name")) for t in (S.REFERENCES, S.DEPENDENCIES) for x in a.list_columns(t)]
+    rows = [F.struct(F.lit(t).alias("table_name"), F.lit(x).alias("column_name")) for t in a.list_tables() for x in a.list_columns(t)]
     return a.spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -65,7 +74,8 @@ def optional_columns(a):
 
 @query
 def id_range(a):
-    return a.aligned().agg(F.min("align_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
+    rows = [(name, *a.id_range(name, key)) for name, key in ((S.PRIMARY, "align_id"), (S.SECONDARY, "align_id"), (S.SEQUENCE, "row_id"))]
+    return a.spark.createDataFrame(rows, "table_name string, first_id long, n_rows long")
 
 
 @query
@@ -75,7 +85,7 @@ def find_reference(a):
 
 @query
 def min_mapq(a):
-    return filters.by_mapq(a.aligned(), 30).select("align_id", "mapq")
+    return a.aligned(keep=filters.stored_mapq(30)).select("align_id", "mapq")
 
 
 @query
@@ -86,19 +96,19 @@ def min_mapq_unset_drops_negative(a):
 @query
 def region_window(a):
     rs = regions.resolve([regions.parse_region("chr5:10001-50000")], a.references())
-    return regions.in_regions(a.aligned(), rs).select("align_id", "ref_name", "ref_pos")
+    return regions.in_regions(a.aligned(keep=regions.stored_regions(rs)), rs).select("align_id", "ref_name", "ref_pos")
 
 
 @query
 def region_overlap_dupes(a):
     rs = regions.resolve([regions.parse_region(r) for r in REGIONS], a.references())
-    return regions.in_regions(a.aligned(), rs).select("region_no", "align_id", "ref_name", "ref_pos")
+    return regions.in_regions(a.aligned(keep=regions.stored_regions(rs)), rs).select("region_no", "align_id", "ref_name", "ref_pos")
 
 
 @query
 def region_alias(a):
     rs = regions.resolve([regions.parse_region("NC_000011.1:1-70000")], a.references())
-    return regions.in_regions(a.aligned(), rs).select("align_id", "ref_name", "ref_pos")
+    return regions.in_regions(a.aligned(keep=regions.stored_regions(rs)), rs).select("align_id", "ref_name", "ref_pos")
 
 
 @query
@@ -118,12 +128,17 @@ def work_items(a):
 
 @query
 def mate_lookup(a):
-    return with_cached_mates(filters.by_mapq(a.aligned(), 10)).select("align_id", "mate_align_id", "cached_pos")
+    return with_cached_mates(filters.by_mapq(a.aligned())).select("align_id", "mate_align_id", "cached_pos")
+
+
+@query
+def mate_lookup_min_mapq(a):
+    return with_cached_mates(a.aligned(keep=filters.stored_mapq(10))).select("align_id", "mate_align_id", "cached_pos")
 
 
 @query
 def mate_lookup_contested(a):
-    t = a.table(S.SECONDARY).select("align_id", "ref_idx", "ref_name", "ref_pos", "mapq", "mate_align_id")
+    t = a.table(S.SECONDARY).select("align_id", "ref_name", "ref_pos", "mapq", "mate_align_id")
     return with_cached_mates(t).select("align_id", "mate_align_id", "cached_pos")
 
 
@@ -134,7 +149,7 @@ def mate_take_order(a):
 
 @query
 def mate_fields_sam(a):
-    r = _rows(a, Options(min_mapq=10))
+    r = _rows(a)
     return r.select("align_id", fields.rnext(c("cached_pos"), c("mate_ref_name"), c("rname")).alias("rnext"), fields.pnext(c("cached_pos"), c("mate_ref_name"), c("mate_ref_pos")).alias("pnext"), "template_len")
 
 
@@ -146,7 +161,7 @@ def _bam_rows(a, o: Options) -> DataFrame:
 @query
 def mate_fields_bam(a):
     ref, pos, tlen = fields.bam_mate(c("cached_pos"), c("mate_align_id"), c("mate_ref_name"), c("mate_ref_pos"), c("template_len"), c("ref_id"), c("mate_ref_id"))
-    return _bam_rows(a, Options(min_mapq=10)).select("align_id", ref.alias("mate_id"), pos.alias("mate_pos"), tlen.alias("tlen"))
+    return _bam_rows(a, Options()).select("align_id", ref.alias("mate_id"), pos.alias("mate_pos"), tlen.alias("tlen"))
 
 
 @query
@@ -178,6 +193,11 @@ def sam_tags(a):
 
 @query
 def sam_aligned(a):
+    return _rows(a).select("align_id", records.aligned_sam(Format()).alias("line"))
+
+
+@query
+def sam_aligned_min_mapq(a):
     return _rows(a, Options(min_mapq=10)).select("align_id", records.aligned_sam(Format()).alias("line"))
 
 
@@ -189,7 +209,7 @@ def sam_aligned_all_options(a):
 
 @query
 def sam_omit_quality(a):
-    return _rows(a, Options(omit_quality=True, min_mapq=40)).select("align_id", records.aligned_sam(Format(omit_quality=True)).alias("line"))
+    return _rows(a, Options(omit_quality=True)).select("align_id", records.aligned_sam(Format(omit_quality=True)).alias("line"))
 
 
 @query
@@ -307,7 +327,7 @@ def base_codes(a):
 
 @query
 def packed_sequence_hex(a):
-    return a.aligned().select("align_id", sequence.packed_hex(F.expr("substring(read, 1, cast(align_id % 31 as int) + 1)")).alias("packed"))
+    return a.aligned().select("align_id", sequence.packed_hex(c("read")).alias("packed"), sequence.packed_hex(F.concat(c("read"), F.lit("N"))).alias("packed_odd"))
 
 
 @query
@@ -324,7 +344,7 @@ def bam_tags_hex(a):
 
 @query
 def bam_record_hex(a):
-    return _bam_rows(a, Options(min_mapq=10, xi=True)).select("align_id", records.aligned_bam(Format(mode="bam", xi=True)).alias("record"))
+    return _bam_rows(a, Options(xi=True)).select("align_id", records.aligned_bam(Format(mode="bam", xi=True)).alias("record"))
 
 
 @query
@@ -365,6 +385,13 @@ def placement_records(a):
     return references.placements(a.aligned(), a.references(), "chr2", 1000, 60000, 5)
 
 
+@query
+def placement_sources(a):
+    """Primary and secondary placements of two references, walked as one."""
+    placed = lambda table, name: references.placements(a.aligned(table), a.references(), name, 500, 70000, 3)
+    return references.placement_set([(t, placed(t, name)) for name in ("chr2", "NC_000005.1") for t in (S.PRIMARY, S.SECONDARY)]).drop("source_no")
+
+
 @query
 def dependency_summary(a):
     return references.dependency_summary(a.dependencies())
@@ -375,14 +402,115 @@ def missing_dependencies(a):
     return a.dependencies(True).select("accession", "seq_id")
 
 
+SMALL_PART = 3000  # records of a part, so that files of the small tables have several
+
+
+def _placed(rows: DataFrame, part: str, order: str, name: str) -> DataFrame:
+    """rows numbered from 1 along parts and, inside a part, along order."""
+    return fixture.numbered(rows, part, [order], name)
+
+
 @query
 def ordered_output(a):
-    """Each record's place among those of its stage and group: the order of what is written."""
-    plan = records_plan(a, Options(regions=REGIONS, primary_only=True))
-    from pyspark.sql import Window
+    """Each record's place among all that is written, in the partitions that the sinks write."""
+    o = Options(unaligned=True)
+    dealt = ordered(records_plan(a, o), ORDER, key_ranges(a, o), SMALL_PART)
+    rows = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"), "stage", "group_no", "row_id", "record")
+    return _placed(rows, "part", "nth", "place").select("place", "stage", "group_no", "row_id", "record")
+
+
+@query
+def ordered_regions(a):
+    """The same for regions that overlap, in the order typed."""
+    o = Options(regions=REGIONS, primary_only=True)
+    dealt = ordered(records_plan(a, o), ORDER, key_ranges(a, o), SMALL_PART)
+    rows = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"), "stage", "group_no", "row_id", "record")
+    return _placed(rows, "part", "nth", "place").select("place", "stage", "group_no", "row_id", "record")
+
+
+def _lines(a, path: str) -> DataFrame:
+    """line_no, line of the text files below a path: files by name, lines in order."""
+    rows = a.spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("nth"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = rows.select("line", "nth", F.struct("file", "start").alias("part"))
+    return _placed(rows, "part", "nth", "line_no").select("line_no", "line")
+
+
+def _written_lines(a, o: Options, name: str, folder: bool = False) -> DataFrame:
+    path = new_path(a.spark, "out")
+    convert(a, o, None if folder else f"{path}/{name}", f"{path}/{name}" if folder else None, SMALL_PART)
+    return _lines(a, f"{path}/{name}")
+
+
+@query
+def sam_file_lines(a):
+    return _written_lines(a, Options(unaligned=True), "x.sam")
+
+
+@query
+def sam_folder_lines(a):
+    return _written_lines(a, Options(unaligned=True), "parts", folder=True)
+
+
+@query
+def sam_gzip_lines(a):
+    return _written_lines(a, Options(seqid=True, primary_only=True, gzip=True, bzip2=True), "x.sam.gz")
+
+
+@query
+def fastq_bzip2_lines(a):
+    return _written_lines(a, Options(fastq=True, primary_only=True, bzip2=True), "x.fq.bz2")
+
+
+@query
+def sam_no_header_lines(a):
+    return _written_lines(a, Options(no_header=True, primary_only=True, regions=REGIONS[:1]), "x.sam")
+
+
+def _bytes(a, o: Options, folder: bool = False) -> DataFrame:
+    """n_bytes and sha256 of what a written block-compressed file holds (.gz: Spark's reader unpacks it)."""
+    path = new_path(a.spark, "out")
+    convert(a, o, None if folder else f"{path}/x.bam.gz", f"{path}/parts" if folder else None, SMALL_PART)
+    if folder:
+        join_parts(a.spark, f"{path}/parts", f"{path}/x.bam.gz")
+    raw = F.col("value").cast("binary")
+    return a.spark.read.text(f"{path}/x.bam.gz", wholetext=True).select(F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha256"))
+
+
+@query
+def bam_file_bytes(a):
+    return _bytes(a, Options(output_format="bam", unaligned=True, xi=True))
+
+
+@query
+def bam_folder_bytes(a):
+    return _bytes(a, Options(output_format="bam", unaligned=True, xi=True), folder=True)
+
+
+@query_with_header
+def bam_stored_header_bytes(a):
+    """Mates are numbered by the stored header's references, which lie backwards."""
+    return _bytes(a, Options(output_format="bam", primary_only=True, xi=True))
+
 
-    nth = F.row_number().over(Window.partitionBy("stage", "group_no").orderBy("row_id", "read_no"))
-    return plan.select("stage", "group_no", nth.cast("long").alias("place"), "row_id", "record")
+@query_with_header
+def stored_header(a):
+    return _header_rows(a, {"stored": Options()})
+
+
+def _header_rows(a, cases: dict[str, Options]) -> DataFrame:
+    rows = [(case, i, line) for case, o in cases.items() for i, line in enumerate(header_of(a, o).split("\n")[:-1])]
+    return a.spark.createDataFrame(rows, "which string, line_no long, line string")
+
+
+@query_with_header
+def header_precedence(a):
+    """Rebuilt where told, else as stored; comment lines last."""
+    return _header_rows(a, {"rebuilt": Options(regenerate_header=True), "seqid": Options(regenerate_header=True, seqid=True), "comments": Options(header_comments=("one", "two words"))})
+
+
+@query
+def header_without_stored(a):
+    return _header_rows(a, {"none stored": Options(header_comments=("c",))})
 
 
 @query

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandforge.plans.retry import on_network_error
 from strandforge.sources import schemas as S
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+from strandforge.sources.storage import file_system
 
 
 @dataclass(frozen=True)
@@ -27,12 +24,15 @@ class Archive:
     def list_tables(self) -> list[str]:
         found = {n for n, _ in self.tables}
         if self.path:
-            where, fs = _fs(self.spark, self.path)
-            if not fs.exists(where):
-                raise FileNotFoundError(self.path)
-            found |= {n for x in fs.listStatus(where) if (n := x.getPath().getName().removesuffix(".parquet")) in S.TABLES}
+            found |= {n for x in on_network_error("list tables", self._names) if (n := x.removesuffix(".parquet")) in S.TABLES}
         return sorted(found)
 
+    def _names(self) -> list[str]:
+        where, fs = file_system(self.spark, self.path)
+        if not fs.exists(where):
+            raise FileNotFoundError(self.path)
+        return [x.getPath().getName() for x in fs.listStatus(where)]
+
     def has_table(self, name: str) -> bool:
         return name in self.list_tables()
 
@@ -43,15 +43,21 @@ class Archive:
                 return df
         if not self.path or not self.has_table(name):
             raise KeyError(f"no table {name}")
-        plain, fs = _fs(self.spark, f"{self.path}/{name}")
-        return self.spark.read.parquet(f"{self.path}/{name}" if fs.exists(plain) else f"{self.path}/{name}.parquet")
+        file = name if name in self._names() else f"{name}.parquet"
+        return on_network_error(f"open {name}", lambda: self.spark.read.parquet(f"{self.path}/{file}"))
 
     def list_columns(self, name: str) -> list[str]:
         return self.table(name).columns
 
-    def aligned(self, name: str = S.PRIMARY, long_cigar: bool = False) -> DataFrame:
-        """The alignment scan, with one CIGAR column; Catalyst prunes what a query does not use."""
-        df = S.conform(self.table(name), S.ALIGNED_COLUMNS, [c for c in S.ALIGNED_COLUMNS.names if c != ("cigar_short" if long_cigar else "cigar_long")])
+    def aligned(self, name: str = S.PRIMARY, long_cigar: bool = False, keep: Column | None = None) -> DataFrame:
+        """The alignment scan, with one CIGAR column; Catalyst prunes what a query does not use.
+
+        keep: which stored rows to read. It is asked of the columns as stored, before empty cells
+        are filled, since a comparison with a filled column would not reach the Parquet reader.
+        """
+        stored = self.table(name)
+        stored = stored if keep is None else stored.where(keep)
+        df = S.conform(stored, S.ALIGNED_COLUMNS, [c for c in S.ALIGNED_COLUMNS.names if c != ("cigar_short" if long_cigar else "cigar_long")])
         return df.withColumnRenamed("cigar_long" if long_cigar else "cigar_short", "cigar")
 
     def sequence(self) -> DataFrame:
@@ -76,8 +82,8 @@ class Archive:
     def bam_header(self) -> str | None:
         """The stored header text; none or empty: None."""
         if self.stored_header is None and self.path:
-            where, fs = _fs(self.spark, f"{self.path}/BAM_HEADER")
-            if fs.exists(where):
+            where, fs = file_system(self.spark, f"{self.path}/BAM_HEADER")
+            if on_network_error("find the header", lambda: fs.exists(where)):
                 return self.spark.read.text(f"{self.path}/BAM_HEADER", wholetext=True).first()[0] or None
         return self.stored_header or None
 

@@ -1,4 +1,8 @@
-"""Archive tables derived from the star-schema tables, for queries and tests."""
+"""Archive tables derived from the star-schema tables, for queries and tests.
+
+They are written once for a session and data folder, sorted as archives are, and then read like any
+archive: queries and their timings scan tables and do not derive them.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import functions as F
 
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive
+from strandforge.sources.storage import file_system, materialize, new_path
+
+#: (application, data folder) -> path of what was written.
+_written: dict[tuple[str, str], str] = {}
 
 REFS = """select n_nationkey as ref_idx, 'chr'||cast(n_nationkey+1 as string) as name, 'NC_'||lpad(cast(n_nationkey+1 as string),6,'0')||'.1' as seq_id,
  cast(1000000+n_nationkey as bigint) as seq_length from {nation}"""
@@ -50,8 +58,8 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """refs, placed, aligned, secondary, sequence, dependencies."""
     nation, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "orders"))
     refs = S.conform(spark.sql(REFS, nation=nation), S.REFERENCE_COLUMNS, optional={})
-    placed = numbered(spark.sql(UNPLACED, orders=orders), "ref_idx", ["ref_pos", "spot_id", "read_no"], "align_id")
-    aligned = spark.sql(ALIGNED, placed=placed, refs=refs)
+    placed = materialize(numbered(spark.sql(UNPLACED, orders=orders), "ref_idx", ["ref_pos", "spot_id", "read_no"], "align_id"), "placed")
+    aligned = materialize(spark.sql(ALIGNED, placed=placed, refs=refs), "aligned")
     n = numbered(aligned.where("spot_id % 4 = 0").select("ref_idx", "ref_name", "ref_pos", "mapq", F.col("align_id").alias("_a")), "ref_idx", ["_a"], "align_id")
     mate = F.when(F.col("align_id") % 5 == 0, 0).when(F.col("align_id") % 5 == 1, F.col("align_id") + 1).otherwise(F.col("align_id") - F.col("align_id") % 5 + 1)
     secondary = n.select("align_id", "ref_idx", "ref_name", "ref_pos", "mapq", mate.cast("long").alias("mate_align_id"))
@@ -61,14 +69,41 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def archive(spark: SparkSession, sf_dir: str) -> Archive:
-    """The derived tables as an archive; secondary alignments are completed with the primary's columns."""
+def derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The archive's tables; secondary alignments are completed with the primary's columns."""
     t = tables(spark, sf_dir)
     other = t["aligned"].where("spot_id % 4 = 0").withColumnRenamed("align_id", "_a")
     keyed = numbered(other, "ref_idx", ["_a"], "align_id").drop("mate_align_id", "_a")
     secondary = keyed.join(t["secondary"].select("align_id", "mate_align_id"), "align_id")
     spots = t["sequence"].withColumn("quality", F.transform(F.sequence(F.lit(1), F.length("read")), lambda i: ((i + F.col("row_id")) % 41).cast("int")))
-    return Archive(
-        spark,
-        tables=((S.PRIMARY, t["aligned"]), (S.SECONDARY, secondary), (S.SEQUENCE, spots), (S.REFERENCES, t["refs"]), (S.DEPENDENCIES, t["dependencies"])),
-    )
+    found = {S.PRIMARY: t["aligned"], S.SECONDARY: secondary, S.SEQUENCE: spots, S.REFERENCES: t["refs"], S.DEPENDENCIES: t["dependencies"]}
+    return {name: df.select(*S.TABLES[name].names) for name, df in found.items()}
+
+
+def stored_header(references: list[tuple[str, int]]) -> str:
+    """A header as an archive may store one: references backwards, and lines that a rebuilt one lacks."""
+    lines = [f"@SQ\tSN:{name}\tLN:{length}" for name, length in reversed(references)]
+    return "\n".join(["@HD\tVN:1.6\tSO:coordinate", *lines, "@RG\tID:RG1\tSM:sample"]) + "\n"
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The derived tables as an archive in a folder, rows in the order of their ids."""
+    for name, df in derived(spark, sf_dir).items():
+        key = df.columns[0]
+        df.repartitionByRange(8, key).sortWithinPartitions(key).write.parquet(f"{path}/{name}")
+
+
+def archive(spark: SparkSession, sf_dir: str, header: bool = False) -> Archive:
+    """The derived archive, with a stored header where asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _written.get(key)
+    if path is None or not (lambda w, fs: fs.exists(w))(*file_system(spark, path)):
+        path = new_path(spark, "archive")
+        write(spark, sf_dir, path)
+        refs = spark.read.parquet(f"{path}/{S.REFERENCES}").orderBy("ref_idx").select("name", "seq_length").collect()
+        spark.createDataFrame([(stored_header([tuple(r) for r in refs])[:-1],)], "value string").coalesce(1).write.text(f"{path}-header/BAM_HEADER")
+        _written[key] = path
+    stored = Archive(spark, path)
+    if not header:
+        return stored
+    return Archive(spark, f"{path}-header", tuple((n, stored.table(n)) for n in S.TABLES))

@@ -1,8 +1,9 @@
 """Sinks: ordered text files, plain or compressed, and block-compressed binary files.
 
-Records are range-partitioned and sorted by their order columns, so the order of part names is the
-order of records. One file, where it is wanted, is the parts joined by the driver through the file
-system (gzip, bzip2 and block-compressed parts stay valid when joined).
+Where records go is computed from the ranges of their keys, so nothing is sampled and no record is
+made twice: partition after partition holds the next rows in order, and the order of part names is
+the order of records. Executors write the parts. One file, where it is wanted, is the parts joined
+through the file system (gzip, bzip2 and block-compressed parts stay valid when joined).
 """
 
 from __future__ import annotations
@@ -11,15 +12,23 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from strandforge.sources.storage import file_system, remove
 
 # The empty block that ends a block-compressed file, and the most that a block holds.
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK_BYTES = 0xFF00
 SUFFIX = {"none": "", "gzip": ".gz", "bzip2": ".bz2"}
+#: Records of a part, about.
+PART_ROWS = 1_000_000
 
 
 def block(data: bytes, level: int = 6) -> bytes:
@@ -34,94 +43,130 @@ def blocks(data: bytes) -> bytes:
     return b"".join(block(data[i : i + BLOCK_BYTES]) for i in range(0, len(data), BLOCK_BYTES))
 
 
-def ordered(records: DataFrame, order: list[str]) -> DataFrame:
-    """A total order by range partitions; no task sees all rows."""
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
+def ordered(records: DataFrame, order: list[str], ranges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """A total order (stage, group_no, row_id, ...); no task sees all rows.
 
-def write_text(records: DataFrame, path: str, order: list[str], compression: str = "none") -> None:
-    """A folder of parts with a record a line (records may span lines)."""
-    ordered(records, order).select("record").write.mode("overwrite").option("compression", compression).text(path)
+    ranges: stage, group_no, first_id, last_id, n_rows of the keys, a row for each group. A record's
+    place among all is taken from its place in the ids of its group, and consecutive places make a
+    part. Groups of ids with gaps fill parts unevenly; keys outside all ranges (headers) come first.
+    """
+    running = Window.orderBy("stage", "group_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a group
+    r = ranges.withColumn("_before", F.coalesce(F.sum("n_rows").over(running), F.lit(0)))
+    total = ranges.agg(F.sum("n_rows")).first()[0] or 0
+    n = max(1, -(-total // part_rows))
+    r = r.select(F.col("stage").alias("_s"), F.col("group_no").alias("_g"), "_before", "first_id", (F.col("n_rows") / (F.col("last_id") - F.col("first_id") + 1)).alias("_dense"))
+    at = F.col("_before") + F.floor((F.col("row_id") - F.col("first_id")) * F.col("_dense"))
+    part = F.least(F.coalesce(F.floor(at / part_rows), F.lit(0)), F.lit(n - 1)).cast("int")
+    placed = records.join(r, (F.col("stage") == F.col("_s")) & (F.col("group_no") == F.col("_g")), "left").withColumn("_part", part)
+    return placed.repartitionById(n, "_part").sortWithinPartitions(*order).select(*records.columns)
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+def write_text(records: DataFrame, path: str, order: list[str], ranges: DataFrame, compression: str = "none", part_rows: int = PART_ROWS) -> None:
+    """A folder of parts with a record a line (records may span lines)."""
+    ordered(records, order, ranges, part_rows).select("record").write.mode("overwrite").option("compression", compression).text(path)
 
 
-def join_parts(spark: SparkSession, folder: str, target: str, first: bytes = b"", last: bytes = b"") -> None:
-    """The parts of a folder as one file, with bytes before and after; streamed, never held whole."""
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """The parts of a folder as one file; streamed through the file system, never held whole."""
     jvm = spark._jvm
-    where, fs = _files(spark, folder)
-    out_path, out_fs = _files(spark, target)
+    where, fs = file_system(spark, folder)
+    out_path, out_fs = file_system(spark, target)
     out = out_fs.create(out_path, True)
     try:
-        out.write(bytearray(first))
         for name in sorted(x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName().startswith("part-")):
             source = fs.open(jvm.org.apache.hadoop.fs.Path(where, name))
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 18, False)
             source.close()
-        out.write(bytearray(last))
     finally:
         out.close()
 
 
-def _compressed(text: bytes, compression: str) -> bytes:
-    if not text or compression == "none":
-        return text
-    import bz2
-    import gzip
+def write_text_file(records: DataFrame, target: str, order: list[str], ranges: DataFrame, compression: str = "none", part_rows: int = PART_ROWS) -> None:
+    """One file of the records in order."""
+    folder = f"{target}.parts-{uuid.uuid4().hex}"
+    write_text(records, folder, order, ranges, compression, part_rows)
+    join_parts(records.sparkSession, folder, target)
+    remove(records.sparkSession, folder)
 
-    return gzip.compress(text, mtime=0) if compression == "gzip" else bz2.compress(text)
 
+@dataclass
+class PartDone(WriterCommitMessage):
+    name: str
 
-def write_text_file(records: DataFrame, target: str, order: list[str], header: str = "", compression: str = "none") -> None:
-    """One file: header, then records in order."""
-    spark, folder = records.sparkSession, f"{target}.parts-{uuid.uuid4().hex}"
-    write_text(records, folder, order, compression)
-    join_parts(spark, folder, target, _compressed(header.encode(), compression))
-    where, fs = _files(spark, folder)
-    fs.delete(where, True)
 
+class BlockWriter(DataSourceArrowWriter):
+    """Each task writes its rows' bytes, block-compressed, to a part of its own; the driver only learns names."""
 
-def compressed_blocks(records: DataFrame, order: list[str]) -> DataFrame:
-    """part, seq, data: block-compressed members of hexadecimal records, in order."""
+    def __init__(self, folder: str):
+        self.folder = folder
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seq = bytearray(), 0
-        schema = pa.schema([("seq", pa.int64()), ("data", pa.binary())])
+    def _open(self):
+        from pyarrow import fs
 
-        def give(data: bytes) -> pa.RecordBatch:
-            nonlocal seq
-            seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([seq - 1], pa.int64()), pa.array([block(data)], pa.binary())], schema=schema)
+        return fs.FileSystem.from_uri(self.folder)
 
-        for b in batches:
-            for r in b.column(0).to_pylist():
-                held += bytes.fromhex(r)
-                while len(held) >= BLOCK_BYTES:
-                    yield give(bytes(held[:BLOCK_BYTES]))
-                    del held[:BLOCK_BYTES]
-        if held:
-            yield give(bytes(held))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        storage, root = self._open()
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}"
+        # attempts write apart, so one that is lost or overtaken leaves no half of a part
+        with storage.open_output_stream(f"{root}/_try-{name}-{task.taskAttemptId()}") as out:
+            held = bytearray()
+            for b in iterator:
+                for data in b.column(0):
+                    held += data.as_buffer()
+                full = len(held) - len(held) % BLOCK_BYTES
+                out.write(blocks(bytes(held[:full])))
+                del held[:full]
+            out.write(blocks(bytes(held)))
+        return PartDone(f"{name}-{task.taskAttemptId()}")
 
-    return ordered(records, order).select("record").mapInArrow(run, "seq long, data binary").select(F.spark_partition_id().alias("part"), "seq", "data")
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        storage, root = self._open()
+        for m in messages:
+            if m:
+                storage.move(f"{root}/_try-{m.name}", f"{root}/{m.name.rpartition('-')[0]}")
+        with storage.open_output_stream(f"{root}/part-end") as out:
+            out.write(END_BLOCK)
+        self._clear(storage, root)
 
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear(*self._open())
 
-def write_bam_file(records: DataFrame, target: str, order: list[str], header: bytes) -> None:
-    """One block-compressed file: header, records, end block. Blocks reach the driver one part at a time."""
-    spark, folder = records.sparkSession, f"{target}.blocks-{uuid.uuid4().hex}"
-    compressed_blocks(records, order).write.mode("overwrite").parquet(folder)
-    stored = spark.read.parquet(folder)
-    out_path, out_fs = _files(spark, target)
-    out = out_fs.create(out_path, True)
-    try:
-        out.write(bytearray(blocks(header)))
-        for r in stored.orderBy("part", "seq").select("data").toLocalIterator():
-            out.write(bytearray(r["data"]))
-        out.write(bytearray(END_BLOCK))
-    finally:
-        out.close()
-    where, fs = _files(spark, folder)
+    def _clear(self, storage, root: str) -> None:
+        from pyarrow import fs
+
+        for x in storage.get_file_info(fs.FileSelector(root)):
+            if x.base_name.startswith("_try-"):
+                storage.delete_file(x.path)
+
+
+class BlockSource(DataSource):
+    """The sink of one column of bytes: ``df.write.format("strandforge_blocks").save(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "strandforge_blocks"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return BlockWriter(self.options["path"])
+
+
+def write_bam(records: DataFrame, folder: str, order: list[str], ranges: DataFrame, part_rows: int = PART_ROWS) -> None:
+    """A folder of block-compressed parts of hexadecimal records, ended by the empty block; joined they are a file."""
+    spark = records.sparkSession
+    spark.dataSource.register(BlockSource)
+    where, fs = file_system(spark, folder)
     fs.delete(where, True)
+    fs.mkdirs(where)
+    uri = fs.makeQualified(where).toUri()
+    full = f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+    ordered(records, order, ranges, part_rows).select(F.unhex("record").alias("data")).write.format("strandforge_blocks").mode("append").save(full)
+
+
+def write_bam_file(records: DataFrame, target: str, order: list[str], ranges: DataFrame, part_rows: int = PART_ROWS) -> None:
+    """One block-compressed file."""
+    folder = f"{target}.parts-{uuid.uuid4().hex}"
+    write_bam(records, folder, order, ranges, part_rows)
+    join_parts(records.sparkSession, folder, target)
+    remove(records.sparkSession, folder)

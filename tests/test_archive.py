@@ -1,6 +1,7 @@
 """Operators on literal rows: the vectors that fix the formats, and cases that the derived tables lack."""
 
 import gzip
+import re
 import struct
 
 import pytest
@@ -213,7 +214,7 @@ def test_texts():
     assert e.module == 18 and e.network and not e.done and text.ArchiveError(1).done
 
 
-def test_retry():
+def test_retry(spark):
     def failing(times, code=0x90000000):
         calls = []
 
@@ -233,6 +234,12 @@ def test_retry():
         else:
             assert retry.on_network_error("x", call, lambda s: None) == "ok"
         assert len(calls) == want
+    try:
+        no_network = spark._jvm.java.net.InetAddress.getByName("no host has this name")
+    except Exception as e:  # noqa: BLE001
+        assert retry.is_network_error(e)
+    else:
+        raise AssertionError(no_network)
     call, calls = failing(1, 0x10000000)
     with pytest.raises(text.ArchiveError):
         retry.on_network_error("x", call, lambda s: None)
@@ -254,11 +261,17 @@ def test_schema_rules(spark):
 def stored(spark, sf_dir, tmp_path_factory):
     """The derived tables as an archive on disk."""
     root = tmp_path_factory.mktemp("archive")
-    for name, df in fixture.archive(spark, sf_dir).tables:
-        df.write.parquet(f"{root}/{name}")
+    fixture.write(spark, sf_dir, str(root))
     return str(root)
 
 
+def pushed(df):
+    """What each file scan of the plan has in PushedFilters."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sorted({tuple(re.split(r", (?=[A-Z])", x)) if x else () for x in re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan)})
+
+
 def test_archive_scan(spark, stored):
     a = open_archive(spark, stored)
     assert a.list_tables() == sorted(S.TABLES) and a.has_table(S.SEQUENCE) and a.bam_header() is None
@@ -266,8 +279,29 @@ def test_archive_scan(spark, stored):
     assert first == 1 and n == a.aligned().count()
     with pytest.raises(FileNotFoundError):
         open_archive(spark, stored + "-none")
-    plan = a.aligned().where("mapq >= 30").select("align_id")._jdf.queryExecution().toString()
-    assert "PushedFilters" in plan and "GreaterThanOrEqual(mapq,30)" in plan.replace(" ", "") or "mapq" in plan
+
+
+def test_quality_and_regions_reach_the_reader(spark, stored):
+    a = open_archive(spark, stored)
+    assert pushed(a.aligned(keep=filters.stored_mapq(30)).select("align_id")) == [("IsNotNull(mapq)", "GreaterThanOrEqual(mapq,30)")]
+    assert pushed(a.aligned(keep=filters.stored_mapq()).select("align_id")) == [("Or(GreaterThanOrEqual(mapq,0),IsNull(mapq))",)]
+    one = [regions.Region("chr5", 10000, 50000)]
+    want = ("IsNotNull(ref_name)", "IsNotNull(ref_pos)", "EqualTo(ref_name,chr5)", "GreaterThanOrEqual(ref_pos,10000)", "LessThan(ref_pos,50000)")
+    assert pushed(regions.in_regions(a.aligned(keep=regions.stored_regions(one)), one).select("align_id")) == [want]
+    plan = convert.aligned_rows(a, S.PRIMARY, convert.Options(regions=("chr5:10001-50000", "chr7"), min_mapq=30)).select("align_id", "cached_pos")
+    found = [" ".join(p) for p in pushed(plan) if any("mapq" in x for x in p)]
+    assert found and all("GreaterThanOrEqual(mapq,30)" in p and "EqualTo(ref_name,chr7)" in p and "LessThan(ref_pos,50000)" in p for p in found)
+
+
+def test_empty_cells_count_as_before(spark):
+    rows = [(1, None, None, None), (2, 5, "chr1", None), (3, 40, "chr1", 9), (4, -3, "chr1", 5), (5, 50, "", 7)]
+    df = spark.createDataFrame(rows, "align_id long, mapq int, ref_name string, ref_pos int")
+    filled = df.select("align_id", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in (("mapq", 0), ("ref_name", ""), ("ref_pos", 0))])
+    ids = lambda d: sorted(r["align_id"] for r in d.select("align_id").distinct().collect())
+    for least in (None, 0, 5, 41, 0xFFFFFFFF):
+        assert ids(df.where(filters.stored_mapq(least))) == ids(filters.by_mapq(filled, least))
+    for some in ([regions.Region("chr1", 0, 6)], [regions.Region("chr1", 3, 10), regions.Region("")], [regions.Region("", 7, 8)], [regions.Region("chr1")]):
+        assert ids(df.where(regions.stored_regions(some))) == ids(regions.in_regions(filled, some))
 
 
 def test_sam_file_is_ordered(spark, stored, tmp_path):
@@ -290,6 +324,29 @@ def test_compressed_and_folder_output(spark, stored, tmp_path):
     assert whole == "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
 
 
+@pytest.mark.parametrize("form", ["sam", "bam"])
+def test_folder_holds_what_a_file_holds(spark, stored, tmp_path, form):
+    a, o = open_archive(spark, stored), convert.Options(unaligned=True, output_format=form)
+    cli.convert(a, o, f"{tmp_path}/x", None, 500)
+    cli.convert(a, o, None, f"{tmp_path}/parts", 500)
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    assert len(parts) > 4 and b"".join(p.read_bytes() for p in parts) == (tmp_path / "x").read_bytes()
+    assert {p.name for p in (tmp_path / "parts").iterdir() if not p.name.startswith((".", "_SUCCESS"))} == {p.name for p in parts}
+    first = parts[0].read_bytes()
+    assert gzip.decompress(first)[:4] == b"BAM\1" and parts[-1].read_bytes() == writers.END_BLOCK if form == "bam" else first.startswith(b"@HD\t")
+
+
+def test_ordered_parts_are_even_and_in_order(spark):
+    rows = [(s, g, 10 * g + i, 0, f"{s}.{g}.{i}") for s in (0, 2) for g in range(40) for i in range(1 + 37 * (g == 7))]
+    df = spark.createDataFrame(rows, "stage int, group_no long, row_id long, read_no int, record string")
+    ranges = df.groupBy("stage", "group_no").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
+    got = writers.ordered(df.repartition(7), convert.ORDER, ranges, 20)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= 20 and len(sizes) == -(-len(rows) // 20)
+    assert [r["record"] for r in got.select("record").toLocalIterator()] == [r[4] for r in sorted(rows)]
+    assert writers.ordered(df.limit(0), convert.ORDER, ranges.limit(0), 20).count() == 0
+
+
 def test_bam_file(spark, stored, tmp_path):
     cli.main(["tosam", stored, "-1", "--output-format", "bam", "--min-mapq", "30", "--output-file", f"{tmp_path}/x.bam"])
     packed = (tmp_path / "x.bam").read_bytes()
