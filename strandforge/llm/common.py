@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from strandforge.sources.storage import discard, materialize, shared_folder
+
+__all__ = ["discard", "materialize", "shared_folder"]  # and what follows
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -23,17 +26,21 @@ WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
 
-#: Rows of an Arrow batch: texts reach 10^5 bytes and more, so 256 of them stay in tens of MB.
-BATCH_ROWS = 256
+#: Bytes of texts that an operator works on at once. What Spark sends at once it bounds itself, by
+#: spark.sql.execution.arrow.maxBytesPerBatch, so operators leave the session's settings alone.
+PIECE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most limit bytes, or of one row where that is larger."""
+    for b in batches:
+        rows = max(1, b.num_rows * limit // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def ascii_words(text: Column) -> Column:
@@ -53,36 +60,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_DELIMITERS), "")).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="strandforge-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df, once nothing reads it."""
-    path = getattr(df, "_written", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows; otherwise df, to be joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
@@ -94,19 +71,13 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, fn: Callable[[li
     Column names of df play no part, so extra columns cannot clash.
     """
     picked = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    spark = df.sparkSession
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cols = fn([c.to_pylist() for c in b.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(cols, arrow, strict=True)], schema=arrow)
+        for b in pieces(batches):
+            cols = fn([c.to_pylist() for c in b.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    small_batches(spark)
     return picked.mapInArrow(run, schema)
 
 
@@ -116,10 +87,9 @@ def change_rows(df: DataFrame, column: str, fn: Callable[[list], tuple[list[bool
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             keep, new = fn(b.column(b.schema.get_field_index(column)).to_pylist())
             columns = [pa.array(new[f.name], type=f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

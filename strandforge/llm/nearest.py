@@ -225,7 +225,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
                     names=["cell", "query_id", "q", "least"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     stored = materialize(entries.select("v", "ids").mapInArrow(coded, "cell int, ids array<long>, x binary, code binary"), "codes")
     counts = {"x": dict(stored.groupBy("cell").count().collect())}  # a row for each cell
     held = np.array([counts["x"].get(c, 0) for c in range(len(index.centroids))])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandforge.llm.decontaminate import WINDOW
-from strandforge.llm.license_scan import BASE_PHRASES, K, MAX_SHIFT, MIN_COVERAGE, TEMPLATES
+from strandforge.llm.license_scan import BASE_PHRASES, EDIT_SHARE, MAX_SHIFT, TEMPLATES
 from strandforge.llm.secrets import RULES
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -12,23 +12,30 @@ _D = f"d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format('text')}
 
 
 def _licenses() -> str:
-    rows = ", ".join(f"({i}, '{label}', {i < len(BASE_PHRASES)}, '{text}')" for i, (label, text) in enumerate((*BASE_PHRASES, *TEMPLATES)))
+    """From the definition: a label is there where a run of words is close enough to its template."""
+    texts = [*BASE_PHRASES, *TEMPLATES]
+    rows = ", ".join(f"({i}, '{label}', {i < len(BASE_PHRASES)}, '{text}', '{' '.join(dict.fromkeys(text.split()))}')" for i, (label, text) in enumerate(texts))
+    code = "array_to_string(list_transform({}, lambda x: chr((coalesce(list_position(known, x), 0) + 1)::int)), '')"
     return f"""WITH {_D},
-t AS (SELECT tid, label, base, string_split(txt, ' ') AS tw FROM (VALUES {rows}) v(tid, label, base, txt)),
-tg AS (SELECT tid, label, base, len(tw) - {K - 1} AS grams, unnest(range(len(tw) - {K - 1})) AS tp, tw FROM t),
-tgram AS (SELECT tid, label, base, grams, tp, tw[tp+1]||' '||tw[tp+2]||' '||tw[tp+3] AS g FROM tg),
+t AS (SELECT tid, label, base, string_split(txt, ' ') AS tw, string_split(ks, ' ') AS known, len(string_split(txt, ' ')) AS n, len(string_split(txt, ' ')) // {EDIT_SHARE} AS k FROM (VALUES {rows}) v(tid, label, base, txt, ks)),
+ts AS (SELECT *, least(k, {MAX_SHIFT}) AS s, {code.format('tw')} AS code FROM t),
+tgram AS (SELECT tid, unnest(range(n - 2)) AS tp, tw FROM t),
+tg AS (SELECT tid, tp, tw[tp+1]||' '||tw[tp+2]||' '||tw[tp+3] AS g FROM tgram),
 u AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
-g AS (SELECT rid, i - 1 AS p, x||' '||lead(x) OVER s||' '||lead(x, 2) OVER s AS g FROM u WINDOW s AS (PARTITION BY rid ORDER BY i)),
-hits AS (SELECT rid, tid, label, base, grams, p - tp AS diag, count(*) AS votes FROM g JOIN tgram USING (g) GROUP BY ALL),
-near AS (SELECT *, diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) AS gap FROM hits),
-parts AS (SELECT *, sum(CASE WHEN gap > {MAX_SHIFT} THEN 1 ELSE 0 END) OVER (PARTITION BY rid, tid ORDER BY diag) AS part FROM near),
-spans AS (SELECT rid, tid, label, base, part, count(*) FILTER (votes = grams) AS places, min(diag) FILTER (votes = grams) AS fe, max(diag) FILTER (votes = grams) AS le,
- least(1.0::double, sum(votes)::double / any_value(grams)) AS coverage FROM parts GROUP BY ALL)
-SELECT d.doc_id, len(any_value(d.w))::bigint AS n_words, coalesce(sum(places) FILTER (base), 0)::bigint AS n_base, (min(fe) FILTER (base))::bigint AS first_word, (max(le) FILTER (base))::bigint AS last_word,
- coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND places > 0), '') AS base_labels,
- coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND places > 0 OR NOT base AND coverage >= {MIN_COVERAGE}), '') AS labels,
- coalesce(max(coverage), 0)::double AS score
-FROM d LEFT JOIN spans ON spans.rid = d.rid GROUP BY d.rid, d.doc_id"""
+g AS (SELECT rid, i - 1 AS p, x||' '||lead(x) OVER o||' '||lead(x, 2) OVER o AS g FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+hits AS (SELECT DISTINCT rid, tid, p - tp AS diag, tp FROM g JOIN tg USING (g)),
+anchors AS (SELECT rid, tid, diag, count(*) AS votes FROM hits GROUP BY ALL),
+cover AS (SELECT a.rid, a.tid, a.diag, any_value(a.votes) AS votes, count(DISTINCT h.tp) AS covered FROM anchors a JOIN ts USING (tid) JOIN hits h ON h.rid = a.rid AND h.tid = a.tid AND abs(h.diag - a.diag) <= k + s GROUP BY ALL),
+tries AS (SELECT rid, tid, diag, diag + begin AS b, n + longer AS m FROM anchors JOIN ts USING (tid), unnest(range(-s, s + 1)) q(begin), unnest(range(-s, s + 1)) r(longer) WHERE diag + begin >= 0),
+dist AS (SELECT rid, tid, diag, min(levenshtein({code.format('w[b+1:b+m]')}, code)) AS dist FROM tries JOIN ts USING (tid) JOIN d USING (rid) GROUP BY ALL),
+spans AS (SELECT c.*, label, base, n, votes = n - 2 AS exact, covered / (n - 2) AS coverage, CASE WHEN dist <= k THEN dist END AS dist FROM cover c JOIN ts USING (tid) LEFT JOIN dist USING (rid, tid, diag)),
+beaten AS (SELECT DISTINCT a.rid, a.tid, a.diag FROM spans a JOIN spans b ON a.rid = b.rid AND a.label <> b.label AND b.dist < a.dist AND b.diag < a.diag + a.n AND a.diag < b.diag + b.n),
+said AS (SELECT spans.*, beaten.tid IS NULL AND dist IS NOT NULL AND NOT base AS added FROM spans LEFT JOIN beaten USING (rid, tid, diag))
+SELECT d.doc_id, len(any_value(d.w))::bigint AS n_words, count(*) FILTER (base AND exact) AS n_base, (min(diag) FILTER (base AND exact))::bigint AS first_word, (max(diag) FILTER (base AND exact))::bigint AS last_word,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND exact), '') AS base_labels,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND exact OR added), '') AS labels,
+ coalesce(max(greatest(coverage, CASE WHEN dist IS NOT NULL THEN 1 - dist / n ELSE 0 END)), 0)::double AS score
+FROM d LEFT JOIN said ON said.rid = d.rid GROUP BY d.rid, d.doc_id"""
 
 
 def _leaks() -> str:

@@ -68,22 +68,37 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def within_radius(query: int, planes: list[int], everyone: int, radius: int = RADIUS) -> int:
-    """Members, as set bits, at a distance of at most radius (0 to 3) from the query.
+    """Members, as set bits, at a distance of at most radius from the query.
 
-    planes[b] holds bit b of all members. ones and twos are the vertical counters; what overflows
-    three stays in over.
+    planes[b] holds bit b of all members. Differing bits of four planes at a time go through carry-save
+    adders into vertical counters, which start so high that one bit more than the radius overflows
+    them; what overflowed stays in over, and once that is everyone the block is abandoned.
     """
-    ones = twos = over = 0
-    for b, plane in enumerate(planes):
-        differ = plane ^ everyone if query >> b & 1 else plane
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        beyond = over if radius == 3 else over | (ones & twos) if radius == 2 else over | twos if radius == 1 else over | twos | ones
-        if beyond == everyone:
-            return 0
-    return everyone & ~beyond
+    size = max(2, (radius + 1).bit_length())
+    start = (1 << size) - 1 - radius
+    counters = [everyone if start >> k & 1 else 0 for k in range(size)]
+    over = 0
+    for at in range(0, len(planes), 4):
+        a, b, c, d = [(p ^ everyone if query >> at + i & 1 else p) for i, p in enumerate(planes[at : at + 4])] + [0] * (at + 4 - min(len(planes), at + 4))
+        ones = counters[0]
+        u = a ^ b
+        twos_a = a & b | u & ones
+        ones ^= u
+        u = c ^ d
+        twos_b = c & d | u & ones
+        counters[0] = ones ^ u
+        u = twos_a ^ twos_b
+        carry = twos_a & twos_b | u & counters[1]
+        counters[1] ^= u
+        for k in range(2, size):
+            if not carry:
+                break
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        if carry:
+            over |= carry
+            if over == everyone:
+                return 0
+    return everyone & ~over
 
 
 def bit_planes(members: np.ndarray) -> list[int]:
@@ -127,9 +142,36 @@ def linked_sets(members: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -
     return [s for s in sets.values() if len(s) > 1]
 
 
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """For each batch of rows sorted by their first column, its buckets of two or more rows of one key;
+    the last of a batch may go on and is given with the next."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> list[pa.RecordBatch]:
+        return [held[0] if len(held) == 1 else pa.concat_batches(held)] if sum(h.num_rows for h in held) > 1 else []
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        out = []
+        if held and held[0].column(0)[0].as_py() == int(key[0]):
+            held.append(b.slice(0, int(cut[1])))
+            if len(cut) == 2:
+                continue
+            cut = cut[1:]
+        out += whole()
+        inner = np.flatnonzero(np.diff(cut[:-1]) > 1)
+        out += [b.slice(int(cut[k]), int(cut[k + 1] - cut[k])) for k in inner.tolist()]
+        held = [b.slice(int(cut[-2]))]
+        yield out
+    if last := whole():
+        yield [*last]
+
+
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: trees that join all classes (column fp, distinct) which links of at most two bits join."""
-    spark = classes.sparkSession
     if radius > 2:
         raise ValueError("six equal bytes are certain only up to radius 2")
     kept = [~(0xFF << 8 * i | 0xFF << 8 * j) & (1 << 64) - 1 for i, j in combinations(range(8), 2)]
@@ -161,7 +203,6 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if rest is not None:
             yield out(list(edges(*rest)))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 

@@ -5,7 +5,8 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
-from test_operators import ITEMS, ODD, SPACE, brute_components, brute_fingerprint, brute_hits, brute_secrets, frame, key, targets_by_rounds
+from test_near_copies import brute_kept
+from test_operators import ITEMS, ODD, SPACE, brute_hits, brute_secrets, frame, key, targets_by_rounds
 
 from strandforge.llm import mixing as mix
 from strandforge.llm import quality as qual
@@ -27,11 +28,8 @@ def brute_pipeline(rows, model, items):
     """(doc_id, text, source) that reach the mix."""
     scores = qual.score_texts(model, [r["text"] for r in rows])
     rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
-    roots = brute_components([brute_fingerprint(r["text"]) for r in rows])
-    first = {}
-    for r, c in sorted(zip(rows, roots, strict=True), key=lambda x: (x[0]["doc_id"] is None, x[0]["doc_id"] or 0)):
-        first.setdefault(c, r)
-    kept = [r for r in first.values() if not brute_hits(r["text"], items)[1]]
+    ids = brute_kept([(r["doc_id"], r["text"]) for r in rows])
+    kept = [r for r in {r["doc_id"]: r for r in rows if r["doc_id"] in ids}.values() if not brute_hits(r["text"], items)[1]]
     return [(r["doc_id"], redacted(r["text"]), r["source"]) for r in kept]
 
 
