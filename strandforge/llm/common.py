@@ -26,15 +26,24 @@ WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
 
-#: Bytes of texts that an operator works on at once. What Spark sends at once it bounds itself, by
-#: spark.sql.execution.arrow.maxBytesPerBatch, so operators leave the session's settings alone.
+#: Bytes of texts that an operator works on at once, and that Spark sends to a Python worker at once at most.
+#: The latter is a setting of the session; it is the same for all operators, so plans that run later are not changed by others.
 PIECE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers what Spark sends at once to BATCH_BYTES, unless it is lower already."""
+    known = str(spark.conf.get(_BATCH_SETTING, "-1")).removesuffix("b")
+    if not known.isdecimal() or int(known) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most limit bytes, or of one row where that is larger."""
     for b in batches:
@@ -78,6 +87,7 @@ def map_rows(df: DataFrame, columns: list[Column], schema: str, fn: Callable[[li
             cols = fn([c.to_pylist() for c in b.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(cols, arrow, strict=True)], schema=arrow)
 
+    bounded_batches(df.sparkSession)
     return picked.mapInArrow(run, schema)
 
 
@@ -92,4 +102,5 @@ def change_rows(df: DataFrame, column: str, fn: Callable[[list], tuple[list[bool
             columns = [pa.array(new[f.name], type=f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
