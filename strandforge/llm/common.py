@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers what Spark sends at once to BATCH_BYTES, unless it is lower already."""
-    known = str(spark.conf.get(_BATCH_SETTING, "-1")).removesuffix("b")
+    known = spark.conf.get(_BATCH_SETTING).removesuffix("b")
     if not known.isdecimal() or int(known) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
