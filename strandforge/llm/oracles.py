@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandforge.llm.decontaminate import WINDOW
 from strandforge.llm.license_scan import BASE_PHRASES, EDIT_SHARE, MAX_SHIFT, TEMPLATES
-from strandforge.llm.secrets import RULES
+from strandforge.llm.secrets import JWT, RULES
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOW + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -52,7 +52,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
 
 
 def _secrets() -> str:
-    keep = {"assign": "length(regexp_extract(m, '{0}', 2)) >= 12", "access": "length(m) >= 18"}
+    keep = {"assign": "length(regexp_extract(m, '{0}', 2)) >= 12", "access": "length(m) >= 18", "jwt": f"regexp_full_match(m, '{JWT}')"}
     parts = []
     for k, r in enumerate(RULES):
         pattern = r.pattern.replace("'", "''")

@@ -52,6 +52,8 @@ _KEY = (
     rf"|(?:{_SEP}+[A-Za-z][A-Za-z-]*:\x20[^\x0A\\]*)*(?:{_SEP}*[A-Za-z0-9+/=]{{16,}})*(?:{_SEP}+[A-Za-z0-9+/]+={{0,2}})?(?:{_SEP}+=[A-Za-z0-9+/]{{4}})?)"
 )
 
+#: A whole token of three parts.
+JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 #: Kinds in the order of their names in results; base kinds first.
 RULES = (
     Rule("assign", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12, True),
@@ -61,7 +63,8 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # what starts like a token is passed over whole, so that no character is read twice; three parts are looked at after
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){0,2}", lambda m: re.fullmatch(JWT, m[0]) is not None),
 )
 
 # --- Boolean trigram queries: True (any text), a trigram, ("and", ...) or ("or", ...)

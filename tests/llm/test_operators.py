@@ -364,16 +364,42 @@ def test_decontaminate_small(spark):
     texts = ["alpha, BETA; gamma alpha beta gamma", "zero one two three four five six seven eight nine ten eleven twelve x", "alphabeta gamma", None, "", "null-item here alpha", LONG + " alpha beta gamma"]
     rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "a", 1), (None, texts[0], "en", "a", 1)]
     bench = spark.createDataFrame([(*i, 1) for i in ITEMS], "item_id long, text string, doc_id int")
-    for chunk in (dec.CHUNK_BYTES, 40):
-        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in dec.decontaminate(frame(spark, rows), bench, chunk_bytes=chunk).collect()), key=lambda r: (r[0] is None, r[0]))
-        want = sorted(((r[0], n, len(h), sorted(i)) for r in rows for n, h, i in [brute_hits(r[1], ITEMS)]), key=lambda r: (r[0] is None, r[0]))
-        assert got == want
+    want = sorted(((r[0], n, len(h), sorted(i)) for r in rows for n, h, i in [brute_hits(r[1], ITEMS)]), key=lambda r: (r[0] is None, r[0]))
+    spans = []
+    for most in (dec.MAX_BYTES, 40):  # one automaton, and several with a pass each
+        found = dec.decontaminate(frame(spark, rows), bench, max_bytes=most).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in found), key=lambda r: (r[0] is None, r[0])) == want
+        spans.append(sorted((r["doc_id"] or -1, [tuple(s) for s in r["spans"]]) for r in found))
+        clean = dec.keep_clean(frame(spark, rows), bench, max_bytes=most)
+        assert clean.columns == frame(spark, rows).columns and clean.count() == sum(not w[2] for w in want)
+    assert spans[0] == spans[1]
     span = dec.decontaminate(frame(spark, rows[:2]), bench).where("doc_id = 1").first()["spans"]
     assert texts[1][span[0]["start"] : span[0]["end"]] == "one two three four five six seven eight nine ten eleven twelve"
     assert dec.decontaminate(frame(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
     assert dec.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_windows_against_brute_force():
+    """Few different words, so that windows repeat, overlap and nearly match everywhere."""
+    rng = random.Random(11)
+    for _ in range(150):
+        say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+        items = [(rng.choice([None, i, i % 5]), say(rng.choice([1, 4, 5, 9, 10, 11, 17, 40]))) for i in range(rng.randrange(1, 7))]
+        b = dec.build(items)
+        text = " ".join([say(30), rng.choice(items)[1], say(12)])
+        found = b.scan(dec.normal_words(text))
+        n, hit, ids = brute_hits(text, items)
+        assert sum(y - x for x, y in dec.merge(list(found))) == len(hit) and {i for ts in found.values() for t in ts for i in b.ids[t]} == ids
+
+
+def test_automaton_holds_the_benchmark_once():
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(200))) for i in range(300)]
+    b = dec.build(items)
+    assert len(b.automaton) <= 300 * 200 // 5 and len(b.hashes) == 300 * 191
+    assert set(map(tuple, b.scan(dec.normal_words("x " + " ".join(items[7][1].split()[33:45])))))  == {(1, 10), (2, 10), (3, 10)}
+
+
 # --- 7
 
 
@@ -612,6 +638,13 @@ def test_secrets_against_patterns(spark, sf_dir):
     assert sec.secrets(frame(spark, [])).count() == 0
 
 
+def test_long_texts_of_tokens_are_read_once():
+    began = time.process_time()
+    assert sec.scan_block(["eyJ" * 300_000, "eyJabcdefgh.eyJabcdefgh.abcdefgh-_1 eyJx.eyJabcdefgh.abcdefghij"])[1] == [(0, 7, 35)]
+    assert sec.scan_block(["-----BEGIN PRIVATE KEY-----\n" * 20_000, "token" * 100_000])[1] == []
+    assert time.process_time() - began < 10
+
+
 def test_trigram_queries():
     assert sec.trigram_query(r"AKIA[A-Z0-9]+") == ("and", b"aki", b"kia")
     assert sec.trigram_query(r"[0-9a-f]{16,}") is True and sec.trigram_query(r"(abc)?x*") is True
