@@ -1,9 +1,11 @@
 """Quality by compression: zstandard dictionaries of good and bad text.
 
 Labelled texts (a bounded sample, MAX_TRAIN rows at most) are halved by a hash of their id: one half
-trains a dictionary from good and one from bad texts, the other calibrates. A text is compressed
-whole with either dictionary; the normalised difference of the two sizes, together with the
-compressed share and the length, goes through a logistic calibration to a score from 0 to 1.
+trains a dictionary from good and one from bad texts, the other calibrates. All of a text is
+compressed with either dictionary, in pieces of PIECE bytes, so that what a text shares with a dictionary
+counts from its first to its last byte and not only until the text has become its own dictionary. The
+difference of the two sizes, divided by the length of the text, is the only input of a logistic
+calibration to a score from 0 to 1.
 
 Label, language, source and id are never inputs of a score. Defined results: null text is the empty
 text; a null doc_id is not held out and never trained on; null labels are left out and of several
@@ -27,7 +29,9 @@ from strandforge.llm.common import change_rows, discard, map_rows, materialize
 MAX_TRAIN = 4_000
 MAX_TRAIN_BYTES = 64 << 20
 DICT_BYTES = 110_000
-LEVEL = 9
+LEVEL = 3
+#: Bytes compressed at once.
+PIECE = 256
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -36,9 +40,9 @@ FOLDS = 5
 class Model:
     good: bytes
     bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]  # of a constant and the terms; empty: always prior
+    mean: float
+    scale: float
+    weights: tuple[float, ...]  # of a constant and the difference; empty: always prior
     prior: float
 
 
@@ -60,16 +64,18 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def terms(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """Normalised size difference, compressed share, log length, and their products."""
-    sizes = np.array([(len(good.compress(t)), len(bad.compress(t)), len(t)) for t in texts], dtype=float).reshape(-1, 3)
-    g, b, n = sizes.T
-    x = np.stack([(b - g) / (b + g), b / (n + 16), np.log(n + 16)], axis=1)
-    return np.concatenate([x, x**2, x[:, [0]] * x[:, [1]], x[:, [0]] * x[:, [2]], x[:, [1]] * x[:, [2]]], axis=1)
+def compressed_size(text: bytes, compressor: zstandard.ZstdCompressor) -> int:
+    """Bytes that all pieces of the text take."""
+    return sum([len(compressor.compress(text[i : i + PIECE])) for i in range(0, len(text), PIECE)])
+
+
+def difference(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """How many bytes a byte of each text takes less with the good dictionary than with the bad one (about 0 for empty texts)."""
+    return np.array([(compressed_size(t, bad) - compressed_size(t, good)) / (len(t) + 16) for t in texts])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 100) -> np.ndarray:
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    x = np.stack([np.ones(len(x)), x], axis=1)
     w = np.zeros(x.shape[1])
     loss = lambda w: float(np.logaddexp(0, (1 - 2 * y) * (x @ w)).sum() + penalty * (w @ w) / 2)
     now = loss(w)
@@ -92,29 +98,29 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
     half = [zlib.crc32(b"half:%d" % r[0]) % 2 for r in rows]
     texts = [(r[1] or "").encode("utf-8", "surrogatepass") for r in rows]
     pick = lambda h, q: [t for t, k, x in zip(texts, half, labels, strict=True) if k == h and x == q and t]
-    nothing = Model(b"", b"", (), (), (), prior)
+    nothing = Model(b"", b"", 0.0, 1.0, (), prior)
     if not all(pick(h, q) for h in (0, 1) for q in (0, 1)):
         return nothing
     good, bad = (_dictionary(pick(0, q), DICT_BYTES) for q in (1, 0))
-    x = terms([t for t, h in zip(texts, half, strict=True) if h], _compressor(good), _compressor(bad))
+    x = difference([t for t, h in zip(texts, half, strict=True) if h], _compressor(good), _compressor(bad))
     y = np.array([q for q, h in zip(labels, half, strict=True) if h], dtype=float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    mean, scale = float(x.mean()), max(float(x.std()), 1e-6)
     w = _logistic((x - mean) / scale, y)
-    return Model(good, bad, tuple(mean), tuple(scale), tuple(w), prior)
+    return Model(good, bad, mean, scale, tuple(w.tolist()), prior)
 
 
 def score_texts(model: Model, texts: list[str | None], compressors: tuple | None = None) -> list[float]:
     if not model.weights or not texts:
         return [model.prior] * len(texts)
     good, bad = compressors or (_compressor(model.good), _compressor(model.bad))
-    x = terms([(t or "").encode("utf-8", "surrogatepass") for t in texts], good, bad)
-    z = np.clip((x - np.array(model.mean)) / np.array(model.scale), -6, 6) @ np.array(model.weights[1:]) + model.weights[0]
+    x = difference([(t or "").encode("utf-8", "surrogatepass") for t in texts], good, bad)
+    z = np.clip((x - model.mean) / model.scale, -6, 6) * model.weights[1] + model.weights[0]
     return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from at most max_train labelled ids outside the held-out fold, taken in the order of a hash
-    of their id, as long as their texts stay within max_bytes; of several texts of an id the smallest counts."""
+    of their id, those whose texts fit into what is left of max_bytes; of several texts of an id the smallest counts."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).alias("q")).where(F.col("q").isNotNull() & (fold(F.col("id")) != 0))
     known = known.groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("q"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_train)  # so few that they can be broadcast
@@ -123,10 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
     sizes = found.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).collect()
     fits, held = [], 0
     for r in sorted(sizes, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"])):
-        held += r["bytes"]
-        if held > max_bytes:
-            break
-        fits.append(r["id"])
+        if held + r["bytes"] <= max_bytes:  # a text that does not fit is left out, and the next one is looked at
+            held += r["bytes"]
+            fits.append(r["id"])
     rows = found.where(F.col("id").isin(fits)).select("id", "text", "q").collect() if fits else []
     discard(found)
     return fit([tuple(r) for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"]))])

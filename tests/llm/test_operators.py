@@ -414,6 +414,40 @@ def test_quality_held_out_accuracy(spark):
     assert all(p == 1 for p, y in held if y) or sum(p == 0 for p, y in held if y) / len(held) < 0.03
 
 
+def area(scores, labels):
+    """Under the curve: how often a good text scores above a bad one."""
+    good, bad = ([s for s, y in zip(scores, labels, strict=True) if y == q] for q in (1, 0))
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_the_difference_carries_the_score(spark):
+    """Held-out rows of the larger table, by sizes computed here; without the difference nothing is left."""
+    import zstandard
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    model = qual.train(read("documents"), read("labels"))
+    rows = read("documents").join(read("labels").where("quality IS NOT NULL"), "doc_id").where(qual.fold(F.col("doc_id")) == 0).select("text", "quality").collect()
+    packers = [zstandard.ZstdCompressor(level=qual.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    want = []
+    for r in rows:
+        t = (r["text"] or "").encode()
+        good, bad = (sum(len(p.compress(t[i : i + 256])) for i in range(0, len(t), 256)) for p in packers)
+        want.append((bad - good) / (len(t) + 16))
+    scores = qual.score_texts(model, [r["text"] for r in rows])
+    assert len(rows) > 500
+    logit = [model.weights[0] + model.weights[1] * np.clip((d - model.mean) / model.scale, -6, 6) for d in want]
+    assert np.allclose(scores, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    labels = [r["quality"] for r in rows]
+    assert area(want, labels) >= 0.97 and area(scores, labels) >= 0.97
+    assert sum((s >= 0.3) == bool(y) for s, y in zip(scores, labels, strict=True)) / len(labels) >= 0.95
+
+
+def test_one_long_text_does_not_stop_the_training(spark):
+    rows = [(i, "x" * 5000 if i == 1 else f"{'good words of sense' if i % 2 else 'zzz $$ buy'} {i}", "en", "a", 1) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    assert qual.train(frame(spark, rows), labels, max_bytes=4000).weights
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, None, 0), (5, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     df = frame(spark)
@@ -436,7 +470,8 @@ def test_quality_learns_from_bounded_rows(spark):
     finally:
         qual.fit = fit
     keep = [r for r in [(1, "text 0", 1), (4, "b" * 50, 0), (7, None, 0)] if zlib.crc32(str(r[0]).encode()) % 5]
-    assert seen[0] == keep and set(seen[1]) < set(keep) and seen[2] == []
+    short = [r for r in keep if r[1] is None or len(r[1]) <= 20]
+    assert seen[0] == keep and seen[1] == short and seen[2] == []
 
 
 # --- 8
