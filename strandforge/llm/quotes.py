@@ -1,17 +1,27 @@
 """Chat formatting by quotation linking.
 
-A message is parsed into its own text and quoted passages with their nesting level. Passages are
-normalised and hashed line by line; a quoted line is linked to the latest earlier message of the
-conversation that has the line as its own text. A message replies to what most of its least nested
-linked lines come from. Conversations are returned in reply order, without quotes: a branch (a reply
-to other than the message before it) follows the messages after the one it answers.
+A message is parsed into its own text and quote blocks (quoted lines in a row). Lines of one nesting
+level in a row make a passage. Passages are unwrapped, normalised and hashed, so a passage that a
+client has broken into other lines, or a part of a message, has the same hashes as its original:
+
+* a passage of WINDOW words or more gives a hash for every WINDOW words and one for its last ones; a
+  message gives one for each run of WINDOW words of its own text;
+* a shorter passage gives one hash; a message gives one for each shorter line, sentence, paragraph and
+  own text as a whole, however short.
+
+A hash is linked to the latest earlier message of the conversation that has it, a passage to the one
+that most of its hashes come from (the latest of several), and the words of both are compared. A
+message replies to what most of its least nested linked passages come from. A quote block is left out
+of the text if one of its passages is linked or a line such as "On Monday they wrote:" stands before it, which
+goes with it; other lines that begin with ">" are the message's own. Conversations are returned in reply
+order: a branch (a reply to other than the message before it) follows the messages after the one it answers.
 
 The latest earlier message is found with two-level running values over ranges of turns, and order
 is a sortable key rather than a rank, so no conversation, however long, is held by one task.
 
 Defined results: null text is empty; null conv_id is a conversation of its own; rows without a
-turn come first and are never linked to; repeated rows stay; an empty table gives no rows; other
-columns are not read.
+turn come first and are never linked to; repeated rows stay, and several messages of one turn are
+linked to and replied to as one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,54 +33,113 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import map_rows, materialize
+from strandforge.llm.common import broadcast_if_small, discard, map_rows, materialize
 
 TURN_RANGE = 1024
-#: Normalised lines shorter than this say too little to be linked.
-MIN_LINE = 4
+WINDOW = 8
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
-_WROTE = re.compile(r"(?:on|am|le|el)\b.{0,200}(?:wrote|schrieb|écrit|escribió)\s*:\s*", re.IGNORECASE)
+#: How a line begins and ends that says whom the quote below is from.
+_WROTE = re.compile(r"(?:on|am|le|el|il)\b.*(?:wrote|schrieb|écrit|escribió|scritto)\s*:\s*", re.IGNORECASE | re.DOTALL)
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s*")
 
 
-def normal(line: str) -> str:
-    """Case-folded letters and digits with single spaces between words."""
-    folded = unicodedata.normalize("NFKC", line).casefold()
-    return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
+def normal(text: str) -> list[str]:
+    """Case-folded words of letters and digits."""
+    folded = unicodedata.normalize("NFKC", text).casefold()
+    return "".join(c if c.isalnum() else " " for c in folded).split()
 
 
-def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """The message's own text and its quoted lines as (level, line)."""
-    own: list[str] = []
-    quoted: list[tuple[int, str]] = []
+def parse(text: str | None) -> list[tuple[int, str]]:
+    """Segments in order: (0, own text) and (level, passage); lines of a passage stay apart."""
+    out: list[tuple[int, list[str]]] = []
     for line in (text or "").split("\n"):
         m = _QUOTE.match(line)
-        if m:
-            if own and _WROTE.fullmatch(own[-1].strip()):
-                own.pop()  # the line that names whom the quote is from
-            quoted.append((m[1].count(">"), m[2]))
+        level, said = (m[1].count(">"), m[2]) if m else (0, line)
+        if out and out[-1][0] == level:
+            out[-1][1].append(said)
         else:
-            own.append(line)
-    body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quoted else text or ""
-    return body, quoted
+            out.append((level, [said]))
+    return [(level, "\n".join(lines)) for level, lines in out]
+
+
+def _hash(words: list[str]) -> int:
+    h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), int(len(words) < WINDOW))
+    return h - (1 << 64) if h >> 63 else h
+
 
+def passage_hashes(text: str) -> list[int]:
+    words = normal(text)
+    if len(words) < WINDOW:
+        return [_hash(words)] if words else []
+    starts = {*range(0, len(words) - WINDOW + 1, WINDOW), len(words) - WINDOW}
+    return [_hash(words[i : i + WINDOW]) for i in sorted(starts)]
 
-def _hash(line: str) -> int | None:
-    n = normal(line)
-    h = xxhash.xxh64_intdigest(n.encode("utf-8", "surrogatepass"), 0)
-    return None if len(n) < MIN_LINE else h - (1 << 64) if h >> 63 else h
+
+def own_hashes(own: list[str]) -> set[int]:
+    """Of a message's own segments, anything that a passage can be linked by."""
+    out: set[int] = set()
+    for text in own:
+        words = normal(text)
+        out.update(_hash(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1))
+        paragraphs = re.split(r"\n\s*\n", text)
+        short = [text, *paragraphs, *text.split("\n"), *(x for p in paragraphs for x in _SENTENCE.split(p))]
+        out.update(_hash(w) for w in map(normal, short) if 0 < len(w) < WINDOW)
+    return out
+
+
+def stands_in(passage: str, own: list[str]) -> bool:
+    """Whether a run of WINDOW words of the passage, or all of a shorter one, is in the text word by word."""
+    words = normal(passage)
+    n = min(WINDOW, len(words))
+    runs = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+    for text in own:
+        have = normal(text)
+        if n and any(" ".join(have[i : i + n]) in runs for i in range(len(have) - n + 1)):
+            return True
+    return False
+
+
+def without_quotes(segments: list[tuple[int, str]], linked: set[int]) -> tuple[str, int]:
+    """The message's text without the quote blocks that go, and how many lines went."""
+    kept: list[str] = []
+    gone, i = 0, 0
+    while i < len(segments):
+        level, text = segments[i]
+        if not level:
+            kept.append(text)
+            i += 1
+            continue
+        j = i
+        while j < len(segments) and segments[j][0]:
+            j += 1
+        lines = kept[-1].rstrip().split("\n") if kept else []
+        said = next((n for n in (1, 2) if len(lines) >= n and _WROTE.fullmatch("\n".join(lines[-n:]).strip())), 0)
+        if said or any(k in linked for k in range(i, j)):
+            gone += sum(t.count("\n") + 1 for _, t in segments[i:j])
+            if said:
+                kept[-1] = "\n".join(lines[:-said])
+        else:
+            kept.append("\n".join("> " * v + x if x else ">" * v for v, t in segments[i:j] for x in t.split("\n")))
+        i = j
+    return (re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n"), gone) if gone else ("", 0)
 
 
 def parsed_messages(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, body, own (line hashes), quotes (array of level, hash), n_quoted, levels."""
+    """conv_id, turn, role, text, row (a hash of these), own (hashes), quotes (array of passage, level, hash), levels."""
 
     def run(cols: list[list]) -> list[list]:
-        got = [parse(t) for t in cols[3]]
-        own = [sorted({h for h in map(_hash, b.split("\n")) if h is not None}) for b, _ in got]
-        quotes = [[{"level": v, "hash": h} for v, line in q if (h := _hash(line)) is not None] for _, q in got]
-        return [*cols[:3], [b for b, _ in got], own, quotes, [len(q) for _, q in got], [max((v for v, _ in q), default=0) for _, q in got]]
+        own, quotes, levels = [], [], []
+        for t in cols[3]:
+            segments = parse(t)
+            quoted = [(k, v, x) for k, (v, x) in enumerate(segments) if v]
+            own.append(sorted(own_hashes([x for v, x in segments if not v])))
+            quotes.append([{"passage": k, "level": v, "hash": h} for k, v, x in quoted for h in passage_hashes(x)])
+            levels.append(max((v for _, v, _ in quoted), default=0))
+        return [*cols[:3], [t or "" for t in cols[3]], cols[4], own, quotes, levels]
 
-    schema = "conv_id long, turn long, role string, body string, own array<long>, quotes array<struct<level:int,hash:long>>, n_quoted int, levels int"
-    return map_rows(messages, [F.col(conv_id).cast("long"), F.col(turn).cast("long"), F.col(role), F.col(text)], schema, run)
+    schema = "conv_id long, turn long, role string, text string, row long, own array<long>, quotes array<struct<passage:int,level:int,hash:long>>, levels int"
+    columns = [F.col(conv_id).cast("long"), F.col(turn).cast("long"), F.col(role), F.col(text)]
+    return map_rows(messages, [*columns, F.xxhash64(*columns)], schema, run)
 
 
 def running_last(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -89,20 +158,46 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: Column
     return df.join(e, on, "left").select(*kept, F.coalesce("_in", "_before").alias(name))
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, parent_turn, n_linked of the messages of which a quoted line was found."""
+def passage_links(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, row, passage, level, source (turn) of the passages found in earlier messages, word by word."""
     quoted = messages.where((F.size("quotes") > 0) & F.col("turn").isNotNull())
-    asked = quoted.select("conv_id", "turn", F.inline("quotes")).select("conv_id", "turn", "level", "hash", F.lit(0).alias("own"))
-    have = messages.where("turn IS NOT NULL").select("conv_id", "turn", F.explode("own").alias("hash"))
+    asked = quoted.select("conv_id", "turn", "row", F.inline("quotes")).distinct()
+    asked = materialize(asked.select("conv_id", "turn", "row", "passage", "level", "hash", F.lit(0).alias("own")), "asked")
+    # only conversations that quote at all, and of these only hashes that are asked for
+    talks = asked.select(F.col("conv_id").alias("c2")).distinct()
+    have = messages.where("turn IS NOT NULL").join(broadcast_if_small(talks), F.col("conv_id").eqNullSafe(F.col("c2")), "left_semi")
+    have = have.select("conv_id", "turn", F.explode("own").alias("hash"))
     wanted = asked.select(F.col("conv_id").alias("c2"), F.col("hash").alias("h2")).distinct()
-    have = have.join(wanted, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("hash") == F.col("h2")), "left_semi")
-    rows = asked.unionByName(have.distinct().select("conv_id", "turn", F.lit(0).alias("level"), "hash", F.lit(1).alias("own")))
-    # at one turn the quoted lines come before the message's own, so a message never answers itself
+    have = have.join(wanted, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("hash") == F.col("h2")), "left_semi").distinct()
+    rows = asked.unionByName(have.select("conv_id", "turn", "hash", F.lit(1).alias("own")), allowMissingColumns=True)
+    # at one turn what is quoted comes before what is said, so a message never answers itself
     linked = running_last(rows, ["conv_id", "hash"], ["turn", "own"], F.when(F.col("own") == 1, F.col("turn")), "source")
     linked = linked.where("own = 0 AND source IS NOT NULL AND source < turn")
-    votes = linked.groupBy("conv_id", "turn", "level", "source").agg(F.count(F.lit(1)).alias("votes"))
+    votes = linked.groupBy("conv_id", "turn", "row", "passage", "level", "source").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("conv_id", "turn", "row", "passage", "level").agg(F.max_by("source", F.struct("votes", "source")).alias("source"))
+    # the words of both sides; messages that are quoted move, others do not
+    best = materialize(best, "best-links")
+    quoting = messages.select(F.col("conv_id").alias("c2"), F.col("row").alias("row2"), F.col("text").alias("quoting")).distinct()
+    saying = messages.select(F.col("conv_id").alias("c3"), F.col("turn").alias("t3"), F.col("text").alias("saying"))
+    both = best.join(quoting, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("row") == F.col("row2")))
+    both = both.join(saying, F.col("conv_id").eqNullSafe(F.col("c3")) & (F.col("source") == F.col("t3")))
+
+    def run(cols: list[list]) -> list[list]:
+        keep = [i for i, (k, a, b) in enumerate(zip(cols[3], cols[6], cols[7], strict=True)) if stands_in(parse(a)[k][1], [x for v, x in parse(b) if not v])]
+        return [[c[i] for i in keep] for c in cols[:6]]
+
+    names = ["conv_id", "turn", "row", "passage", "level", "source"]
+    found = map_rows(both, [F.col(c) for c in (*names, "quoting", "saying")], "conv_id long, turn long, row long, passage int, level int, source long", run)
+    out = materialize(found.distinct(), "passage-links")
+    discard(asked, best)
+    return out
+
+
+def reply_links(links: DataFrame) -> DataFrame:
+    """conv_id, turn, parent_turn of the turns with a linked passage."""
+    votes = links.groupBy("conv_id", "turn", "level", "source").agg(F.count(F.lit(1)).alias("votes"))
     best = F.max_by("source", F.struct(-F.col("level"), F.col("votes"), F.col("source")))
-    return votes.groupBy("conv_id", "turn").agg(best.alias("parent_turn"), F.sum("votes").alias("n_linked"))
+    return votes.groupBy("conv_id", "turn").agg(best.alias("parent_turn"))
 
 
 def branch_keys(starts: DataFrame) -> DataFrame:
@@ -123,32 +218,44 @@ def branch_keys(starts: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, **columns) -> DataFrame:
-    """conv_id, turn, role, text (no quotes), n_quoted, quote_levels, n_linked, parent_turn, reply_path.
+    """conv_id, turn, role, text (no quotes), n_quoted (lines left out), quote_levels, n_linked (passages), parent_turn, reply_path.
 
     Sorting by conv_id, reply_path, turn gives the reply order; parent_turn is null where the
     message goes on from the one before it.
     """
     parsed = materialize(parsed_messages(messages, **columns), "messages")
-    links = materialize(reply_links(parsed), "links")
-    l = links.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "parent_turn", "n_linked")
-    m = parsed.join(l, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("turn") == F.col("t2")), "left").drop("c2", "t2", "own", "quotes")
+    passages = passage_links(parsed)
+    links = materialize(reply_links(passages), "links")
+    same = lambda c, t: F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col(c) == F.col(t))
+    found = passages.groupBy(F.col("conv_id").alias("c2"), F.col("row").alias("row2")).agg(F.sort_array(F.collect_set("passage")).alias("linked"))
+    m = parsed.select("conv_id", "turn", "role", "text", "row", "levels").join(found, same("row", "row2"), "left").drop("c2", "row2")
+    l = links.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "parent_turn")
+    m = m.join(l, same("turn", "t2"), "left").drop("c2", "t2")
     # a branch answers a message that is not the last one before it
     times = parsed.where("turn IS NOT NULL").select("conv_id", "turn").distinct().select("conv_id", "turn", F.lit(1).alias("own"))
     probe = links.select("conv_id", "turn", F.lit(0).alias("own"))
     before = running_last(times.unionByName(probe), ["conv_id"], ["turn", "own"], F.when(F.col("own") == 1, F.col("turn")), "previous").where("own = 0")
     b = before.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "previous")
-    starts = links.join(b, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("turn") == F.col("t2"))).where("parent_turn <> previous")
+    starts = links.join(b, same("turn", "t2")).where("parent_turn <> previous")
     starts = materialize(starts.select("conv_id", F.col("turn").alias("segment"), F.col("parent_turn").alias("at")), "starts")
     marks = starts.select("conv_id", F.col("segment").alias("turn"), F.lit(0).alias("kind"))
     at = running_last(marks.unionByName(starts.select("conv_id", F.col("at").alias("turn"), F.lit(1).alias("kind")).distinct()), ["conv_id"], ["turn", "kind"], F.when(F.col("kind") == 0, F.col("turn")), "up").where("kind = 1")
     a = at.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "up")
-    starts = starts.join(a, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("at") == F.col("t2")), "left").select("conv_id", "segment", "up", "at")
-    paths = branch_keys(starts)
+    placed_starts = starts.join(a, same("at", "t2"), "left").select("conv_id", "segment", "up", "at")
+    paths = branch_keys(placed_starts)
     p = paths.select(F.col("conv_id").alias("c2"), F.col("segment").alias("s2"), "path")
     rows = m.select("*", F.lit(1).alias("kind")).unionByName(marks.select("conv_id", "turn", "kind"), allowMissingColumns=True)
     placed = running_last(rows, ["conv_id"], ["turn", "kind"], F.when(F.col("kind") == 0, F.col("turn")), "segment").where("kind = 1")
-    placed = placed.join(p, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("segment") == F.col("s2")), "left")
-    return placed.select(
-        "conv_id", "turn", "role", F.col("body").alias("text"), "n_quoted", F.col("levels").alias("quote_levels"),
-        F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn", F.coalesce("path", F.array().cast("array<bigint>")).alias("reply_path"),
-    )
+    placed = placed.join(p, same("segment", "s2"), "left")
+    path = F.coalesce("path", F.array().cast("array<bigint>"))
+
+    def run(cols: list[list]) -> list[list]:
+        texts, gone = [], []
+        for text, linked in zip(cols[3], cols[5], strict=True):
+            new, n = without_quotes(parse(text), set(linked or [])) if ">" in text else ("", 0)
+            texts.append(new if n else text)
+            gone.append(n)
+        return [*cols[:3], texts, gone, cols[4], [len(x or []) for x in cols[5]], *cols[6:]]
+
+    schema = "conv_id long, turn long, role string, text string, n_quoted int, quote_levels int, n_linked long, parent_turn long, reply_path array<long>"
+    return map_rows(placed, [*map(F.col, ("conv_id", "turn", "role", "text", "levels", "linked", "parent_turn")), path], schema, run)

@@ -187,14 +187,97 @@ def test_quote_links_and_order(spark):
     by = {(r["conv_id"], r["turn"]): r for r in got}
     assert by[1, 2]["parent_turn"] == 0 and by[1, 2]["text"] == "But I ask again"
     assert by[1, 4]["parent_turn"] == 1 and by[1, 4]["quote_levels"] == 2 and by[1, 4]["n_linked"] == 2
-    assert by[1, 5]["parent_turn"] is None and by[1, 5]["text"] == "nothing linked"
+    assert by[1, 5]["parent_turn"] is None and by[1, 5]["text"] == "> never said before\nnothing linked" and by[1, 5]["n_quoted"] == 0
     assert by[2, 2000]["parent_turn"] == 0 and by[2, 2000]["reply_path"] == []
-    assert by[4, 1]["parent_turn"] == 0 and by[3, None]["text"] == "" and by[None, 1]["text"] == ""
+    assert by[4, 1]["parent_turn"] == 0 and by[3, None]["text"] == "" and by[None, 1]["text"] == "> x"
     order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["reply_path"], r["turn"]))]
     assert order == [0, 1, 4, 5, 2, 3]  # the branch at 1 ends before the one at 0 begins
     assert quo.conversations(df.limit(0)).count() == 0
 
 
+def test_what_is_no_quote_stays():
+    say = lambda text, linked=(): quo.without_quotes(quo.parse(text), set(linked))
+    assert say("yes: see\n>>> import os\n>>> os.getcwd()\nprints the folder") == ("", 0)  # nothing goes: the text stays as it is
+    assert say("On Monday they\nwrote:\n> gone\n> too\nkept") == ("kept", 2)
+    assert say("a\n> x\n> > y\nb", {2}) == ("a\nb", 2)
+
+
+def brute_links(rows):
+    """(conversation, turn) -> (linked passages, parent): every passage looked for in every earlier message."""
+    talks = defaultdict(list)
+    for c, t, _, text in rows:
+        talks[c].append((t, quo.parse(text)))
+    out = {}
+    for c, said in talks.items():
+        own = [(t, [x for v, x in segments if not v]) for t, segments in said]
+        for turn, segments in said:
+            votes, linked = Counter(), set()
+            for k, (level, text) in enumerate(segments):
+                words = quo.normal(text)
+                if not level or not words or turn is None:
+                    continue
+                n = min(8, len(words))
+                units = [words[i : i + n] for i in sorted({*range(0, len(words) - n + 1, n), len(words) - n})]
+                found = Counter()
+                for unit in units:
+                    have = [t for t, texts in own if t is not None and t < turn and any(has_unit(x, unit) for x in texts)]
+                    if have:
+                        found[max(have)] += 1
+                if found:
+                    source = max(found, key=lambda t: (found[t], t))
+                    linked.add(k)
+                    votes[level, source] += 1
+            parent = max(votes, key=lambda x: (-x[0], votes[x], x[1]))[1] if votes else None
+            out[c, turn] = (len(linked), parent)
+    return out
+
+
+def has_unit(text, unit):
+    if len(unit) == 8:
+        words = quo.normal(text)
+        return any(words[i : i + 8] == unit for i in range(len(words) - 7))
+    parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n"), *[x for p in re.split(r"\n\s*\n", text) for x in re.split(r"(?<=[.!?…。！？])\s*", p)]]
+    return any(quo.normal(p) == unit for p in parts)
+
+
+def test_planted_quotes_against_brute_force(spark):
+    """Thousands of messages that quote whole, rewrapped, cut, nested, short and foreign passages."""
+    rng = random.Random(6)
+    rows = []
+    for c in [None, *range(60)]:
+        said, n = [], rng.choice([3, 30, 80])
+        for t in range(n):
+            own = ". ".join(" ".join(f"w{rng.randrange(40 if rng.random() < 0.3 else 4000)}" for _ in range(rng.choice([1, 3, 9, 25]))) for _ in range(rng.randrange(1, 4)))
+            own = rng.choice(["Yes.", "No!", "好", own, own, own])
+            lines = []
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if not said:
+                    break
+                words = rng.choice([rng.choice(said), rng.choice(said[-3:]), "foreign text that nobody in here has ever said before"]).split()
+                if rng.random() < 0.3 and len(words) > 12:
+                    words = words[2:-1]
+                width, mark = rng.choice([3, 7, 100]), rng.choice(["> ", ">", ">> ", "> > "])
+                lines += [mark + " ".join(words[i : i + width]).upper() for i in range(0, len(words), width)]
+                lines += rng.choice([[], ["between"]])
+            said.append(own)
+            rows.append((c, None if t == 0 and rng.random() < 0.1 else t, "user", "\n".join([*lines, own])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quo.conversations(df).collect()
+    want = brute_links(rows)
+    assert len(rows) > 2000 and len(got) == len(rows)
+    assert {(r["conv_id"], r["turn"]): (r["n_linked"], r["parent_turn"]) for r in got} == want
+    assert sum(n > 0 for n, _ in want.values()) > 300 and any(len(r["reply_path"]) > 2 for r in got)
+    texts = {(c, t): x for c, t, _, x in rows}
+    assert all((r["n_quoted"] == 0) == (r["text"] == texts[r["conv_id"], r["turn"]]) and (r["n_linked"] == 0 or r["n_quoted"]) for r in got)
+
+
+def test_repeated_turns_of_a_large_conversation(spark):
+    rows = [(1, t // 3, "user", f"message number {t} has words of its own") for t in range(6000)]
+    rows += [(1, 3000 + k, "user", f"> Message number {k * 50} has words\n> of its own\nreply {k}") for k in range(100)] * 2
+    got = quo.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)).where("turn >= 3000").collect()
+    assert len(got) == 200 and all(r["parent_turn"] == (r["turn"] - 3000) * 50 // 3 and r["text"] == f"reply {r['turn'] - 3000}" for r in got)
+
+
 def test_quotes_keep_plain_conversations(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     got = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in q.op3_chat_quotes(spark, sf_dir).collect())
