@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import SPACE_DELIMITERS, broadcast_if_small, materialize, word_count
+from strandforge.llm.common import SPACE_DELIMITERS, broadcast_if_small, discard, materialize, word_count
 
 BLOCK_WORDS = 64
 BUCKET_WORDS = 1 << 16
@@ -35,6 +35,8 @@ SHARD_SLOTS = 4096
 MAX_SHARDS = 10_000
 #: Source counts of all shards that the driver draws, at most; with more sources shards get larger.
 MAX_DRAWN = 500_000
+#: Slots of a shard and source that a task deals at once.
+PIECE_SLOTS = 1 << 16
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 20_240_229
@@ -155,13 +157,15 @@ def slots(sources: DataFrame, max_repeat: int = MAX_REPEAT, shard_slots: int = S
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q = np.arange(r.first, r.first + r.n, dtype=np.int64)
-                epoch, at = q // r.blocks, q % r.blocks
-                block = np.empty_like(at)
-                for e in np.unique(epoch):
-                    m = epoch == e
-                    block[m] = permute(at[m], r.blocks, seed + 1_000_003 * (r.source_no + 1) + int(e))
-                yield pd.DataFrame({"shard": r.shard, "slot": r.slot + np.arange(r.n), "source_no": np.int32(r.source_no), "block": block})
+                for begin in range(0, r.n, PIECE_SLOTS):  # however many slots a shard has, a piece of them is held
+                    n = min(PIECE_SLOTS, r.n - begin)
+                    q = np.arange(r.first + begin, r.first + begin + n, dtype=np.int64)
+                    epoch, at = q // r.blocks, q % r.blocks
+                    block = np.empty_like(at)
+                    for e in np.unique(epoch):
+                        m = epoch == e
+                        block[m] = permute(at[m], r.blocks, seed + 1_000_003 * (r.source_no + 1) + int(e))
+                    yield pd.DataFrame({"shard": r.shard, "slot": r.slot + begin + np.arange(n), "source_no": np.int32(r.source_no), "block": block})
 
     tasks = max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return plan.repartition(tasks, "shard", "source_no").mapInPandas(deal, "shard long, slot long, source_no int, block long")
@@ -187,6 +191,7 @@ def mix_taken(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: int =
     targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
     places, sources = pack(sizes, targets, block_words)
     places, sources = materialize(places, "mix-places"), materialize(sources, "mix-sources")
+    discard(sizes, targets)
     takes = slots(sources, max_repeat, seed=seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     joined = overlaps(places, block_words).join(takes, ["source_no", "block"], "left")
     doc = ["doc_id", "text_hash", "size", "source_size", "target", "source_no", "bucket", "start"]
@@ -201,6 +206,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeat: in
     targets = materialize(source_targets(sizes, weights, max_repeat), "mix-targets")
     places, sources = pack(sizes, targets, block_words)
     places, sources = materialize(places, "mix-places"), materialize(sources, "mix-sources")
+    discard(sizes)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_DELIMITERS), "").alias("all")).dropDuplicates(["doc_id", "text_hash"])
     p = overlaps(places, block_words).where("words > 0")
     pieces = p.join(texts, [p["doc_id"].eqNullSafe(texts["doc_id"]), p["text_hash"] == texts["text_hash"]]).select(

@@ -9,9 +9,8 @@ partitions with lookup tables and reranks the best exactly, in double precision.
 The index is fitted on a bounded sample (SAMPLE rows, by hash of the id), also used to measure how
 many partitions must be probed for TARGET_RECALL; every row is indexed. Equal vectors are one
 entry that keeps the k + 1 smallest ids, all that any result can name. Partitions and their queries
-are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most. The
-sample also gives each query a score that its last result should reach; only the first blocks of a
-query return what is below it.
+are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most, and gives
+the k best of its block for each query; Spark keeps the k best of each task before they are dealt by query.
 
 Defined results: null, zero, or non-finite vectors, vectors of another length than the most common
 one (the shorter on ties) and rows without an id take no part; repeated rows count as one; an empty
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import materialize
+from strandforge.llm.common import bounded_batches, discard, materialize, pieces
 
 SAMPLE = 20_000
 CELL_TARGET = 2_000
@@ -38,6 +37,7 @@ QUERY_ROWS = 2_048
 TARGET_RECALL = 0.97
 THRESHOLD = 0.2  # of the score-aware loss: scores above this share of |q||x| matter
 RERANK = 10  # exact scores a block, per result asked for
+SCAN_QUERIES = 128  # queries of a table scan at once
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,6 @@ class Index:
     books: np.ndarray  # subspaces x 16 x 2
     eta: float
     probes: int
-    sample: np.ndarray  # SAMPLE x d at most
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -131,39 +130,32 @@ def fit(x: np.ndarray, rows: int, k: int, recall: float = TARGET_RECALL, seed: i
         rank = np.argsort(np.argsort(-(x[probe] @ centroids.T), axis=1), axis=1)
         depth = np.sort(np.take_along_axis(rank, near[top], axis=1).ravel())
         probes = min(cells, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1)
-    return Index(centroids, books, eta, probes, x)
-
-
-def floors(q: np.ndarray, sample: np.ndarray, k: int, step: int = 256) -> np.ndarray:
-    """For each query, a score that k other vectors reach: its (k + 1)-th best in the sample, of
-    which one may be the query itself (a little less, for rounding)."""
-    if len(sample) <= k:
-        return np.full(len(q), -np.inf)
-    parts = [np.partition(-(q[i : i + step] @ sample.T), k, axis=1)[:, k] for i in range(0, len(q), step)]
-    best = -np.concatenate(parts) if parts else np.zeros(0)
-    return best - 1e-9 * np.maximum(1.0, np.abs(best))
+    return Index(centroids, books, eta, probes)
 
 
 def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, centroid: np.ndarray, books: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query, the positions and exact inner products of the best ``top`` entries by table scan."""
+    top = min(top, len(x))
+    where, scores = np.empty((len(q), top), dtype=np.int64), np.empty((len(q), top))
     m = books.shape[0]
-    tables = np.einsum("qsd,scd->qsc", _pairs(q), books).astype(np.float32)
-    if m % 2:
-        tables, codes = np.pad(tables, ((0, 0), (0, 1), (0, 0))), np.pad(codes, ((0, 0), (0, 1)))
-    joined = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256)  # two codes a lookup
-    packed = np.ascontiguousarray((codes[:, 0::2].astype(np.intp) << 4 | codes[:, 1::2]).T)
-    where, scores = [], []
-    for i in range(len(q)):
+    codes = np.pad(codes, ((0, 0), (0, m % 2)))
+    packed = np.ascontiguousarray((codes[:, 0::2].astype(np.intp) << 4 | codes[:, 1::2]).T)  # two codes a lookup
+    for at in range(0, len(q), SCAN_QUERIES):
+        part = q[at : at + SCAN_QUERIES]
         if len(x) > top:
-            rough = np.zeros(len(x), dtype=np.float32)
-            for p, column in enumerate(packed):
-                rough += joined[i, p].take(column)
-            at = np.argpartition(-rough, top - 1)[:top]
+            tables = np.einsum("qsd,scd->scq", _pairs(part), books).astype(np.float32)
+            tables = np.pad(tables, ((0, m % 2), (0, 0), (0, 0)))
+            # a row of a table holds all queries' values for a code, so a lookup copies a row
+            joined = (tables[0::2, :, None] + tables[1::2, None, :]).reshape(len(packed), 256, len(part))
+            rough, row = np.zeros((len(x), len(part)), dtype=np.float32), np.empty((len(x), len(part)), dtype=np.float32)
+            for table, column in zip(joined, packed, strict=True):
+                rough += np.take(table, column, axis=0, out=row, mode="clip")
+            best = np.argpartition(-rough.T, top - 1, axis=1)[:, :top]
         else:
-            at = np.arange(len(x))
-        where.append(at)
-        scores.append((x[at] * q[i]).sum(axis=1))
-    return np.array(where).reshape(len(q), -1), np.array(scores).reshape(len(q), -1)
+            best = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
+        where[at : at + len(part)] = best
+        scores[at : at + len(part)] = np.einsum("qnd,qd->qn", x[best], part)
+    return where, scores
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -198,7 +190,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for b in batches:
+        for b in pieces(batches, 1 << 20):
             if b.num_rows:
                 x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype("<f8")
                 cell = assign(x, ix.centroids)
@@ -210,26 +202,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for b in batches:
+        for b in pieces(batches, 1 << 20):
             if b.num_rows:
                 q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype("<f8")
                 order = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
-                # the first cells that hold k + 1 entries give their best whatever the score, so no query comes back short
+                # cells that hold k + 1 entries at least, so no query comes back short
                 sure = np.cumsum(held[order], axis=1) - held[order] < k + 1
                 taken = sure | (np.arange(order.shape[1]) < ix.probes)
                 row, rank = np.nonzero(taken)
-                least = np.where(sure[row, rank], -np.inf, floors(q, ix.sample, k)[row])
                 raw = [r.tobytes() for r in q]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary()), pa.array(least, pa.float64())],
-                    names=["cell", "query_id", "q", "least"],
+                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary())],
+                    names=["cell", "query_id", "q"],
                 )
 
+    bounded_batches(spark)
     stored = materialize(entries.select("v", "ids").mapInArrow(coded, "cell int, ids array<long>, x binary, code binary"), "codes")
     counts = {"x": dict(stored.groupBy("cell").count().collect())}  # a row for each cell
     held = np.array([counts["x"].get(c, 0) for c in range(len(index.centroids))])
     asked = base.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v")
-    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary, least double"), "probes")
+    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary"), "probes")
+    discard(base, entries)
 
     counts["q"] = dict(asked.groupBy("cell").count().collect())
     blocks = {
@@ -247,10 +240,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(len(xs), -1)
             names = right.column("ids").to_pylist()
             where, exact = search_block(qs, xs, codes, ix.centroids[key[0].as_py()], ix.books, RERANK * (k + 1))
-            for own, least, at, s in zip(left.column("query_id").to_pylist(), left.column("least").to_pylist(), where, exact, strict=True):
+            for own, at, s in zip(left.column("query_id").to_pylist(), where, exact, strict=True):
                 got, floor = [], -np.inf
                 for j in np.argsort(-s, kind="stable").tolist():
-                    if s[j] < least or len(got) >= k and s[j] < floor:
+                    if len(got) >= k and s[j] < floor:
                         break
                     got += [(-s[j], i) for i in names[at[j]] if i != own]
                     floor = s[j]
