@@ -5,8 +5,8 @@ identifier cues and digits. From an anchor a deterministic local parser expands
 of the value and validates it. Parsers go left to right and never look back over a span of their
 own kind, so base kinds (email, ip, card, phone) come out leftmost and non-overlapping.
 
-Kinds beyond the base: ``iban`` (checked modulo 97), ``account`` (a number named by a cue such as
-"account no"), ``login`` (user:password in a URI).
+Kinds beyond the base: ``iban`` (behind a cue and words such as "number is"; checked modulo 97),
+``account`` (a number named by a cue such as "account no"), ``login`` (user:password in a URI).
 
 Defined results: null text is empty; null doc_id and repeated rows keep their rows; an empty table
 gives no rows; other columns are not read. Offsets are code points, end exclusive.
@@ -31,7 +31,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[^A-Za-z0-9]*(?:(?:no|nr|number|num|is)\b[^A-Za-z0-9]*)*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[\x20:#=.]{0,4}(?:(?:no|nr|number|num)\b)?[\x20:#=.]{0,4}([0-9][0-9-]{4,16}[0-9])(?![A-Za-z0-9-])", re.IGNORECASE)
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+@[A-Za-z0-9.-]+")
 
@@ -124,10 +124,10 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if m and m.start(1) >= free["account"] and not text[last + 1 : last + 2].isalnum():
                 out["account"].append(m.span(1))
                 free["account"] = m.end(1)
-            near = _IBAN.search(text, last + 1, min(len(text), last + 60))
-            end = near and near.start() >= free["iban"] and _iban_end(text, *near.span())
+            near = _IBAN.match(text, last + 1)
+            end = near and near.start(1) >= free["iban"] and _iban_end(text, *near.span(1))
             if end:
-                out["iban"].append((near.start(), end))
+                out["iban"].append((near.start(1), end))
                 free["iban"] = end
     return out
 

@@ -721,6 +721,14 @@ def test_personal_against_patterns(spark, sf_dir):
     assert pii.personal_data(frame(spark, [])).count() == 0
 
 
+def test_account_numbers_behind_cues():
+    text = "IBAN number is:" + " " * 500 + "DE89370400440532013000 and iban without one, account GB82WEST12345698765432; IBAN GB82WEST12345698765433"
+    assert [text[a:b] for a, b in pii.spans(text)["iban"]] == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    began = time.process_time()
+    assert pii.spans("iban " * 200_000 + "@" * 200_000 + "+1" * 200_000 + "1." * 200_000)["iban"] == []
+    assert time.process_time() - began < 30
+
+
 def test_personal_extra_kinds():
     f = pii.spans("IBAN: GB82 WEST 1234 5698 7654 32 AND account no: 1234567890, https://bob:pw@host.org/x accountant 1234567")
     text = "IBAN: GB82 WEST 1234 5698 7654 32 AND account no: 1234567890, https://bob:pw@host.org/x accountant 1234567"
