@@ -250,10 +250,11 @@ def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (doc_id, fp and other columns, written out) with component_id and root."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     labels = components(links(classes.select("fp"), radius))
-    named = materialize(labels.join(classes, labels["v"] == classes["fp"]).select("v", "c", "least"), "named")
-    best = materialize(named.groupBy("c").agg(F.min("least").alias("best")).withColumnRenamed("c", "c2"), "best")
-    named = named.join(best, F.col("c") == F.col("c2")).select(F.col("v").alias("fp2"), "best", "c")
+    named_all = materialize(labels.join(classes, labels["v"] == classes["fp"]).select("v", "c", "least"), "named")
+    best = materialize(named_all.groupBy("c").agg(F.min("least").alias("best")).withColumnRenamed("c", "c2"), "best")
+    named = named_all.join(best, F.col("c") == F.col("c2")).select(F.col("v").alias("fp2"), "best", "c")
     full = classes.join(named, classes["fp"] == named["fp2"], "left")
     full = full.select(F.col("fp").alias("fp2"), F.coalesce("best", "least").alias("component_id"), F.coalesce("c", "fp").alias("root"))
     full = materialize(full, "class-components")
+    discard(classes, labels, named_all, best)
     return prints.join(full, F.col("fp") == F.col("fp2")).drop("fp2")

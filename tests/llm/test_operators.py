@@ -42,10 +42,12 @@ ODD = [
     (7, "   \n\t ", "en", "", 3),
 ]
 EXTRA = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "words string", "fp string", "size int", "c0 int", "tid int"]
+#: Names that operators use on the way.
+EXTRA += [f"{n} int" for n in "row rows cls bands key u v c k n root hash text_hash near near_at places diag votes item_id id q bytes h bucket base start block turn own quotes passage source_no target host plan bits part wrapper cell xb qb c1 c2 t th d label score".split()]
 
 
 def frame(spark, rows=ODD):
-    rows = [(*r, "x", "y", 1, 2, 3) for r in rows]
+    rows = [(*r, "x", "y", *[1] * (len(EXTRA) - 7)) for r in rows]
     return spark.createDataFrame(rows, ", ".join(EXTRA)).repartition(3)
 
 
@@ -99,6 +101,37 @@ def test_license_shifted_and_similar(spark):
     assert got[3]["score"] < 0.5 and got[1]["n_base"] == 0
 
 
+def test_repeated_grams_are_no_license(spark):
+    rows = [(1, "the mit license " * 4, "en", "a", 1), (2, "conditions are met " * 22, "en", "a", 1), (3, "the software is the software is provided as is the software is " * 30, "en", "a", 1)]
+    got = {r["doc_id"]: r for r in lic.license_scan(frame(spark, rows)).collect()}
+    assert all(r["labels"] == "" and r["score"] <= 0.5 for r in got.values())
+
+
+def test_every_template_with_edited_words(spark):
+    """One word replaced, put in or left out in the middle; templates of eight words or more are still found."""
+    rows, want = [], {}
+    for t, (label, text) in enumerate(lic.TEMPLATES):
+        w, m = text.split(), len(text.split()) // 2
+        for k, edited in enumerate((w, [*w[:m], "zzz", *w[m + 1 :]], [*w[:m], "zzz", *w[m:]], [*w[:m], *w[m + 1 :]])):
+            want[4 * t + k] = label if len(w) >= 8 or not k else None
+            rows.append((4 * t + k, "Words before, " + " ".join(edited).upper() + "; words after.", "en", "a", 1))
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in lic.license_scan(frame(spark, rows)).collect()}
+    for i, label in want.items():
+        others = {x for j, (x, text) in enumerate(lic.TEMPLATES) if j != i // 4 and text in lic.TEMPLATES[i // 4][1]}
+        assert (label is None or label in got[i]) and got[i] - {label, ""} <= others | {x for x, _ in lic.BASE_PHRASES}, (i, label, got[i])
+
+
+def test_real_notices(spark):
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \u201cSoftware\u201d), to deal in the Software without restriction", "en", "a", 1),
+        (2, "You may not use this file except in compliance with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0", "en", "a", 1),
+        (3, "This work is licensed under the Creative Commons Attribution 4.0 International License", "en", "a", 1),
+        (4, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "en", "a", 1),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in lic.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: "mit", 2: "apache-2", 3: "cc-by", 4: "cc-by-sa"}
+
+
 # --- 2
 
 
