@@ -217,13 +217,26 @@ def branch_keys(starts: DataFrame) -> DataFrame:
     return now.select("conv_id", "segment", "path")
 
 
-def conversations(messages: DataFrame, **columns) -> DataFrame:
+def conversations(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, role, text (no quotes), n_quoted (lines left out), quote_levels, n_linked (passages), parent_turn, reply_path.
 
     Sorting by conv_id, reply_path, turn gives the reply order; parent_turn is null where the
-    message goes on from the one before it.
+    message goes on from the one before it. Only conversations with a line that begins with ">" are
+    parsed; in others there is nothing to link or to leave out.
     """
-    parsed = materialize(parsed_messages(messages, **columns), "messages")
+    typed = messages.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    talks = materialize(typed.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select(F.col("conv_id").alias("c2"), F.lit(True).alias("quotes")).distinct(), "quoting")
+    split = typed.join(broadcast_if_small(talks), F.col("conv_id").eqNullSafe(F.col("c2")), "left")
+    none = F.lit(None).cast("long")
+    plain = split.where("quotes IS NULL").select(
+        "conv_id", "turn", "role", "text", F.lit(0).alias("n_quoted"), F.lit(0).alias("quote_levels"), F.lit(0).cast("long").alias("n_linked"), none.alias("parent_turn"), F.array().cast("array<bigint>").alias("reply_path")
+    )
+    return plain.unionByName(linked_conversations(split.where("quotes").select("conv_id", "turn", "role", "text")))
+
+
+def linked_conversations(messages: DataFrame) -> DataFrame:
+    """The same of messages (conv_id, turn, role, text) all of which are parsed."""
+    parsed = materialize(parsed_messages(messages), "messages")
     passages = passage_links(parsed)
     links = materialize(reply_links(passages), "links")
     same = lambda c, t: F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col(c) == F.col(t))
