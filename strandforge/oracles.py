@@ -306,6 +306,11 @@ ORACLES: dict[str, str] = {
     "stored_header": _with(f"SELECT 'stored' AS which, * FROM ({_STORED})"),
     "header_precedence": _with(f"SELECT 'rebuilt' AS which, * FROM ({_REBUILT.format(name='name')}) UNION ALL SELECT 'seqid', * FROM ({_REBUILT.format(name='seq_id')}) UNION ALL SELECT 'comments', * FROM ({_STORED} UNION ALL SELECT 27, '@CO'||chr(9)||'one' UNION ALL SELECT 28, '@CO'||chr(9)||'two words')"),
     "header_without_stored": _with(f"SELECT 'none stored' AS which, * FROM ({_REBUILT.format(name='name')} UNION ALL SELECT 26, '@CO'||chr(9)||'c')"),
+    "header_from_file": "SELECT * FROM (VALUES ('file', 0::bigint, '@HD'||chr(9)||'VN:1.5'), ('file', 1, '@CO'||chr(9)||'from a file'), ('file', 2, '@CO'||chr(9)||'c')) t(which, line_no, line)",
+    "cache_refs_counts": "SELECT 2 AS processed, 1 AS failed",
+    "progress_records": _with("SELECT (SELECT count(*) FROM aligned) + (SELECT count(*) FROM secondary) + (SELECT count(*) FROM emitted) AS n_records"),
+    "bam_narrow_fields": _with("SELECT align_id, " + ", ".join(f"{_le('align_id*70001-500000', n)} AS bytes_{n}" for n in (1, 2, 4)) + " FROM aligned"),
+    "rnext_without_mate": _with(f"SELECT align_id, {_rnext('ref_name', 'NULL')} AS rnext, {_pnext('NULL::int')} AS pnext FROM (SELECT * REPLACE (CASE align_id%4 WHEN 0 THEN '*' WHEN 1 THEN '' WHEN 2 THEN ref_name ELSE mate_ref_name END AS mate_ref_name) FROM aligned)"),
     "error_fields": _with(f"SELECT align_id, ({_ERROR}&63)::int AS state, (({_ERROR}>>6)&255)::int AS object, (({_ERROR}>>14)&127)::int AS context, (({_ERROR}>>21)&63)::int AS target, (({_ERROR}>>27)&31)::int AS module, {_ERROR}&63=1 AS is_done, ({_ERROR}>>27)&31=18 AS is_network FROM aligned"),
     "progress_texts": _with(
         "SELECT align_id, CASE WHEN s<60 THEN s::string||'s' WHEN s<3600 THEN (s//60)::string||'m'||CASE WHEN s%60=0 THEN '' ELSE ' '||(s%60)::string||'s' END ELSE (s//3600)::string||'h'||CASE WHEN s%3600//60=0 THEN '' ELSE ' '||(s%3600//60)::string||'m' END END AS duration, format('{:,}', align_id*1013) AS n FROM (SELECT align_id, align_id*7 AS s FROM aligned)"

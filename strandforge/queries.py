@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from strandforge.operators import filters, records, references, regions
 from strandforge.operators.mates import take_order, with_cached_mates
 from strandforge.operators.records import Format
 from strandforge.operators.spots import emitted_reads
-from strandforge.plans.cli import convert
+from strandforge.plans.cli import cache_refs, convert
 from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_table, header_of, key_ranges, records_plan, with_bam_ids
+from strandforge.plans.progress import Progress
 from strandforge.sources import fixture
 from strandforge.sources import schemas as S
 from strandforge.sources.storage import new_path
@@ -513,6 +515,44 @@ def header_without_stored(a):
     return _header_rows(a, {"none stored": Options(header_comments=("c",))})
 
 
+@query
+def header_from_file(a):
+    """A file's header wins over a rebuilt one; its last line gets its line end."""
+    with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
+        f.write("@HD\tVN:1.5\n@CO\tfrom a file")
+        f.flush()
+        return _header_rows(a, {"file": Options(header_file=f.name, regenerate_header=True, header_comments=("c",))})
+
+
+@query
+def cache_refs_counts(a):
+    processed, failed = cache_refs(a.spark, [a.path, f"{a.path}-none", a.path])
+    return a.spark.createDataFrame([(processed, failed)], "processed int, failed int")
+
+
+@query
+def progress_records(a):
+    """What the progress line counts while a conversion runs."""
+    progress = Progress()
+    progress.watch(records_plan(a, Options(unaligned=True), with_header=True)).write.format("noop").mode("overwrite").save()
+    return a.spark.createDataFrame([(progress.observation.get["records"],)], "n_records long")
+
+
+@query
+def bam_narrow_fields(a):
+    """Numbers too wide, or negative, for the bytes of their field."""
+    x = c("align_id") * 70_001 - 500_000
+    return a.aligned().select("align_id", *[bam.little(x, n).alias(f"bytes_{n}") for n in (1, 2, 4)])
+
+
+@query
+def rnext_without_mate(a):
+    """Mates on "*", on nothing and on the same reference."""
+    name = F.when(c("align_id") % 4 == 0, "*").when(c("align_id") % 4 == 1, "").when(c("align_id") % 4 == 2, c("ref_name")).otherwise(c("mate_ref_name"))
+    none = F.lit(None).cast("int")
+    return a.aligned().select("align_id", fields.rnext(none, name, c("ref_name")).alias("rnext"), fields.pnext(none, name, c("mate_ref_pos")).alias("pnext"))
+
+
 @query
 def error_fields(a):
     code = (c("align_id") * 2654435761 % 4294967296).cast("long")

@@ -161,7 +161,8 @@ def write_bam(records: DataFrame, folder: str, order: list[str], ranges: DataFra
     fs.mkdirs(where)
     uri = fs.makeQualified(where).toUri()
     full = f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
-    ordered(records, order, ranges, part_rows).select(F.unhex("record").alias("data")).write.format("strandforge_blocks").mode("append").save(full)
+    binary = records.withColumn("record", F.unhex("record"))  # before it is dealt: half as wide
+    ordered(binary, order, ranges, part_rows).select(F.col("record").alias("data")).write.format("strandforge_blocks").mode("append").save(full)
 
 
 def write_bam_file(records: DataFrame, target: str, order: list[str], ranges: DataFrame, part_rows: int = PART_ROWS) -> None:
