@@ -13,7 +13,7 @@ from strandforge.operators.mates import with_cached_mates
 from strandforge.operators.records import Format
 from strandforge.operators.spots import emitted_reads
 from strandforge.plans import cli, convert, retry
-from strandforge.sources import fixture, writers
+from strandforge.sources import fixture, storage, writers
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive, open_archive
 from strandforge.streaming import follow
@@ -408,3 +408,17 @@ def test_plans_have_no_python(spark, sf_dir):
     for name, q in QUERIES.items():
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.mark.parametrize("master,fine", [("local", True), ("local[8]", True), ("local-cluster[3,2,1000]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_a_cluster_needs_a_shared_folder(master, fine):
+    from types import SimpleNamespace
+
+    known = {}
+    conf = SimpleNamespace(get=lambda k, d=None: known.get(k, d), set=known.__setitem__)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    if fine:
+        assert storage.shared_folder(session).startswith("file://") and known
+    else:
+        with pytest.raises(RuntimeError):
+            storage.shared_folder(session)
