@@ -9,8 +9,9 @@ partitions with lookup tables and reranks the best exactly, in double precision.
 The index is fitted on a bounded sample (SAMPLE rows, by hash of the id), also used to measure how
 many partitions must be probed for TARGET_RECALL; every row is indexed. Equal vectors are one
 entry that keeps the k + 1 smallest ids, all that any result can name. Partitions and their queries
-are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most, and gives
-the k best of its block for each query; Spark keeps the k best of each task before they are dealt by query.
+are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most. The partitions
+nearest to a query are searched first; its k-th best score there is the least that the other
+partitions give back, so what is dealt by query does not grow with how many are probed.
 
 Defined results: null, zero, or non-finite vectors, vectors of another length than the most common
 one (the shorter on ties) and rows without an id take no part; repeated rows count as one; an empty
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import bounded_batches, discard, materialize, pieces
+from strandforge.llm.common import bounded_batches, broadcast_if_small, discard, materialize, pieces
 
 SAMPLE = 20_000
 CELL_TARGET = 2_000
@@ -212,8 +213,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
                 row, rank = np.nonzero(taken)
                 raw = [r.tobytes() for r in q]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary())],
-                    names=["cell", "query_id", "q"],
+                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary()), pa.array(sure[row, rank])],
+                    names=["cell", "query_id", "q", "first"],
                 )
 
     bounded_batches(spark)
@@ -221,7 +222,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
     counts = {"x": dict(stored.groupBy("cell").count().collect())}  # a row for each cell
     held = np.array([counts["x"].get(c, 0) for c in range(len(index.centroids))])
     asked = base.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v")
-    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary"), "probes")
+    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary, first boolean"), "probes")
     discard(base, entries)
 
     counts["q"] = dict(asked.groupBy("cell").count().collect())
@@ -240,10 +241,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(len(xs), -1)
             names = right.column("ids").to_pylist()
             where, exact = search_block(qs, xs, codes, ix.centroids[key[0].as_py()], ix.books, RERANK * (k + 1))
-            for own, at, s in zip(left.column("query_id").to_pylist(), where, exact, strict=True):
+            for own, least, at, s in zip(left.column("query_id").to_pylist(), left.column("least").to_pylist(), where, exact, strict=True):
                 got, floor = [], -np.inf
                 for j in np.argsort(-s, kind="stable").tolist():
-                    if len(got) >= k and s[j] < floor:
+                    if s[j] < least or len(got) >= k and s[j] < floor:
                         break
                     got += [(-s[j], i) for i in names[at[j]] if i != own]
                     floor = s[j]
@@ -252,6 +253,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
         return pa.table({"query_id": pa.array(of, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     keys = ["cell", "xb", "qb"]
-    found = q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(search, out)
+    found_in = lambda rows: rows.drop("first").groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(search, out)
+    # the nearest cells of a query tell a score that its k-th result reaches; the others return nothing below it
+    near = materialize(found_in(q.where("first").withColumn("least", F.lit(float("-inf")))), "nearest-cells")
+    reached = near.groupBy("query_id").agg(F.coalesce(F.expr(f"try_element_at(sort_array(collect_list(score), false), {k})"), F.lit(float("-inf"))).alias("least"))
+    far = found_in(q.where("NOT first").join(broadcast_if_small(reached), "query_id").select(*q.columns, "least"))
+    found = near.unionByName(far)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
