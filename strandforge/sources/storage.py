@@ -35,10 +35,10 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """df written once, with options of the Parquet writer, and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
