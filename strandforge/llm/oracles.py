@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandforge.llm.collocations import INSIDE, LEAST, TOP
 from strandforge.llm.decontaminate import WINDOW
 from strandforge.llm.license_scan import BASE_PHRASES, EDIT_SHARE, MAX_SHIFT, TEMPLATES
 from strandforge.llm.secrets import JWT, RULES
@@ -68,4 +69,23 @@ SELECT doc_id, {counts}, sha256(coalesce({said} FILTER (base), '')) AS base_sha2
 FROM d LEFT JOIN f USING (rid) GROUP BY rid, doc_id"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _licenses(), "op6_decontamination": _leaks(), "op10_secrets": _secrets()}
+def _collocations() -> str:
+    low = _LOW.format("text")
+    return rf"""WITH p AS (SELECT row_number() OVER () AS pid, lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda v: v <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({low}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+o AS (SELECT lang, pid, unnest(w) AS w1, unnest(range(len(w))) AS i FROM p),
+g AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM o WINDOW s AS (PARTITION BY pid ORDER BY i)),
+f1 AS (SELECT lang, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1||' '||w2 AS phrase, count(*) AS f, any_value(w1) AS w1, any_value(w2) AS w2 FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {LEAST}),
+f3 AS (SELECT lang, w1||' '||w2||' '||w3 AS phrase, count(*) AS f, any_value(w1) AS w1, any_value(w1||' '||w2) AS left2, any_value(w2||' '||w3) AS right2, any_value(w3) AS w3 FROM g WHERE w3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {LEAST}),
+cuts AS (SELECT f2.lang, f2.phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.phrase = w1 JOIN f1 y ON y.lang = f2.lang AND y.phrase = w2
+ UNION ALL SELECT f3.lang, f3.phrase, f3.f, 1, x.f, y.f FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.phrase = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.phrase = right2
+ UNION ALL SELECT f3.lang, f3.phrase, f3.f, 2, x.f, y.f FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.phrase = left2 JOIN f1 y ON y.lang = f3.lang AND y.phrase = f3.w3),
+said AS (SELECT *, (1000000::hugeint * a * a) // (l::hugeint * r) AS score FROM cuts),
+worst AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner2 AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, left2 AS phrase, f FROM f3 UNION ALL SELECT lang, right2, f FROM f3) GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inner2 USING (lang, phrase) WHERE coalesce(100 * most < {INSIDE} * a, true)),
+totals AS (SELECT lang, sum(f)::bigint AS n FROM f1 GROUP BY 1)
+SELECT lang, rank, phrase, a, l, r, n, score::bigint AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= {TOP}"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _licenses(), "op6_decontamination": _leaks(), "op10_secrets": _secrets(), "op12_collocations": _collocations()}

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandforge.llm import toxicity
 from strandforge.llm.common import table
+from strandforge.llm.collocations import collocations
 from strandforge.llm.decontaminate import decontaminate
+from strandforge.llm.hard_negatives import hard_negatives
 from strandforge.llm.html_text import extract_pages
 from strandforge.llm.license_scan import license_scan
 from strandforge.llm.mixing import mix_taken
@@ -66,10 +69,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_nearest_neighbours, op3_chat_quotes, op4_mixing, op5_simhash,
         op6_decontamination, op7_quality, op8_html_text, op9_personal_data, op10_secrets,
+        op11_toxicity, op12_collocations, op13_hard_negatives,
     )
 }
