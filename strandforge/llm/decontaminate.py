@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -56,21 +56,31 @@ class Benchmark:
     words: list[list[bytes]]
     codes: dict[bytes, str]
     automaton: ahocorasick.Automaton
-    hashes: np.ndarray  # of whole windows, ascending
-    where: np.ndarray  # text and first word of each, in the same order
-
-    def windows_at(self, words: list[bytes], first: int) -> list[int]:
-        """Texts that have the document's window at this word."""
+    hashes: np.ndarray  # of different windows, ascending
+    where: np.ndarray  # a text and a word where each stands, in the same order
+    begins: np.ndarray  # where the texts of each begin in holders, and where those of the last end
+    holders: np.ndarray  # texts
+    known: dict[int, tuple[int, ...]] = field(default_factory=dict)
+
+    def windows_at(self, words: list[bytes], first: int) -> tuple[int, ...]:
+        """Texts that have the document's window at this word; one object for each different window."""
         if first < 0 or first + self.window > len(words):
-            return []
+            return ()
         part = words[first : first + self.window]
         h = np.uint64(xxhash.xxh64_intdigest(b" ".join(part)))
-        a, b = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
-        return [int(t) for t, at in self.where[a:b].tolist() if self.words[t][at : at + self.window] == part]
-
-    def scan(self, words: list[bytes]) -> dict[tuple[int, int], set[int]]:
+        k = int(np.searchsorted(self.hashes, h))
+        while k < len(self.hashes) and self.hashes[k] == h:  # different windows of one hash stand in a row
+            t, at = self.where[k].tolist()
+            if self.words[t][at : at + self.window] == part:
+                if k not in self.known:
+                    self.known[k] = tuple(self.holders[self.begins[k] : self.begins[k + 1]].tolist())
+                return self.known[k]
+            k += 1
+        return ()
+
+    def scan(self, words: list[bytes]) -> dict[tuple[int, int], tuple[int, ...]]:
         """(first word, words) of every window that stands in the document, with its texts."""
-        found: dict[tuple[int, int], set[int]] = {}
+        found: dict[tuple[int, int], tuple[int, ...]] = {}
         if not len(self.automaton):
             return found
         get = self.codes.get
@@ -78,15 +88,14 @@ class Benchmark:
         tried: set[int] = set()
         for last, (n, short) in self.automaton.iter(text):
             first = last - n + 1
-            for t in short:  # whole items of fewer words than a window
-                if words[first : last + 1] == self.words[t]:
-                    found.setdefault((first, n), set()).add(t)
+            if short and (whole := tuple(t for t in short if words[first : last + 1] == self.words[t])):  # items of fewer words than a window
+                found[first, n] = whole
             if n == self.window // 2:
                 for at in range(last + 1 - self.window, first + 1):
                     if at not in tried:
                         tried.add(at)
                         if texts := self.windows_at(words, at):
-                            found.setdefault((at, self.window), set()).update(texts)
+                            found[at, self.window] = texts
         return found
 
 
@@ -115,11 +124,34 @@ def build(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> B
     for block, short in blocks.items():
         automaton.add_word(block, (len(block), short))
     automaton.make_automaton()
-    order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
-    return Benchmark(
-        window, [sorted(i) for i in texts.values()], all_words, codes, automaton,
-        np.array(hashes, dtype=np.uint64)[order], np.array(where, dtype=np.int32).reshape(-1, 2)[order],
-    )
+    return Benchmark(window, [sorted(i) for i in texts.values()], all_words, codes, automaton, *_windows(hashes, where, all_words, window))
+
+
+def _windows(hashes: list[int], where: list[tuple[int, int]], words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and a place of each different window, and which texts hold it, each text once."""
+    h, w = np.array(hashes, dtype=np.uint64), np.array(where, dtype=np.int32).reshape(-1, 2)
+    order = np.lexsort((w[:, 1], w[:, 0], h))
+    h, w = h[order], w[order]
+    same_hash = np.r_[False, h[1:] == h[:-1]]
+    first: list[int] = []  # positions of the different windows
+    holders: list[list[int]] = []
+    run: dict[tuple[bytes, ...], int] = {}
+    for k, (again, (t, at)) in enumerate(zip(same_hash.tolist(), w.tolist(), strict=True)):
+        if not again:
+            run = {}
+            if k + 1 == len(h) or not same_hash[k + 1]:  # the usual case: nothing else has its hash
+                first.append(k)
+                holders.append([t])
+                continue
+        part = tuple(words[t][at : at + window])
+        if part not in run:
+            run[part] = len(first)
+            first.append(k)
+            holders.append([t])
+        elif holders[run[part]][-1] != t:
+            holders[run[part]].append(t)
+    begins = np.cumsum([0, *map(len, holders)])
+    return h[first], w[first], begins, np.array([t for texts in holders for t in texts], dtype=np.int32)
 
 
 def merge(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,7 +197,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             for d, t, key in zip(*cols, strict=True):
                 words = normal_words(t)
                 found = b.scan(words)
-                ids = sorted({i for texts in found.values() for x in texts for i in b.ids[x]})
+                texts = {id(t): t for t in found.values()}.values()  # the same window has the same object
+                ids = sorted({i for t in texts for x in t for i in b.ids[x]})
                 hit, spans = _spans(t, found)
                 places = [{"first": a, "n": n} for a, n in found] if places_only else None
                 for column, value in zip(out, (d, len(words), hit, ids, spans, key if places_only else None, places), strict=True):

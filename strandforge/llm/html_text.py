@@ -142,14 +142,31 @@ def parse(source: str | None) -> Node:
     source = source or ""
     root = Node("#root")
     stack, at, n = [root], 0, len(source)
+    # where open elements stand in the stack, by tag, and where those that are blocks do: no walk over the stack
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def put(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        if node.tag in _BLOCK:
+            blocks.append(len(stack))
+        stack.append(node)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
+
+    def innermost(tags: set[str]) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=0)
 
     def close(tags: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        """The innermost open element of the tags, unless one of stop is further in."""
+        found = innermost(tags)
+        if found and found >= innermost(stop):
+            cut(found)
 
     while at < n:
         m = _TOKEN.search(source, at)
@@ -165,24 +182,21 @@ def parse(source: str | None) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", "br"))
-            elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if tag not in _BLOCK and stack[i].tag in _BLOCK:  # a stray inline end tag closes no block
-                        break
+            elif tag not in ("html", "body") and places.get(tag):
+                found = places[tag][-1]
+                if tag in _BLOCK or not blocks or blocks[-1] < found:  # a stray inline end tag closes no block
+                    cut(found)
             continue
         if at == n and not source.endswith(">"):
             break  # cut off inside a tag
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag == "body":
             close({"head"}, {"body"})
         elif tag in _ENDS_P:
             close({"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "aside", "form", "button", "figure"})
             if tag[0] == "h" and len(tag) == 2 and stack[-1].tag[0] == "h" and len(stack[-1].tag) == 2 and stack[-1].tag[1].isdigit():
-                stack.pop()
+                cut(len(stack) - 1)
         if tag in _CLOSES:
             close(*_CLOSES[tag])
         node = _open(tag, m[3])
@@ -198,7 +212,7 @@ def parse(source: str | None) -> Node:
             continue
         if m[3].rstrip().endswith("/") and tag in ("path", "circle", "rect", "use", "line", "g", "image"):
             continue
-        stack.append(node)
+        put(node)
     return root
 
 

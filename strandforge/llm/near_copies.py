@@ -10,9 +10,11 @@ a similarity of 0.8 (some 10 of 64 bits differ) from one of 0.6 (16):
 3. In a bucket, bit planes are stored vertically, distances of a member to a block of others are added
    up in carry-save counters, and a block is abandoned once all of it exceeds RADIUS bits. RADIUS lies
    two standard deviations above the mean for 0.8. The bucket gives the edges of spanning trees, never all its pairs.
+   A bucket of more than BUCKET classes is cut into parts by their hashes, and every two parts are a bucket: each pair still meets, in tasks of bounded size.
 4. An edge counts if the whole shingle sets have a Jaccard similarity of 0.8 or more, so nothing below
    0.8 is joined directly. As a tree may have left out a better edge than one that failed, each member
    of a bucket that is still of another component than most then names the nearest of the others, and these edges are verified too.
+   A tree may be a star: the shingle set of its hub is sent once for every HUB edges, not with each.
 5. Connected components as in ``simhash``.
 
 Nothing is capped or sampled. What can be lost is a link of a similarity close to 0.8 whose bits
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import broadcast_if_small, discard, map_rows, materialize
+from strandforge.llm.common import bounded_batches, broadcast_if_small, discard, map_rows, materialize
 from strandforge.llm.simhash import SEED, bit_planes, buckets_of, components, within_radius
 
 SHINGLE = 5
@@ -48,6 +50,8 @@ BAND_ROWS = 4
 #: Members that are compared with one another bit by bit, without planes.
 FEW = 24
 BLOCK = 4096
+#: Classes of a bucket, at most; and edges of a hub that one task verifies.
+BUCKET, HUB = 4096, 512
 _CHUNK = 1 << 13
 _EPS = 1e-9
 _random = np.random.default_rng(SEED)
@@ -176,7 +180,21 @@ def nearest_edges(prints: list[bytes], of: np.ndarray, radius: int = RADIUS) ->
     return out
 
 
-def _edges(rows: DataFrame, find) -> DataFrame:
+def bounded_buckets(rows: DataFrame, most: int = BUCKET) -> DataFrame:
+    """rows (key, cls, ...) of buckets of two classes or more; larger ones than ``most`` as buckets of every two of their parts."""
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    large = sizes.where(F.col("n") > most).select(F.col("key").alias("large_key"), F.ceil(2 * F.col("n") / most).cast("int").alias("parts"))
+    if large.limit(1).count() == 0:
+        return rows
+    joined = rows.join(broadcast_if_small(large), F.col("key") == F.col("large_key"), "left")
+    own, kept = F.pmod(F.xxhash64("cls", "key"), F.col("parts")).cast("int"), [c for c in rows.columns if c != "key"]
+    split = joined.where("parts IS NOT NULL").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # parts are of half the size, so any two fit; two parts of one number meet in the buckets with all others
+    pair = split.where("own != other").select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *kept)
+    return joined.where("parts IS NULL").select("key", *kept).unionByName(pair)
+
+
+def _edges(rows: DataFrame, find, most: int = BUCKET) -> DataFrame:
     """u, v: the edges that find(columns of a bucket) gives as positions; rows: key, cls, fp, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,31 +205,54 @@ def _edges(rows: DataFrame, find) -> DataFrame:
                 got += [(int(cls[i]), int(cls[j])) for i, j in find(bucket)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "u long, v long").distinct()
+    return bounded_buckets(rows, most).repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "u long, v long").distinct()
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two shingle sets have this Jaccard similarity."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - _EPS:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common) - _EPS
 
 
-def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str) -> DataFrame:
-    """The edges whose whole shingle sets are similar enough, written out."""
+def _verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, hub: int = HUB) -> DataFrame:
+    """The edges (member, parent) whose whole shingle sets are similar enough, written out.
+
+    A parent with many members is dealt to several tasks, hub members each. A task gets the parent's set first
+    and then streams its members', so it holds two sets, and no set is sent with every edge of its hub.
+    """
     edges = materialize(edges, "tree-edges")
     asked = edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "k")
     wanted = materialize(asked.join(classes, F.col("k") == F.col("cls")).select("cls", F.col("text_hash").alias("h")), "asked")
     texts = docs.select(F.col(text).alias("t"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     found = texts.join(broadcast_if_small(wanted), F.col("th") == F.col("h")).select("cls", "t")
-    sets = map_rows(found, [F.col("cls"), F.col("t")], "cls long, s binary", lambda cols: [cols[0], [shingle_set(t, shingle).tobytes() for t in cols[1]]])
-    sets = materialize(sets.groupBy("cls").agg(F.first("s").alias("s")), "sets")
-    both = edges.join(sets.select(F.col("cls").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("cls").alias("v"), F.col("s").alias("sv")), "v")
+    sets = map_rows(found.dropDuplicates(["cls"]), [F.col("cls"), F.col("t")], "cls long, s binary", lambda cols: [cols[0], [shingle_set(t, shingle).tobytes() for t in cols[1]]])
+    sets = materialize(sets, "sets")
+    degrees = materialize(edges.groupBy(F.col("v").alias("p")).agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("shares")), "hubs")
+    dealt = edges.join(degrees, F.col("v") == F.col("p")).select("u", "v", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int").alias("share"))
+    own = lambda name: sets.select(F.col("cls").alias(name), "s")
+    members = dealt.join(own("m"), F.col("u") == F.col("m")).select("v", "share", F.lit(1).alias("kind"), "u", "s")
+    parents = degrees.select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(own("m"), F.col("p") == F.col("m"))
+    rows = members.unionByName(parents.select(F.col("p").alias("v"), "share", F.lit(0).alias("kind"), F.col("p").alias("u"), "s"))
 
-    def run(cols: list[list]) -> list[list]:
-        keep = []
-        for i, (a, b) in enumerate(zip(cols[2], cols[3], strict=True)):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if common >= similarity * (len(x) + len(y) - common) - _EPS:
-                keep.append(i)
-        return [[c[i] for i in keep] for c in cols[:2]]
-
-    out = materialize(map_rows(both, [F.col(c) for c in ("u", "v", "su", "sv")], "u long, v long", run), "similar")
-    discard(edges, wanted, sets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parent = None, b""
+        for b in batches:
+            keep: tuple[list, list] = ([], [])
+            for v, share, kind, u, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if kind == 0:
+                    of, parent = (v, share), s
+                elif of == (v, share) and similar(s, parent, similarity):
+                    keep[0].append(u)
+                    keep[1].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in keep], names=["u", "v"])
+
+    bounded_batches(docs.sparkSession)
+    streamed = rows.repartition("v", "share").sortWithinPartitions("v", "share", "kind").select("v", "share", "kind", "u", "s")
+    out = materialize(streamed.mapInArrow(run, "u long, v long"), "similar")
+    discard(edges, wanted, sets, degrees)
     return out
 
 

@@ -9,8 +9,9 @@ client has broken into other lines, or a part of a message, has the same hashes
 * a shorter passage gives one hash; a message gives one for each shorter line, sentence, paragraph and
   own text as a whole, however short.
 
-A hash is linked to the latest earlier message of the conversation that has it, a passage to the one
-that most of its hashes come from (the latest of several), and the words of both are compared. A
+Hashes have 128 bits and stand for the words themselves, so texts are parsed once and not joined, however long they are and
+however many messages quote them. A hash is linked to the latest earlier message of the conversation that has it, a passage to the one
+that most of its hashes come from (the latest of several). A
 message replies to what most of its least nested linked passages come from. A quote block is left out
 of the text if one of its passages is linked or a line such as "On Monday they wrote:" stands before it, which
 goes with it; other lines that begin with ">" are the message's own. Conversations are returned in reply
@@ -62,12 +63,11 @@ def parse(text: str | None) -> list[tuple[int, str]]:
     return [(level, "\n".join(lines)) for level, lines in out]
 
 
-def _hash(words: list[str]) -> int:
-    h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), int(len(words) < WINDOW))
-    return h - (1 << 64) if h >> 63 else h
+def _hash(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"), int(len(words) < WINDOW))
 
 
-def passage_hashes(text: str) -> list[int]:
+def passage_hashes(text: str) -> list[bytes]:
     words = normal(text)
     if len(words) < WINDOW:
         return [_hash(words)] if words else []
@@ -75,9 +75,9 @@ def passage_hashes(text: str) -> list[int]:
     return [_hash(words[i : i + WINDOW]) for i in sorted(starts)]
 
 
-def own_hashes(own: list[str]) -> set[int]:
+def own_hashes(own: list[str]) -> set[bytes]:
     """Of a message's own segments, anything that a passage can be linked by."""
-    out: set[int] = set()
+    out: set[bytes] = set()
     for text in own:
         words = normal(text)
         out.update(_hash(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1))
@@ -87,18 +87,6 @@ def own_hashes(own: list[str]) -> set[int]:
     return out
 
 
-def stands_in(passage: str, own: list[str]) -> bool:
-    """Whether a run of WINDOW words of the passage, or all of a shorter one, is in the text word by word."""
-    words = normal(passage)
-    n = min(WINDOW, len(words))
-    runs = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-    for text in own:
-        have = normal(text)
-        if n and any(" ".join(have[i : i + n]) in runs for i in range(len(have) - n + 1)):
-            return True
-    return False
-
-
 def without_quotes(segments: list[tuple[int, str]], linked: set[int]) -> tuple[str, int]:
     """The message's text without the quote blocks that go, and how many lines went."""
     kept: list[str] = []
@@ -137,7 +125,7 @@ def parsed_messages(messages: DataFrame, conv_id: str = "conv_id", turn: str = "
             levels.append(max((v for _, v, _ in quoted), default=0))
         return [*cols[:3], [t or "" for t in cols[3]], cols[4], own, quotes, levels]
 
-    schema = "conv_id long, turn long, role string, text string, row long, own array<long>, quotes array<struct<passage:int,level:int,hash:long>>, levels int"
+    schema = "conv_id long, turn long, role string, text string, row long, own array<binary>, quotes array<struct<passage:int,level:int,hash:binary>>, levels int"
     columns = [F.col(conv_id).cast("long"), F.col(turn).cast("long"), F.col(role), F.col(text)]
     return map_rows(messages, [*columns, F.xxhash64(*columns)], schema, run)
 
@@ -159,7 +147,7 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: Column
 
 
 def passage_links(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, row, passage, level, source (turn) of the passages found in earlier messages, word by word."""
+    """conv_id, turn, row, passage, level, source (turn) of the passages found in earlier messages."""
     quoted = messages.where((F.size("quotes") > 0) & F.col("turn").isNotNull())
     asked = quoted.select("conv_id", "turn", "row", F.inline("quotes")).distinct()
     asked = materialize(asked.select("conv_id", "turn", "row", "passage", "level", "hash", F.lit(0).alias("own")), "asked")
@@ -175,21 +163,8 @@ def passage_links(messages: DataFrame) -> DataFrame:
     linked = linked.where("own = 0 AND source IS NOT NULL AND source < turn")
     votes = linked.groupBy("conv_id", "turn", "row", "passage", "level", "source").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("conv_id", "turn", "row", "passage", "level").agg(F.max_by("source", F.struct("votes", "source")).alias("source"))
-    # the words of both sides; messages that are quoted move, others do not
-    best = materialize(best, "best-links")
-    quoting = messages.select(F.col("conv_id").alias("c2"), F.col("row").alias("row2"), F.col("text").alias("quoting")).distinct()
-    saying = messages.select(F.col("conv_id").alias("c3"), F.col("turn").alias("t3"), F.col("text").alias("saying"))
-    both = best.join(quoting, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("row") == F.col("row2")))
-    both = both.join(saying, F.col("conv_id").eqNullSafe(F.col("c3")) & (F.col("source") == F.col("t3")))
-
-    def run(cols: list[list]) -> list[list]:
-        keep = [i for i, (k, a, b) in enumerate(zip(cols[3], cols[6], cols[7], strict=True)) if stands_in(parse(a)[k][1], [x for v, x in parse(b) if not v])]
-        return [[c[i] for i in keep] for c in cols[:6]]
-
-    names = ["conv_id", "turn", "row", "passage", "level", "source"]
-    found = map_rows(both, [F.col(c) for c in (*names, "quoting", "saying")], "conv_id long, turn long, row long, passage int, level int, source long", run)
-    out = materialize(found.distinct(), "passage-links")
-    discard(asked, best)
+    out = materialize(best, "passage-links")
+    discard(asked)
     return out
 
 
