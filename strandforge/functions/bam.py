@@ -1,4 +1,4 @@
-"""Binary alignment records as hexadecimal text, built from column expressions alone.
+"""Fields of binary alignment records as hexadecimal text (``encoder`` makes whole records).
 
 Numbers are little-endian; fields that the format makes narrow are cut to their width.
 """
@@ -44,13 +44,3 @@ def tag_long(name: str, value: Column) -> Column:
 
 def tag_text(name: str, value: Column) -> Column:
     return F.concat(F.lit(_tag(name, "Z")), text_bytes(value), F.lit("00"))
-
-
-def fixed_part(ref_id: Column, pos: Column, l_name: Column, mapq: Column, bin_: Column, n_cigar: Column, flags: Column, l_seq: Column, mate_ref: Column, mate_pos: Column, tlen: Column) -> Column:
-    sizes = (4, 4, 1, 1, 2, 2, 2, 4, 4, 4, 4)
-    return F.concat(*[little(v, n) for v, n in zip((ref_id, pos, l_name, mapq, bin_, n_cigar, flags, l_seq, mate_ref, mate_pos, tlen), sizes, strict=True)])
-
-
-def with_size(body: Column) -> Column:
-    """The record: its size in four bytes, then its body."""
-    return F.concat(little(F.length(body) / 2, 4), body)

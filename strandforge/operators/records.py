@@ -1,13 +1,16 @@
-"""Records: SAM lines, FASTA and FASTQ entries, and binary records, as projections."""
+"""Records: SAM lines, FASTA and FASTQ entries as projections, binary records a batch at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from strandforge.functions import bam, cigar, fields, flags, quality, sequence
+from strandforge.functions import bam, encoder, fields, flags, quality, sequence
 from strandforge.functions.fields import text
 
 
@@ -94,41 +97,56 @@ def unaligned_fastx(f: Format) -> Column:
     return _fastx(f, _unaligned_name(f), _unaligned_bases(f), _unaligned_quality(f))
 
 
-def aligned_bam(f: Format) -> Column:
-    """Hexadecimal text of a binary record; needs ref_id, mate_ref_id and cached_pos."""
-    name = bam.text_bytes(_aligned_name(f))
-    ops = cigar.packed(c("cigar"))
-    l_seq = F.octet_length(c("read"))
-    end = c("ref_pos") + cigar.reference_length(c("cigar"))
+def _encoded(rows: DataFrame, keys: dict[str, Column], columns: dict[str, Column], encode: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """keys and the binary records that encode makes of the columns, a batch at a time."""
+    picked = rows.select(*[v.alias(k) for k, v in keys.items()], *[v.alias(k) for k, v in columns.items()])
+    head = picked.select(*keys).schema
+    schema, names = StructType([*head.fields, StructField("record", BinaryType())]), [*keys, "record"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], encode(b)], names=names)
+
+    return picked.mapInArrow(run, schema)
+
+
+def aligned_bam(rows: DataFrame, f: Format, keys: dict[str, Column]) -> DataFrame:
+    """keys, record: binary records; rows need ref_id, mate_ref_id and cached_pos beside the scan's columns."""
     mate_ref, mate_pos, tlen = fields.bam_mate(c("cached_pos"), c("mate_align_id"), c("mate_ref_name"), c("mate_ref_pos"), c("template_len"), c("ref_id"), c("mate_ref_id"))
-    parts = [
-        bam.fixed_part(c("ref_id"), c("ref_pos"), F.length(name) / 2 + 1, c("mapq"), cigar.region_bin(c("ref_pos"), end), F.size(ops), _aligned_flags(), l_seq, mate_ref, mate_pos, tlen),
-        name, F.lit("00"), F.array_join(F.transform(ops, lambda x: bam.little(x, 4)), ""), sequence.packed_hex(c("read")), quality.bam_from_text(c("quality"), l_seq, f.omit_quality, f.table),
-        bam.tag_number("NM", c("edit_distance")), F.when(c("alignment_count") > 0, bam.tag_number("NH", c("alignment_count"))).otherwise(""),
-        F.when(c("spot_group") != "", bam.tag_text("RG", c("spot_group"))).otherwise(""),
-    ]
-    if f.xi:
-        parts.append(bam.tag_long("XI", c("align_id")))
-    return bam.with_size(F.concat(*parts))
-
-
-def unaligned_bam(f: Format) -> Column:
-    name, bases = bam.text_bytes(_unaligned_name(f)), _unaligned_bases(f)
-    l_seq, none = F.octet_length(c("read")), F.lit(-1)
-    back = flags.is_reversed(c("read_type")) if f.reverse else None
-    parts = [
-        bam.fixed_part(none, none, F.length(name) / 2 + 1, F.lit(0), F.lit(bam.UNMAPPED_BIN), F.lit(0), _unaligned_flags(f), l_seq, none, none, F.lit(0)),
-        name, F.lit("00"), sequence.packed_hex(bases), quality.bam_from_raw(c("quality"), l_seq, back, f.omit_quality, f.table),
-        F.when(c("spot_group") != "", bam.tag_text("RG", c("spot_group"))).otherwise(""),
-    ]
-    return bam.with_size(F.concat(*parts))
+    columns = {
+        "name": _aligned_name(f), "ref_id": c("ref_id"), "pos": c("ref_pos"), "mapq": c("mapq"), "flags": _aligned_flags(), "cigar": c("cigar"), "read": c("read"),
+        "quality": F.lit(None).cast("string") if f.omit_quality else c("quality"), "mate_ref": mate_ref, "mate_pos": mate_pos, "tlen": tlen,
+        "nm": c("edit_distance"), "nh": c("alignment_count"), "rg": c("spot_group"),
+    }
+    return _encoded(rows, keys, columns | ({"xi": c("align_id")} if f.xi else {}), lambda b: encoder.aligned(b, f.table))
 
 
-def aligned_record(f: Format) -> Column:
-    return aligned_sam(f) if f.mode == "sam" else aligned_bam(f) if f.mode == "bam" else aligned_fastx(f)
+def unaligned_bam(reads: DataFrame, f: Format, keys: dict[str, Column]) -> DataFrame:
+    """keys, record: binary records of reads that are not aligned."""
+    none = F.array().cast("array<int>")
+    columns = {
+        "name": _unaligned_name(f), "flags": _unaligned_flags(f), "read": _unaligned_bases(f), "quality": none if f.omit_quality else F.coalesce(c("quality"), none),
+        "back": flags.is_reversed(c("read_type")) if f.reverse else F.lit(False), "rg": c("spot_group"),
+    }
+    return _encoded(reads, keys, columns, lambda b: encoder.unaligned(b, f.table, bam.UNMAPPED_BIN))
 
 
-def unaligned_record(f: Format) -> Column:
-    return unaligned_sam(f) if f.mode == "sam" else unaligned_bam(f) if f.mode == "bam" else unaligned_fastx(f)
+def aligned_records(rows: DataFrame, f: Format, keys: dict[str, Column]) -> DataFrame:
+    """keys, record: text, or bytes of a binary record."""
+    if f.mode == "bam":
+        return aligned_bam(rows, f, keys)
+    return rows.select(*[v.alias(k) for k, v in keys.items()], aligned_record(f).alias("record"))
 
 
+def unaligned_records(reads: DataFrame, f: Format, keys: dict[str, Column]) -> DataFrame:
+    if f.mode == "bam":
+        return unaligned_bam(reads, f, keys)
+    return reads.select(*[v.alias(k) for k, v in keys.items()], unaligned_record(f).alias("record"))
+
+
+def aligned_record(f: Format) -> Column:
+    return aligned_sam(f) if f.mode == "sam" else aligned_fastx(f)
+
+
+def unaligned_record(f: Format) -> Column:
+    return unaligned_sam(f) if f.mode == "sam" else unaligned_fastx(f)

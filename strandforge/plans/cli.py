@@ -8,16 +8,17 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 
 from strandforge.operators.references import dependency_summary
-from strandforge.plans.convert import ORDER, Options, header_of, key_ranges, records_plan
+from strandforge.plans.convert import ORDER, Options, header_of, key_histogram, records_plan
 from strandforge.plans.progress import Progress
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive, open_archive
 from strandforge.sources.storage import discard, materialize
-from strandforge.sources.writers import PART_ROWS, ordered, write_bam, write_bam_file, write_text, write_text_file
+from strandforge.sources.writers import PART_ROWS, stream_parts, write_bam, write_bam_file, write_text, write_text_file
 
 
 def parser() -> argparse.ArgumentParser:
@@ -65,27 +66,25 @@ def session(threads: int | None) -> SparkSession:
     return b.getOrCreate()
 
 
-def convert(archive: Archive, o: Options, output_file: str | None = None, output_folder: str | None = None, part_rows: int = PART_ROWS) -> str | None:
+def convert(archive: Archive, o: Options, output_file: str | None = None, output_folder: str | None = None, part_rows: int = PART_ROWS, out: BinaryIO | None = None) -> str | None:
     """Converts one archive; everything is checked before an output is opened.
 
-    A folder holds the same as a file, in parts: the first begins with the header.
+    A folder holds the same as a file, in parts: the first begins with the header. Without either, the bytes of
+    the file go to a stream, standard output by default.
     """
-    if not (output_file or output_folder) and (o.mode == "bam" or o.compression != "none"):
-        raise ValueError("binary and compressed output need --output-file or --output-folder")
     header = header_of(archive, o) if o.writes_header else ""
     progress = Progress()
     plan = progress.watch(records_plan(archive, o, header, o.writes_header))
-    ranges = materialize(key_ranges(archive, o), "key-ranges")
-    if o.mode == "bam":
-        (write_bam if output_folder else write_bam_file)(plan, output_folder or output_file, ORDER, ranges, part_rows)
+    histogram = materialize(key_histogram(archive, o, part_rows), "key-histogram")
+    if not (output_file or output_folder):
+        stream_parts(plan, out or sys.stdout.buffer, ORDER, histogram, "bam" if o.mode == "bam" else o.compression, part_rows)
+    elif o.mode == "bam":
+        (write_bam if output_folder else write_bam_file)(plan, output_folder or output_file, ORDER, histogram, part_rows)
     elif output_folder:
-        write_text(plan, output_folder, ORDER, ranges, o.compression, part_rows)
-    elif output_file:
-        write_text_file(plan, output_file, ORDER, ranges, o.compression, part_rows)
+        write_text(plan, output_folder, ORDER, histogram, o.compression, part_rows)
     else:
-        for r in ordered(plan, ORDER, ranges, part_rows).select("record").toLocalIterator():
-            sys.stdout.write(r["record"] + "\n")
-    discard(ranges)
+        write_text_file(plan, output_file, ORDER, histogram, o.compression, part_rows)
+    discard(histogram)
     return progress.line() if output_file or output_folder else None
 
 

@@ -16,6 +16,7 @@ from strandforge.operators.regions import Region, in_regions, parse_region, requ
 from strandforge.operators.spots import emitted_reads
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive
+from strandforge.sources.writers import PART_ROWS, bucket_of
 
 #: Order of a record: stage (header, primary, secondary, unaligned), region in the order typed or reference, row, read.
 ORDER = ["stage", "group_no", "row_id", "read_no"]
@@ -122,9 +123,9 @@ def aligned_tables(archive: Archive, o: Options) -> list[str]:
     return [S.PRIMARY] + [S.SECONDARY] * (not o.primary_only and archive.has_table(S.SECONDARY))
 
 
-def key_ranges(archive: Archive, o: Options) -> DataFrame:
-    """stage, group_no, first_id, last_id, n_rows of the records that records_plan gives, from the scans
-    alone: no mates are joined and no records made, so Spark reads the key columns only."""
+def key_histogram(archive: Archive, o: Options, part_rows: int = PART_ROWS) -> DataFrame:
+    """stage, group_no, bucket, n_rows of the records that records_plan gives, from the scans alone: no mates are
+    joined and no records made, so Spark reads the key columns only."""
     parts = [kept_rows(archive, t, o, resolved_regions(archive, t, o)).select(F.lit(stage).alias("stage"), "group_no", F.col("align_id").alias("row_id")) for stage, t in enumerate(aligned_tables(archive, o))]
     if o.unaligned or o.unaligned_spots_only:
         reads = emitted_reads(archive.sequence(), o.unaligned_spots_only)
@@ -132,21 +133,21 @@ def key_ranges(archive: Archive, o: Options) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("stage", "group_no").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
+    return rows.groupBy("stage", "group_no", bucket_of(F.col("row_id"), part_rows).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def header_records(archive: Archive, o: Options, header: str) -> DataFrame:
     """The header as records before all others: a line each, or the bytes of a binary header."""
     if o.mode == "bam":
-        lines = [references.bam_header(header).hex()]
+        lines = [references.bam_header(header)]
     else:
         lines = header.split("\n")[:-1] if header else []
     rows = [(HEADER_STAGE, 0, i, 0, x) for i, x in enumerate(lines)]
-    return archive.spark.createDataFrame(rows, "stage int, group_no long, row_id long, read_no int, record string")
+    return archive.spark.createDataFrame(rows, f"stage int, group_no long, row_id long, read_no int, record {'binary' if o.mode == 'bam' else 'string'}")
 
 
 def records_plan(archive: Archive, o: Options, header: str | None = None, with_header: bool = False) -> DataFrame:
-    """stage, group_no, row_id, read_no, record of everything the options ask for."""
+    """stage, group_no, row_id, read_no, record (text, or bytes in binary output) of everything the options ask for."""
     o.check()
     parts = []
     if with_header:
@@ -156,10 +157,10 @@ def records_plan(archive: Archive, o: Options, header: str | None = None, with_h
         if o.mode == "bam":
             text = header if header is not None else header_of(archive, o)
             rows = with_bam_ids(rows, dictionary_table(archive, text))
-        parts.append(rows.select(F.lit(stage).alias("stage"), "group_no", F.col("align_id").alias("row_id"), F.lit(0).alias("read_no"), records.aligned_record(o.format).alias("record")))
+        parts.append(records.aligned_records(rows, o.format, {"stage": F.lit(stage), "group_no": F.col("group_no"), "row_id": F.col("align_id"), "read_no": F.lit(0)}))
     if o.unaligned or o.unaligned_spots_only:
         reads = emitted_reads(archive.sequence(), o.unaligned_spots_only)
-        parts.append(reads.select(F.lit(2).alias("stage"), F.lit(0).cast("long").alias("group_no"), "row_id", F.col("index").alias("read_no"), records.unaligned_record(o.format).alias("record")))
+        parts.append(records.unaligned_records(reads, o.format, {"stage": F.lit(2), "group_no": F.lit(0).cast("long"), "row_id": F.col("row_id"), "read_no": F.col("index")}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

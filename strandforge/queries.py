@@ -14,7 +14,7 @@ from strandforge.operators.mates import take_order, with_cached_mates
 from strandforge.operators.records import Format
 from strandforge.operators.spots import emitted_reads
 from strandforge.plans.cli import cache_refs, convert
-from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_table, header_of, key_ranges, records_plan, with_bam_ids
+from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_table, header_of, key_histogram, records_plan, with_bam_ids
 from strandforge.plans.progress import Progress
 from strandforge.sources import fixture
 from strandforge.sources import schemas as S
@@ -346,12 +346,13 @@ def bam_tags_hex(a):
 
 @query
 def bam_record_hex(a):
-    return _bam_rows(a, Options(xi=True)).select("align_id", records.aligned_bam(Format(mode="bam", xi=True)).alias("record"))
+    return records.aligned_bam(_bam_rows(a, Options(xi=True)), Format(mode="bam", xi=True), {"align_id": c("align_id")}).select("align_id", F.lower(F.hex("record")).alias("record"))
 
 
 @query
 def bam_unaligned_hex(a):
-    return emitted_reads(a.sequence()).select("row_id", c("index").alias("bio_index"), records.unaligned_bam(Format(mode="bam", reverse=True)).alias("record"))
+    found = records.unaligned_bam(emitted_reads(a.sequence()), Format(mode="bam", reverse=True), {"row_id": c("row_id"), "bio_index": c("index")})
+    return found.select("row_id", "bio_index", F.lower(F.hex("record")).alias("record"))
 
 
 @query
@@ -416,7 +417,7 @@ def _placed(rows: DataFrame, part: str, order: str, name: str) -> DataFrame:
 def ordered_output(a):
     """Each record's place among all that is written, in the partitions that the sinks write."""
     o = Options(unaligned=True)
-    dealt = ordered(records_plan(a, o), ORDER, key_ranges(a, o), SMALL_PART)
+    dealt = ordered(records_plan(a, o), ORDER, key_histogram(a, o, SMALL_PART), SMALL_PART)
     rows = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"), "stage", "group_no", "row_id", "record")
     return _placed(rows, "part", "nth", "place").select("place", "stage", "group_no", "row_id", "record")
 
@@ -425,7 +426,7 @@ def ordered_output(a):
 def ordered_regions(a):
     """The same for regions that overlap, in the order typed."""
     o = Options(regions=REGIONS, primary_only=True)
-    dealt = ordered(records_plan(a, o), ORDER, key_ranges(a, o), SMALL_PART)
+    dealt = ordered(records_plan(a, o), ORDER, key_histogram(a, o, SMALL_PART), SMALL_PART)
     rows = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth"), "stage", "group_no", "row_id", "record")
     return _placed(rows, "part", "nth", "place").select("place", "stage", "group_no", "row_id", "record")
 

@@ -1,13 +1,22 @@
 """Operators on literal rows: the vectors that fix the formats, and cases that the derived tables lack."""
 
 import gzip
+import io
+import os
+import random
 import re
 import struct
+import subprocess
+import sys
+import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from strandforge.functions import bam, cigar, fields, flags, quality, sequence, text
+from strandforge.functions import bam, cigar, encoder, fields, flags, quality, sequence, text
 from strandforge.operators import filters, records, references, regions
 from strandforge.operators.mates import with_cached_mates
 from strandforge.operators.records import Format
@@ -135,20 +144,70 @@ def test_bam_tags(spark):
     assert hexed(bam.tag_long, "XI", -7) == (b"XIi" + struct.pack("<i", -7)).hex() and hexed(bam.tag_text, "RG", "sample1") == b"RGZsample1\0".hex()
 
 
+def binary(spark, f=Format(mode="bam"), **changed):  # noqa: B008
+    """The binary record of one alignment."""
+    df = spark.range(1)
+    for k, v in (RECORD | {"cached_pos": None, "read_filter": None} | changed).items():
+        df = df.withColumn(k, F.lit(v).cast("int") if v is None else F.lit(v))
+    return bytes(records.aligned_bam(df, f, {"id": F.col("align_id")}).first()["record"])
+
+
 def test_bam_record(spark):
-    raw = bytes.fromhex(aligned(spark, records.aligned_bam(Format(mode="bam"))))
+    raw = binary(spark)
     size, ref, pos, l_name, mapq, bin_, n_ops, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiiBBHHHiiii", raw)
     assert (size, ref, pos, l_name, mapq, n_ops, flag, l_seq) == (len(raw) - 4, 0, 100, 6, 60, 1, 99, 8) and bin_ == 4681
     assert (mate, mate_pos, tlen) == (0, 500, 300) and raw[36:42] == b"read1\0" and raw[42:46] == struct.pack("<I", 800)
     assert raw[46:50].hex() == "12481248" and raw[50:58] == bytes([40] * 8)
-    lone = bytes.fromhex(aligned(spark, records.aligned_bam(Format(mode="bam")), mate_align_id=0))
-    assert struct.unpack_from("<iii", lone, 24) == (-1, -1, 0)
-    bare = bytes.fromhex(aligned(spark, records.aligned_bam(Format(mode="bam")), quality="", mapq=-1, ref_id=-1))
+    assert struct.unpack_from("<iii", binary(spark, mate_align_id=0), 24) == (-1, -1, 0)
+    bare = binary(spark, quality="", mapq=-1, ref_id=-1)
     assert bare[50:58] == b"\xff" * 8 and bare[13] == 255
-    free = bytes.fromhex(unaligned(spark, records.unaligned_bam(Format(mode="bam", reverse=True)), SPOT | {"read": "AACG", "read_type": [3], "quality": [1, 2, 3, 4]})[0])
+    reads = emitted_reads(spots(spark, [SPOT | {"read": "AACG", "read_type": [3], "quality": [1, 2, 3, 4]}]))
+    free = bytes(records.unaligned_bam(reads, Format(mode="bam", reverse=True), {"row_id": F.col("row_id")}).first()["record"])
     assert struct.unpack_from("<iiBBHHHiiii", free, 4) == (-1, -1, 6, 0, 4680, 0, 0x14, 4, -1, -1, 0) and free[42:44].hex() == "2488" and free[44:48] == bytes([4, 3, 2, 1])
 
 
+def one_by_one(r, table=None):
+    """A binary record written field by field."""
+    ops = re.findall(r"([0-9]*)([MIDNSHP=X])", re.sub("[^0-9MIDNSHP=X]", "", r["cigar"]))
+    span = sum(int(n or 0) for n, op in ops if op in "MDN=X")
+    last, bin_ = max(r["pos"] + span - 1, 0), 0
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if r["pos"] >> shift == last >> shift:
+            bin_ = (first + (r["pos"] >> shift)) & 0xFFFF
+            break
+    little = lambda v, n: (v & (1 << 8 * n) - 1).to_bytes(n, "little")
+    codes = ["=ACMGRSVTWYHKDBN".find(b.upper()) if b.upper() in "=ACMGRSVTWYHKDBN" else 15 for b in r["read"]] + [0] * (len(r["read"]) % 2)
+    number = lambda name, v: name + (b"C" + little(v, 1) if v <= 0xFF else b"S" + little(v, 2) if v <= 0xFFFF else b"I" + little(v, 4))
+    xi = r["xi"]
+    tags = number(b"NM", r["nm"]) + (number(b"NH", r["nh"]) if r["nh"] > 0 else b"") + (b"RGZ" + r["rg"].encode() + b"\0" if r["rg"] else b"")
+    tags += number(b"XI", xi) if 0 <= xi <= 0xFFFFFFFF else b"XIi" + little(xi, 4) if -(1 << 31) <= xi < 0 else b"XIZ" + str(xi).encode() + b"\0"
+    n_seq = len(r["read"].encode())
+    scores = [max(0, b - 33) for b in r["quality"].encode()]
+    scores = bytes([table[q] if table else q for q in scores]) or b"\xff" * n_seq
+    name = r["name"].encode()
+    body = b"".join(little(v, n) for v, n in zip((r["ref_id"], r["pos"], len(name) + 1, r["mapq"], bin_, len(ops), r["flags"], n_seq, r["mate_ref"], r["mate_pos"], r["tlen"]), (4, 4, 1, 1, 2, 2, 2, 4, 4, 4, 4), strict=True))
+    body += name + b"\0" + b"".join(little(int(n or 0) << 4 | "MIDNSHP=X".index(op), 4) for n, op in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + scores + tags
+    return little(len(body), 4) + body
+
+
+@pytest.mark.parametrize("table", [None, quality.parse_table("0:10,10:20,20:30,30:40")])
+def test_encoder_equals_records_written_one_by_one(table):
+    rng = random.Random(4)
+    big = lambda: rng.choice([0, 1, -1, 200, 300, 70_000, 1 << 31, 1 << 40, -(1 << 31), -(1 << 33), rng.randrange(1 << 20)])
+    rows = []
+    for _ in range(500):
+        bases = "".join(rng.choice("ACGTNacgt=RYé*") for _ in range(rng.choice([0, 1, 2, 7, 40])))
+        cigar = "".join(f"{rng.choice(['', 0, 5, 123, 9999])}{rng.choice('MIDNSHP=XZq')}" for _ in range(rng.choice([0, 1, 3, 9]))) + rng.choice(["", "12"])
+        rows.append({
+            "name": rng.choice(["", "r1", "spot.é", "x" * 300]), "ref_id": big(), "pos": rng.choice([-1, 0, 5, 16_384, 1 << 29]), "mapq": big(), "flags": big(), "cigar": cigar, "read": bases,
+            "quality": rng.choice(["", "".join(chr(33 + rng.randrange(60)) for _ in bases), "\x1f!~"]), "mate_ref": big(), "mate_pos": big(), "tlen": big(), "nm": abs(big()), "nh": big(), "rg": rng.choice(["", "RG1", "ä"]), "xi": big(),
+        })
+    for part in (rows, rows[:1], []):
+        b = pa.RecordBatch.from_pylist(part, pa.schema([(k, pa.int64() if isinstance(v, int) else pa.string()) for k, v in rows[0].items()]))
+        assert encoder.aligned(b, table).to_pylist() == [one_by_one(r, table) for r in part]
+        assert encoder.aligned(b.slice(3), table).to_pylist() == [one_by_one(r, table) for r in part[3:]]
+
+
 def test_regions(spark):
     assert regions.parse_region("chr1") == regions.Region("chr1") and regions.parse_region("chr1:1000-2000") == regions.Region("chr1", 999, 2000)
     assert regions.parse_region("chr2:0-500").start == 0
@@ -339,12 +398,91 @@ def test_folder_holds_what_a_file_holds(spark, stored, tmp_path, form):
 def test_ordered_parts_are_even_and_in_order(spark):
     rows = [(s, g, 10 * g + i, 0, f"{s}.{g}.{i}") for s in (0, 2) for g in range(40) for i in range(1 + 37 * (g == 7))]
     df = spark.createDataFrame(rows, "stage int, group_no long, row_id long, read_no int, record string")
-    ranges = df.groupBy("stage", "group_no").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count(F.lit(1)).alias("n_rows"))
-    got = writers.ordered(df.repartition(7), convert.ORDER, ranges, 20)
+    histogram = df.groupBy("stage", "group_no", writers.bucket_of(F.col("row_id"), 20).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+    got = writers.ordered(df.repartition(7), convert.ORDER, histogram, 20)
     sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert max(sizes) <= 20 and len(sizes) == -(-len(rows) // 20)
     assert [r["record"] for r in got.select("record").toLocalIterator()] == [r[4] for r in sorted(rows)]
-    assert writers.ordered(df.limit(0), convert.ORDER, ranges.limit(0), 20).count() == 0
+    assert writers.ordered(df.limit(0), convert.ORDER, histogram.limit(0), 20).count() == 0
+
+
+@pytest.mark.parametrize("fan", [4, writers.FAN])
+def test_parts_are_even_where_ids_have_gaps(spark, monkeypatch, fan):
+    """Half of the ids in one hundredth of their range, some far away: no part is more than a bucket larger than another."""
+    monkeypatch.setattr(writers, "FAN", fan)
+    ids = [*range(500_000, 510_000), *range(0, 1_000_000, 100)]
+    df = spark.createDataFrame([(0, 3, i, n) for n, i in enumerate(ids)], "stage int, group_no long, row_id long, read_no int").withColumn("record", F.lit("x"))
+    histogram = df.groupBy("stage", "group_no", writers.bucket_of(F.col("row_id"), 1000).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+    got = writers.ordered(df, convert.ORDER, histogram, 1000).select(F.spark_partition_id().alias("p"), "row_id").collect()
+    sizes = Counter(r["p"] for r in got)
+    assert len(sizes) == 20 and max(sizes.values()) <= 1063 and min(sizes[p] for p in list(sizes)[:-1]) >= 937
+    assert [r["row_id"] for r in sorted(got, key=lambda r: (r["p"], r["row_id"]))] == sorted(ids)
+
+
+STREAMED = [["-u", "--output-format", "bam"], ["--fastq", "-1", "--gzip"], ["--fastq", "-1", "--bzip2"], ["-1", "-n"]]
+
+
+@pytest.mark.parametrize("args", STREAMED)
+def test_a_stream_gets_the_bytes_of_a_file(spark, stored, tmp_path, args):
+    a, o = open_archive(spark, stored), cli.options_of(cli.parser().parse_args(["tosam", stored, *args]))
+    cli.convert(a, o, f"{tmp_path}/x", part_rows=700)
+    out = io.BytesIO()
+    assert cli.convert(a, o, part_rows=700, out=out) is None
+    assert out.getvalue() == (tmp_path / "x").read_bytes() and len(out.getvalue()) > 1000
+
+
+def test_standard_output_of_the_command(stored, tmp_path):
+    """Through a pipe of a process of its own: binary records and nothing else."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-m", "strandforge.plans.cli", "tosam", stored, "-1", "--output-format", "bam", "-t", "2"], env=env, cwd=tmp_path, capture_output=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.endswith(writers.END_BLOCK) and gzip.decompress(done.stdout)[:4] == b"BAM\1"
+
+
+def test_parts_stream_while_later_ones_are_made(spark, monkeypatch):
+    """The first part is with the reader before the last one exists; a reader that goes away ends the job."""
+    df = spark.range(40, numPartitions=8).select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("group_no"), F.col("id").alias("row_id"), F.lit(0).alias("read_no"), F.lit("x").alias("record"))
+    histogram = df.groupBy("stage", "group_no", writers.bucket_of(F.col("row_id"), 4).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+    seen = []
+
+    class Reader(io.BytesIO):
+        def write(self, data):
+            seen.append(data)
+            if len(seen) == 3:
+                raise BrokenPipeError
+            return len(data)
+
+    with pytest.raises(BrokenPipeError):
+        writers.stream_parts(df, Reader(), convert.ORDER, histogram, "none", 4)
+    assert seen == [b"x\n" * 4] * 3
+
+    out = io.BytesIO()
+
+    def one_by_one_(records, folder, *_):
+        """Makes a part only when the one before it has arrived."""
+        at = folder.removeprefix("file://")
+        os.makedirs(at)
+        for i in range(10):
+            with open(f"{at}/try", "wb") as f:
+                f.write(b"%d\n" % i)
+            os.rename(f"{at}/try", f"{at}/part-{i:05d}")
+            until = time.monotonic() + 20
+            while len(out.getvalue()) < 2 * i + 2:
+                assert time.monotonic() < until, "a part waits for later ones"
+                time.sleep(0.01)
+            assert not os.path.exists(f"{at}/part-{i - 1:05d}")
+
+    monkeypatch.setattr(writers, "write_parts", one_by_one_)
+    writers.stream_parts(df, out, convert.ORDER, histogram, "none", 4)
+    assert out.getvalue() == b"".join(b"%d\n" % i for i in range(10))
+
+
+def test_a_failing_task_fails_the_stream(spark):
+    bad = spark.range(8).select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("group_no"), F.col("id").alias("row_id"), F.lit(0).alias("read_no"), F.expr("if(id = 7, raise_error('no'), 'x')").cast("string").alias("record"))
+    histogram = bad.groupBy("stage", "group_no", writers.bucket_of(F.col("row_id"), 4).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+    with pytest.raises(Exception, match="no"):
+        writers.stream_parts(bad, io.BytesIO(), convert.ORDER, histogram, "none", 4)
 
 
 def test_bam_file(spark, stored, tmp_path):
@@ -407,7 +545,8 @@ def test_plans_have_no_python(spark, sf_dir):
 
     for name, q in QUERIES.items():
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan, name
+        encodes = name in ("bam_record_hex", "bam_unaligned_hex")  # whole records are encoded a batch at a time
+        assert plan.count("MapInArrow") == encodes and "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan, name
 
 
 @pytest.mark.parametrize("master,fine", [("local", True), ("local[8]", True), ("local-cluster[3,2,1000]", False), ("spark://host:7077", False), ("yarn", False)])
