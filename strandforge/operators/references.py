@@ -69,6 +69,19 @@ def boundaries(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("ref_name").agg(F.min("align_id").alias("first_row"), F.max("align_id").alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def boundaries_of(archive, table: str = "PRIMARY_ALIGNMENT") -> DataFrame:
+    """The same of an archive's table: from Parquet footers where it is partitioned by reference and has statistics, else by a scan."""
+    counts = archive.from_footers(table, "align_id", "ref_name")
+    if counts is not None:
+        try:
+            rows = counts.select("ref_name", "first", "last", "n_rows").collect()  # a row a reference
+            return archive.spark.createDataFrame(rows, "ref_name string, first_row long, last_row long, n_rows long")
+        except Exception as e:
+            if "No min/max found" not in str(e):  # a file without statistics
+                raise
+    return boundaries(archive.aligned(table))
+
+
 def total_rows(aligned: DataFrame) -> DataFrame:
     return aligned.agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -108,6 +121,37 @@ def placement_set(iterators: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+#: Ids of a source at one position that one task numbers, at most.
+WALK_IDS = 1 << 16
+
+
+def walk(placed: DataFrame, sources: str | None = "source_no", ids: int = WALK_IDS) -> DataFrame:
+    """placed (ref_idx, window_no, pos, source_no, align_id, ...) with ordinal: each record's place, from 1, in the walk over
+    references, their windows, positions, sources and records.
+
+    Sources are merged by counting, not by a sort of everything: counts of references, of windows inside them, of runs of
+    ids at the positions inside these are summed up one after the other, and a record is numbered in its run.
+    No task sees a reference, and none more of a deep position than a run of ids.
+    """
+    run = F.floor(F.col("align_id") / ids).alias("_run")
+    rows = placed.select("*", (F.col(sources) if sources else F.lit(0)).alias("_source"), run)
+    levels = [["ref_idx"], ["window_no"], ["pos", "_source", "_run"]]
+    keys = [c for level in levels for c in level]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    shift = None
+    for depth, level in enumerate(levels):
+        above = [c for upper in levels[:depth] for c in upper]
+        here = counts.groupBy(*above, *level).agg(F.sum("n").alias("n")) if depth < len(levels) - 1 else counts
+        order = Window.partitionBy(*above).orderBy(*level) if above else Window.orderBy(*level)  # the first: a row a reference
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = here.withColumn("before", before)
+        if shift is not None:
+            here = here.join(shift, above).withColumn("before", F.col("before") + F.col("shift"))
+        shift = here.select(*above, *level, F.col("before").alias("shift"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("align_id"))
+    return rows.join(shift, keys).select((F.col("shift") + nth).cast("long").alias("ordinal"), *placed.columns)
+
+
 def available_positions(placed: DataFrame) -> DataFrame:
     """ref_idx, window_no, pos, n of each position that has records."""
     return placed.groupBy("ref_idx", "window_no", "pos").agg(F.count(F.lit(1)).alias("n"))

@@ -227,6 +227,8 @@ ORACLES: dict[str, str] = {
     "region_overlap_dupes": _with("SELECT region_no, align_id, ref_name, ref_pos FROM hit", _REGION_ROWS, _IN_REGIONS),
     "region_alias": _with("SELECT align_id, ref_name, ref_pos FROM aligned WHERE ref_name='chr11' AND ref_pos<70000"),
     "ref_boundaries": _with("SELECT ref_name, min(align_id) AS first_row, max(align_id) AS last_row, count(*) AS n_rows FROM aligned GROUP BY 1"),
+    "boundaries_metadata": _with("SELECT ref_name, min(align_id) AS first_row, max(align_id) AS last_row, count(*) AS n_rows FROM aligned GROUP BY 1"),
+    "id_range_metadata": _with("SELECT 'PRIMARY_ALIGNMENT' AS table_name, min(align_id) AS first_id, count(*) AS n_rows FROM aligned UNION ALL SELECT 'SECONDARY_ALIGNMENT', min(align_id), count(*) FROM secondary UNION ALL SELECT 'SEQUENCE', min(row_id), count(*) FROM spots"),
     "boundary_total": _with("SELECT count(*)::bigint AS n_rows FROM aligned"),
     "work_items": _with("SELECT row_number() OVER (ORDER BY f, item) - 1 AS order_idx, ref_name, item, f+item*500 AS first_row, least(f+(item+1)*500-1, l) AS last_row FROM (SELECT ref_name, f, l, unnest(range((l-f)//500+1)) AS item FROM (SELECT ref_name, min(align_id) AS f, max(align_id) AS l FROM aligned GROUP BY 1))"),
     "mate_lookup": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned")),
@@ -284,7 +286,9 @@ ORACLES: dict[str, str] = {
     ),
     "sq_dictionary": _with("SELECT ref_idx::int AS ref_id, name, seq_length AS length FROM refs"),
     "ref_name_to_id": _with("SELECT align_id, coalesce(r.ref_idx, -1)::int AS mate_ref_id FROM aligned LEFT JOIN refs r ON r.name=mate_ref_name"),
-    "placement_positions": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, count(*) AS n FROM aligned WHERE mapq>=20 GROUP BY 1, 2, 3"),
+    "placement_positions": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, count(*) AS n FROM aligned GROUP BY 1, 2, 3"),
+    "placement_walk": _with("SELECT row_number() OVER (ORDER BY ref_idx, window_no, pos, source_no, align_id) AS ordinal, ref_idx, window_no, pos, id_src, align_id, len FROM (" + " UNION ALL ".join(f"SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, {n} AS source_no, '{t}' AS id_src, align_id, {_REF_LENGTH} AS len FROM {v}" for n, (t, v) in enumerate((("PRIMARY_ALIGNMENT", "aligned"), ("SECONDARY_ALIGNMENT", "secondary")))) + ")"),
+    "ordered_gaps": _with("SELECT least((before // 320), (total - 1) // 320)::bigint AS part, count(*) AS n_rows, min(align_id) AS first_id, max(align_id) AS last_id FROM kept JOIN (SELECT bucket, coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM (SELECT bucket, count(*) AS n FROM kept GROUP BY 1)) USING (bucket) GROUP BY 1", "kept AS (SELECT align_id, align_id // 20 AS bucket FROM aligned WHERE align_id % 10 = 0 OR align_id BETWEEN 2001 AND 4000)"),
     "placement_windows": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, count(*) AS n, min(ref_pos) AS first_pos FROM aligned WHERE ref_name='chr2' AND mapq>=5 AND ref_pos>=1000 AND ref_pos<61000 GROUP BY 1, 2"),
     "placement_records": _with("SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, align_id, " + _REF_LENGTH + " AS len, mapq, spot_group FROM aligned WHERE ref_name='chr2' AND mapq>=5 AND ref_pos>=1000 AND ref_pos<61000"),
     "placement_sources": _with(" UNION ALL ".join(f"SELECT ref_idx, (ref_pos//5000)::bigint AS window_no, ref_pos AS pos, '{t}' AS id_src, align_id, {_REF_LENGTH} AS len, mapq, spot_group FROM {v} WHERE ref_name IN ('chr2','chr5') AND mapq>=3 AND ref_pos>=500 AND ref_pos<70500" for t, v in (("PRIMARY_ALIGNMENT", "aligned"), ("SECONDARY_ALIGNMENT", "secondary")))),
@@ -299,14 +303,17 @@ ORACLES: dict[str, str] = {
     "sam_folder_lines": _with(_file("SELECT stage, group_no, row_id, read_no, record FROM every"), *_all_sam()),
     "sam_gzip_lines": _with(_file(f"SELECT 0, ref_idx::bigint, align_id, 0, {_sam('seq_id')} FROM (SELECT m.*, seq_id FROM m JOIN refs ON refs.name=m.ref_name)", _REBUILT.format(name="seq_id")), *_mated("aligned")),
     "fastq_bzip2_lines": _with(_file("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, '@'||seq_name||chr(10)||read||chr(10)||'+'||chr(10)||CASE WHEN quality='' THEN '*' ELSE quality END AS record FROM aligned", None)),
-    "sam_no_header_lines": _with(_file(f"SELECT 0 AS stage, 0::bigint AS group_no, align_id AS row_id, 0 AS read_no, {_sam()} AS record FROM m", None), *_mated("aligned", "ref_name='chr3' AND ref_pos>=999 AND ref_pos<60000")),
+    "sam_no_header_lines": _with(_file(f"SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, {_sam()} AS record FROM m", None), *_mated("aligned")),
+    "fastq_gzip_stream_lines": _with(_file("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, '@'||seq_name||chr(10)||read||chr(10)||'+'||chr(10)||CASE WHEN quality='' THEN '*' ELSE quality END AS record FROM aligned", None)),
+    "mode_precedence": _with(_file("SELECT 0 AS stage, ref_idx::bigint AS group_no, align_id AS row_id, 0 AS read_no, '>'||seq_name||chr(10)||read AS record FROM aligned", None)),
+    "bam_stream_bytes": _bam_file(True, _REBUILT.format(name="name"), "ref_idx"),
     "bam_file_bytes": _bam_file(True, _REBUILT.format(name="name"), "ref_idx"),
     "bam_folder_bytes": _bam_file(True, _REBUILT.format(name="name"), "ref_idx"),
     "bam_stored_header_bytes": _bam_file(False, _STORED, "ref_idx DESC", "24-r.ref_idx"),
     "stored_header": _with(f"SELECT 'stored' AS which, * FROM ({_STORED})"),
     "header_precedence": _with(f"SELECT 'rebuilt' AS which, * FROM ({_REBUILT.format(name='name')}) UNION ALL SELECT 'seqid', * FROM ({_REBUILT.format(name='seq_id')}) UNION ALL SELECT 'comments', * FROM ({_STORED} UNION ALL SELECT 27, '@CO'||chr(9)||'one' UNION ALL SELECT 28, '@CO'||chr(9)||'two words')"),
     "header_without_stored": _with(f"SELECT 'none stored' AS which, * FROM ({_REBUILT.format(name='name')} UNION ALL SELECT 26, '@CO'||chr(9)||'c')"),
-    "header_from_file": "SELECT * FROM (VALUES ('file', 0::bigint, '@HD'||chr(9)||'VN:1.5'), ('file', 1, '@CO'||chr(9)||'from a file'), ('file', 2, '@CO'||chr(9)||'c')) t(which, line_no, line)",
+    "header_from_file": _with(f"SELECT 'file' AS which, * FROM (SELECT 0::bigint AS line_no, '@HD'||chr(9)||'VN:1.5' AS line UNION ALL SELECT 25-ref_idx, {_SQ.format('seq_id')} FROM refs UNION ALL SELECT 26, '@CO'||chr(9)||'from a file' UNION ALL SELECT 27, '@CO'||chr(9)||'c')"),
     "cache_refs_counts": "SELECT 2 AS processed, 1 AS failed",
     "progress_records": _with("SELECT (SELECT count(*) FROM aligned) + (SELECT count(*) FROM secondary) + (SELECT count(*) FROM emitted) AS n_records"),
     "bam_narrow_fields": _with("SELECT align_id, " + ", ".join(f"{_le('align_id*70001-500000', n)} AS bytes_{n}" for n in (1, 2, 4)) + " FROM aligned"),

@@ -10,11 +10,11 @@ import os
 import sys
 from typing import BinaryIO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from strandforge.operators.references import dependency_summary
 from strandforge.plans.convert import ORDER, Options, header_of, key_histogram, records_plan
-from strandforge.plans.progress import Progress
+from strandforge.plans.progress import Progress, Status
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive, open_archive
 from strandforge.sources.storage import discard, materialize
@@ -66,16 +66,23 @@ def session(threads: int | None) -> SparkSession:
     return b.getOrCreate()
 
 
-def convert(archive: Archive, o: Options, output_file: str | None = None, output_folder: str | None = None, part_rows: int = PART_ROWS, out: BinaryIO | None = None) -> str | None:
+def convert(archive: Archive, o: Options, output_file: str | None = None, output_folder: str | None = None, part_rows: int = PART_ROWS, out: BinaryIO | None = None, interval: float = 10.0) -> str | None:
     """Converts one archive; everything is checked before an output is opened.
 
     A folder holds the same as a file, in parts: the first begins with the header. Without either, the bytes of
-    the file go to a stream, standard output by default.
+    the file go to a stream, standard output by default. A line of progress goes to standard error each interval (seconds).
     """
     header = header_of(archive, o) if o.writes_header else ""
     progress = Progress()
     plan = progress.watch(records_plan(archive, o, header, o.writes_header))
-    histogram = materialize(key_histogram(archive, o, part_rows), "key-histogram")
+    with Status(archive.spark, interval):
+        histogram = materialize(key_histogram(archive, o, part_rows), "key-histogram")
+        _write(plan, o, output_file, output_folder, histogram, part_rows, out)
+    discard(histogram)
+    return progress.line() if output_file or output_folder else None
+
+
+def _write(plan: DataFrame, o: Options, output_file: str | None, output_folder: str | None, histogram: DataFrame, part_rows: int, out: BinaryIO | None) -> None:
     if not (output_file or output_folder):
         stream_parts(plan, out or sys.stdout.buffer, ORDER, histogram, "bam" if o.mode == "bam" else o.compression, part_rows)
     elif o.mode == "bam":
@@ -84,8 +91,6 @@ def convert(archive: Archive, o: Options, output_file: str | None = None, output
         write_text(plan, output_folder, ORDER, histogram, o.compression, part_rows)
     else:
         write_text_file(plan, output_file, ORDER, histogram, o.compression, part_rows)
-    discard(histogram)
-    return progress.line() if output_file or output_folder else None
 
 
 def tosam(spark: SparkSession, args: argparse.Namespace) -> None:

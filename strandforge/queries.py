@@ -18,8 +18,8 @@ from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_t
 from strandforge.plans.progress import Progress
 from strandforge.sources import fixture
 from strandforge.sources import schemas as S
-from strandforge.sources.storage import new_path
-from strandforge.sources.writers import join_parts, ordered
+from strandforge.sources.storage import Sink, new_path
+from strandforge.sources.writers import bucket_of, join_parts, ordered
 
 c = F.col
 QUANT = "0:10,10:20,20:30,30:40"
@@ -38,6 +38,12 @@ def query_with_header(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
     return f
 
 
+def query_by_reference(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
+    """Over an archive whose primary alignments lie in a folder for each reference."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(fixture.by_reference(spark, sf_dir))
+    return f
+
+
 def _rows(a, o: Options = Options(), table: str = S.PRIMARY) -> DataFrame:  # noqa: B008
     return aligned_rows(a, table, o)
 
@@ -118,6 +124,19 @@ def ref_boundaries(a):
     return references.boundaries(a.aligned())
 
 
+@query_by_reference
+def boundaries_metadata(a):
+    """The same from Parquet footers: no row group is read."""
+    return references.boundaries_of(a)
+
+
+@query
+def id_range_metadata(a):
+    """First ids and counts from footers."""
+    parts = [a.from_footers(name, key).select(F.lit(name).alias("table_name"), F.col("first").alias("first_id"), "n_rows") for name, key in ((S.PRIMARY, "align_id"), (S.SECONDARY, "align_id"), (S.SEQUENCE, "row_id"))]
+    return a.spark.createDataFrame([tuple(p.first()) for p in parts], "table_name string, first_id long, n_rows long")
+
+
 @query
 def boundary_total(a):
     return references.boundaries(a.aligned()).agg(F.sum(c("last_row") - c("first_row") + 1).alias("n_rows"))
@@ -374,7 +393,7 @@ def ref_name_to_id(a):
 
 @query
 def placement_positions(a):
-    return references.available_positions(references.placements(a.aligned(), a.references(), min_mapq=20))
+    return references.available_positions(references.placements(a.aligned(), a.references()))
 
 
 @query
@@ -395,6 +414,13 @@ def placement_sources(a):
     return references.placement_set([(t, placed(t, name)) for name in ("chr2", "NC_000005.1") for t in (S.PRIMARY, S.SECONDARY)]).drop("source_no")
 
 
+@query
+def placement_walk(a):
+    """All placements of both tables with their place in one walk."""
+    placed = [(t, references.placements(a.aligned(t), a.references())) for t in (S.PRIMARY, S.SECONDARY)]
+    return references.walk(references.placement_set(placed), ids=64).select("ordinal", "ref_idx", "window_no", "pos", "id_src", "align_id", "len")
+
+
 @query
 def dependency_summary(a):
     return references.dependency_summary(a.dependencies())
@@ -406,6 +432,7 @@ def missing_dependencies(a):
 
 
 SMALL_PART = 3000  # records of a part, so that files of the small tables have several
+GAP_PART = 320
 
 
 def _placed(rows: DataFrame, part: str, order: str, name: str) -> DataFrame:
@@ -431,6 +458,15 @@ def ordered_regions(a):
     return _placed(rows, "part", "nth", "place").select("place", "stage", "group_no", "row_id", "record")
 
 
+@query
+def ordered_gaps(a):
+    """Parts of rows whose ids have gaps: half of the ids that stay lie in a small part of their range."""
+    kept = a.aligned(keep=(c("align_id") % 10 == 0) | c("align_id").between(2001, 4000)).select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("group_no"), c("align_id").alias("row_id"), F.lit(0).alias("read_no"))
+    histogram = kept.groupBy("stage", "group_no", bucket_of(c("row_id"), GAP_PART).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
+    dealt = ordered(kept, ORDER, histogram, GAP_PART).groupBy(F.spark_partition_id().cast("long").alias("part"))
+    return dealt.agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
+
+
 def _lines(a, path: str) -> DataFrame:
     """line_no, line of the text files below a path: files by name, lines in order."""
     rows = a.spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("nth"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
@@ -466,13 +502,33 @@ def fastq_bzip2_lines(a):
 
 @query
 def sam_no_header_lines(a):
-    return _written_lines(a, Options(no_header=True, primary_only=True, regions=REGIONS[:1]), "x.sam")
+    return _written_lines(a, Options(no_header=True, primary_only=True), "x.sam")
+
+
+def _streamed(a, o: Options, path: str) -> None:
+    """What standard output gets, in a file."""
+    out = Sink(a.spark, path)
+    convert(a, o, part_rows=SMALL_PART, out=out)
+    out.close()
+
+
+@query
+def fastq_gzip_stream_lines(a):
+    path = f"{new_path(a.spark, 'out')}/x.fq.gz"
+    _streamed(a, Options(fastq=True, primary_only=True, gzip=True), path)
+    return _lines(a, path)
 
 
-def _bytes(a, o: Options, folder: bool = False) -> DataFrame:
+@query
+def mode_precedence(a):
+    """FASTA wins over FASTQ, gzip over bzip2."""
+    return _written_lines(a, Options(fasta=True, fastq=True, primary_only=True, gzip=True, bzip2=True), "x.fa.gz")
+
+
+def _bytes(a, o: Options, folder: bool = False, stream: bool = False) -> DataFrame:
     """n_bytes and sha256 of what a written block-compressed file holds (.gz: Spark's reader unpacks it)."""
     path = new_path(a.spark, "out")
-    convert(a, o, None if folder else f"{path}/x.bam.gz", f"{path}/parts" if folder else None, SMALL_PART)
+    _streamed(a, o, f"{path}/x.bam.gz") if stream else convert(a, o, None if folder else f"{path}/x.bam.gz", f"{path}/parts" if folder else None, SMALL_PART)
     if folder:
         join_parts(a.spark, f"{path}/parts", f"{path}/x.bam.gz")
     raw = F.col("value").cast("binary")
@@ -489,6 +545,12 @@ def bam_folder_bytes(a):
     return _bytes(a, Options(output_format="bam", unaligned=True, xi=True), folder=True)
 
 
+@query
+def bam_stream_bytes(a):
+    """Binary output wins over the text formats; what standard output gets is what a file holds."""
+    return _bytes(a, Options(output_format="bam", fasta=True, fastq=True, gzip=True, unaligned=True, xi=True), stream=True)
+
+
 @query_with_header
 def bam_stored_header_bytes(a):
     """Mates are numbered by the stored header's references, which lie backwards."""
@@ -518,9 +580,10 @@ def header_without_stored(a):
 
 @query
 def header_from_file(a):
-    """A file's header wins over a rebuilt one; its last line gets its line end."""
+    """A file's header, here of the references backwards, wins over a rebuilt one; its last line gets its line end."""
+    lines = [f"@SQ\tSN:{r['seq_id']}\tLN:{r['seq_length']}" for r in a.references().orderBy(F.desc("ref_idx")).collect()]  # a row a reference
     with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
-        f.write("@HD\tVN:1.5\n@CO\tfrom a file")
+        f.write("\n".join(["@HD\tVN:1.5", *lines, "@CO\tfrom a file"]))
         f.flush()
         return _header_rows(a, {"file": Options(header_file=f.name, regenerate_header=True, header_comments=("c",))})
 

@@ -12,6 +12,13 @@ from strandforge.sources import schemas as S
 from strandforge.sources.storage import file_system
 
 
+_FROM_FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+
+
+def _FORMATTED(spark: SparkSession):  # noqa: N802
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+
 @dataclass(frozen=True)
 class Archive:
     """Named tables, header text and name. Tables given directly win over those in the folder."""
@@ -74,6 +81,23 @@ class Archive:
         d = S.conform(self.table(S.DEPENDENCIES), S.DEPENDENCY_COLUMNS, optional={})
         return d.where(~F.col("local")) if missing_only else d
 
+    def from_footers(self, name: str, column: str, by: str | None = None) -> DataFrame | None:
+        """first (least), last, n_rows of a column, for each value of by where the table is partitioned by it: answered from
+        the statistics in Parquet footers, no row group is read. None where the table is no file or has no statistics.
+
+        Spark answers so in its second file reader only, which a session of its own is set to.
+        """
+        if not self.path or any(n == name for n, _ in self.tables):
+            return None
+        apart = self.spark.newSession()
+        for key, value in _FROM_FOOTERS.items():
+            apart.conf.set(key, value)
+        file = name if name in self._names() else f"{name}.parquet"
+        table = apart.read.parquet(f"{self.path}/{file}")
+        grouped = table.groupBy(by) if by else table.groupBy()
+        counts = grouped.agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count(F.lit(1)).alias("n_rows"))
+        return counts if "PushedAggregation: [MIN" in counts._jdf.queryExecution().explainString(_FORMATTED(apart)) else None
+
     def id_range(self, name: str, column: str) -> tuple[int, int]:
         """(first id, rows)."""
         r = self.table(name).agg(F.min(column), F.count(F.lit(1))).first()

@@ -93,6 +93,16 @@ def write(spark: SparkSession, sf_dir: str, path: str) -> None:
         df.repartitionByRange(8, key).sortWithinPartitions(key).write.parquet(f"{path}/{name}")
 
 
+def by_reference(spark: SparkSession, sf_dir: str) -> Archive:
+    """The derived archive with its primary alignments in a folder for each reference."""
+    base = archive(spark, sf_dir)
+    path = f"{base.path}-by-reference"
+    where, fs = file_system(spark, f"{path}/{S.PRIMARY}/_SUCCESS")
+    if not fs.exists(where):
+        base.table(S.PRIMARY).repartition("ref_name").sortWithinPartitions("ref_name", "align_id").write.mode("overwrite").partitionBy("ref_name").parquet(f"{path}/{S.PRIMARY}")
+    return Archive(spark, path)
+
+
 def archive(spark: SparkSession, sf_dir: str, header: bool = False) -> Archive:
     """The derived archive, with a stored header where asked for."""
     key = (spark.sparkContext.applicationId, sf_dir)

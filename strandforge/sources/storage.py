@@ -30,6 +30,24 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+class Sink:
+    """A new file at a path, as an open binary stream of the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        where, fs = file_system(spark, path)
+        self._of = fs.create(where, True)
+
+    def write(self, data: bytes) -> int:
+        self._of.write(bytearray(data))
+        return len(data)
+
+    def flush(self) -> None:
+        self._of.flush()
+
+    def close(self) -> None:
+        self._of.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where, fs = file_system(spark, path)
     fs.delete(where, True)

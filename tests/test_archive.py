@@ -21,8 +21,8 @@ from strandforge.operators import filters, records, references, regions
 from strandforge.operators.mates import with_cached_mates
 from strandforge.operators.records import Format
 from strandforge.operators.spots import emitted_reads
-from strandforge.plans import cli, convert, retry
-from strandforge.sources import fixture, storage, writers
+from strandforge.plans import cli, convert, progress, retry
+from strandforge.sources import archive, fixture, storage, writers
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive, open_archive
 from strandforge.streaming import follow
@@ -478,6 +478,49 @@ def test_parts_stream_while_later_ones_are_made(spark, monkeypatch):
     assert out.getvalue() == b"".join(b"%d\n" % i for i in range(10))
 
 
+def test_boundaries_come_from_footers(spark, sf_dir, tmp_path):
+    """No row group is read where the table lies by reference; a scan gives the same where it does not, or where a file lacks statistics."""
+    a = fixture.by_reference(spark, sf_dir)
+    plan = a.from_footers(S.PRIMARY, "align_id", "ref_name")._jdf.queryExecution().explainString(archive._FORMATTED(spark))
+    assert "PushedAggregation: [MIN(align_id), MAX(align_id), COUNT(*)]" in plan and "PushedGroupBy: [ref_name]" in plan
+    want = sorted(map(tuple, references.boundaries(a.aligned()).collect()))
+    assert sorted(map(tuple, references.boundaries_of(a).collect())) == want and len(want) == 25
+    flat = fixture.archive(spark, sf_dir)
+    assert flat.from_footers(S.PRIMARY, "align_id", "ref_name") is None  # the file reader cannot group by a stored column
+    assert sorted(map(tuple, references.boundaries_of(flat).collect())) == want
+    bare = f"{tmp_path}/bare"
+    a.table(S.PRIMARY).write.option("parquet.column.statistics.enabled", "false").partitionBy("ref_name").parquet(f"{bare}/{S.PRIMARY}")
+    assert sorted(map(tuple, references.boundaries_of(Archive(spark, bare)).collect())) == want
+    held = Archive(spark, tables=((S.PRIMARY, flat.table(S.PRIMARY)),))
+    assert held.from_footers(S.PRIMARY, "align_id") is None and sorted(map(tuple, references.boundaries_of(held).collect())) == want
+
+
+@pytest.mark.parametrize("ids", [1, 7, references.WALK_IDS])
+def test_walk_equals_a_sort(spark, ids):
+    """Many records at one position, in both sources."""
+    rng = random.Random(ids)
+    rows = [(rng.randrange(3), p // 10, p, rng.randrange(2), i) for i in range(400) for p in [rng.choice([5, 5, 5, rng.randrange(40)])]]
+    got = references.walk(spark.createDataFrame(rows, "ref_idx int, window_no long, pos int, source_no int, align_id long").repartition(5), ids=ids)
+    assert [tuple(r)[1:] for r in sorted(got.collect())] == sorted(rows) and sorted(r.ordinal for r in got.collect()) == list(range(1, 401))
+    assert references.walk(got.drop("ordinal").limit(0)).count() == 0
+
+
+def test_status_lines_while_a_job_runs(spark):
+    out = io.StringIO()
+    with progress.Status(spark, 0.3, out):
+        slow = spark.range(0, 400, 1, 40).mapInArrow(lambda batches: (time.sleep(0.3) or b for b in batches), "id long")
+        assert slow.repartition(4).count() == 400
+    lines = out.getvalue().splitlines()
+    assert len(lines) >= 2 and all(re.fullmatch(r"\[progress\] Processed [\d,]+ records across \d+ of \d+ work items in \d+s \(.*\)", x) for x in lines)
+    status = progress.Status(spark, 0.01, out)
+    seen = iter([(1, 10, 1, 4), (1, 9, 1, 4), None, (1, 20, 2, 4), (2, 0, 0, 2)])
+    status.now = lambda: next(seen, None)
+    out.truncate(0)
+    with status:
+        time.sleep(0.5)
+    assert re.findall(r"Processed (\d+) records across (\d)", out.getvalue()) == [("10", "1"), ("20", "2"), ("0", "0")]
+
+
 def test_a_failing_task_fails_the_stream(spark):
     bad = spark.range(8).select(F.lit(0).alias("stage"), F.lit(0).cast("long").alias("group_no"), F.col("id").alias("row_id"), F.lit(0).alias("read_no"), F.expr("if(id = 7, raise_error('no'), 'x')").cast("string").alias("record"))
     histogram = bad.groupBy("stage", "group_no", writers.bucket_of(F.col("row_id"), 4).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
