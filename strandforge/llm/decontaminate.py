@@ -132,7 +132,7 @@ def _windows(hashes: list[int], where: list[tuple[int, int]], words: list[list[b
     h, w = np.array(hashes, dtype=np.uint64), np.array(where, dtype=np.int32).reshape(-1, 2)
     order = np.lexsort((w[:, 1], w[:, 0], h))
     h, w = h[order], w[order]
-    same_hash = np.r_[False, h[1:] == h[:-1]]
+    same_hash = np.r_[False, h[1:] == h[:-1]][: len(h)]
     first: list[int] = []  # positions of the different windows
     holders: list[list[int]] = []
     run: dict[tuple[bytes, ...], int] = {}
@@ -151,7 +151,8 @@ def _windows(hashes: list[int], where: list[tuple[int, int]], words: list[list[b
         elif holders[run[part]][-1] != t:
             holders[run[part]].append(t)
     begins = np.cumsum([0, *map(len, holders)])
-    return h[first], w[first], begins, np.array([t for texts in holders for t in texts], dtype=np.int32)
+    at = np.array(first, dtype=np.int64)
+    return h[at], w[at], begins, np.array([t for texts in holders for t in texts], dtype=np.int32)
 
 
 def merge(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
