@@ -21,15 +21,17 @@ def with_cached_mates(kept: DataFrame, scope: tuple[str, ...] = ("ref_name",)) -
     # of those that wait for a mate the least id comes first; a grouped minimum needs no sort and is
     # summed up before the shuffle, unlike a row number
     first = waits.groupBy(*scope, "mate_align_id").agg(F.min("align_id").alias("taker"))
-    mates = kept.where(mated).select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("align_id").alias("_mate"), F.col("ref_pos").alias("cached_pos"))
-    same = F.col("mate_align_id") == F.col("_mate")
+    mates = kept.where(mated).select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("align_id").alias("_mate"), F.col("ref_pos").alias("_pos"))
+    alike = F.lit(True)
     for c in scope:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = first.join(mates, same).select(*[F.col(c).alias(f"_{c}") for c in scope], "taker", "cached_pos")
-    own = F.col("align_id") == F.col("taker")
-    for c in scope:
-        own = own & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return kept.join(found, own, "left").drop("taker", *[f"_{c}" for c in scope])
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # joined by id alone, the scope is compared after it: a table in buckets of ids then needs no exchange of its rows
+    asked = first.join(mates, F.col("mate_align_id") == F.col("_mate"))
+    found = asked.select(*[F.col(c).alias(f"_{c}") for c in scope], "taker", F.when(alike, F.struct(F.col("_pos").alias("pos"))).alias("_found")).where(F.col("_found").isNotNull())
+    if scope == ("ref_name",):  # an id stands once
+        out = kept.join(found, F.col("align_id") == F.col("taker"), "left")
+        return out.select(*kept.columns, F.when(alike, F.col("_found.pos")).alias("cached_pos"))
+    return kept.join(found, (F.col("align_id") == F.col("taker")) & alike, "left").select(*kept.columns, F.col("_found.pos").alias("cached_pos"))
 
 
 def take_order(kept: DataFrame, scope: tuple[str, ...] = ("ref_name",)) -> DataFrame:

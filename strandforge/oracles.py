@@ -232,6 +232,7 @@ ORACLES: dict[str, str] = {
     "boundary_total": _with("SELECT count(*)::bigint AS n_rows FROM aligned"),
     "work_items": _with("SELECT row_number() OVER (ORDER BY f, item) - 1 AS order_idx, ref_name, item, f+item*500 AS first_row, least(f+(item+1)*500-1, l) AS last_row FROM (SELECT ref_name, f, l, unnest(range((l-f)//500+1)) AS item FROM (SELECT ref_name, min(align_id) AS f, max(align_id) AS l FROM aligned GROUP BY 1))"),
     "mate_lookup": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned")),
+    "mate_lookup_by_id": _with("SELECT align_id, mate_align_id, cached_pos, read, quality FROM m", *_mated("aligned")),
     "mate_lookup_min_mapq": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("aligned", "mapq >= 10")),
     "mate_lookup_contested": _with("SELECT align_id, mate_align_id, cached_pos FROM m", *_mated("secondary", "true")),
     "mate_take_order": _with("SELECT align_id, mate_align_id, take_no FROM pend", *_mated("secondary", "true")),

@@ -44,6 +44,12 @@ def query_by_reference(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
     return f
 
 
+def query_by_id(f: Callable[[fixture.Archive], DataFrame]) -> Callable:
+    """Over an archive whose primary alignments lie in buckets of ids."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(fixture.by_id(spark, sf_dir))
+    return f
+
+
 def _rows(a, o: Options = Options(), table: str = S.PRIMARY) -> DataFrame:  # noqa: B008
     return aligned_rows(a, table, o)
 
@@ -152,6 +158,12 @@ def mate_lookup(a):
     return with_cached_mates(filters.by_mapq(a.aligned())).select("align_id", "mate_align_id", "cached_pos")
 
 
+@query_by_id
+def mate_lookup_by_id(a):
+    """The lookup over a table in buckets of ids, with the columns that records need: no wide row moves."""
+    return with_cached_mates(filters.by_mapq(a.aligned())).select("align_id", "mate_align_id", "cached_pos", "read", "quality")
+
+
 @query
 def mate_lookup_min_mapq(a):
     return with_cached_mates(a.aligned(keep=filters.stored_mapq(10))).select("align_id", "mate_align_id", "cached_pos")

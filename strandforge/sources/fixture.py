@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandforge.sources import layouts
 from strandforge.sources import schemas as S
 from strandforge.sources.archive import Archive
 from strandforge.sources.storage import file_system, materialize, new_path
@@ -96,11 +97,13 @@ def write(spark: SparkSession, sf_dir: str, path: str) -> None:
 def by_reference(spark: SparkSession, sf_dir: str) -> Archive:
     """The derived archive with its primary alignments in a folder for each reference."""
     base = archive(spark, sf_dir)
-    path = f"{base.path}-by-reference"
-    where, fs = file_system(spark, f"{path}/{S.PRIMARY}/_SUCCESS")
-    if not fs.exists(where):
-        base.table(S.PRIMARY).repartition("ref_name").sortWithinPartitions("ref_name", "align_id").write.mode("overwrite").partitionBy("ref_name").parquet(f"{path}/{S.PRIMARY}")
-    return Archive(spark, path)
+    return layouts.by_reference(base, f"{base.path}-by-reference")
+
+
+def by_id(spark: SparkSession, sf_dir: str) -> Archive:
+    """The derived archive with its primary alignments in buckets of ids."""
+    base = archive(spark, sf_dir)
+    return layouts.by_id(base, f"{base.path}-by-id", f"alignments_{base.path.rpartition('-')[2]}", 8)
 
 
 def archive(spark: SparkSession, sf_dir: str, header: bool = False) -> Archive:

@@ -27,6 +27,9 @@ DEPENDENCY_COLUMNS = _schema(accession=TEXT, seq_id=TEXT, local=BOOL)
 #: Columns that a table may lack, with the value that then stands for them.
 OPTIONAL = {"alignment_count": 0, "read_filter": None}
 
+#: Row ids: never empty, and read as stored, so that a layout by id reaches joins.
+KEYS = ("align_id", "row_id")
+
 PRIMARY, SECONDARY, SEQUENCE, REFERENCES, DEPENDENCIES = "PRIMARY_ALIGNMENT", "SECONDARY_ALIGNMENT", "SEQUENCE", "REFERENCE", "DEPENDENCIES"
 TABLES = {PRIMARY: ALIGNED_COLUMNS, SECONDARY: ALIGNED_COLUMNS, SEQUENCE: SEQUENCE_COLUMNS, REFERENCES: REFERENCE_COLUMNS, DEPENDENCIES: DEPENDENCY_COLUMNS}
 
@@ -53,7 +56,7 @@ def conform(df: DataFrame, schema: StructType, wanted: list[str] | None = None,
             if f.name not in optional:
                 raise MissingColumn(f"column {f.name} is missing; the table has {', '.join(df.columns)}")
             out.append(F.lit(optional[f.name]).cast(kind).alias(f.name))
-        elif f.name in optional and optional[f.name] is None:
+        elif f.name in KEYS or f.name in optional and optional[f.name] is None:
             out.append(F.col(f.name).cast(kind).alias(f.name))
         else:
             out.append(F.coalesce(F.col(f.name).cast(kind), default_of(kind)).alias(f.name))

@@ -583,6 +583,47 @@ def test_stream_equals_batch(spark, stored, tmp_path):
     assert got == sorted("\n".join(r["record"] for r in want).splitlines())
 
 
+@pytest.mark.parametrize("shares", [1, follow.MATE_SHARES])
+def test_mates_in_a_stream_equal_a_lookup_in_the_table(spark, sf_dir, tmp_path, shares):
+    """Contested mates, five files one after the other; mates are in other files than those that ask."""
+    kept = fixture.archive(spark, sf_dir).table(S.SECONDARY).select("ref_name", "align_id", "mate_align_id", "ref_pos")
+    rows = sorted(map(tuple, kept.collect()), key=lambda r: r[1])
+    files = [rows[i * len(rows) // 5 : (i + 1) * len(rows) // 5] for i in range(5)]
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, kept.schema).coalesce(1).write.parquet(f"{tmp_path}/tmp{i}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        name = next(n for n in os.listdir(f"{tmp_path}/tmp{i}") if n.endswith(".parquet"))
+        os.rename(f"{tmp_path}/tmp{i}/{name}", f"{tmp_path}/in/{i}.parquet")
+        os.utime(f"{tmp_path}/in/{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    stream = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = follow.mates_in_stream(stream, shares).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = sorted(tuple(r) for r in with_cached_mates(kept).select("align_id", "mate_align_id", "cached_pos").collect())
+    assert got == want and 0 < sum(r[2] is not None for r in want) < len(want)
+
+
+def test_mate_lookup_by_id_moves_no_wide_row(spark, sf_dir):
+    a = fixture.by_id(spark, sf_dir)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = with_cached_mates(filters.by_mapq(a.aligned())).select("align_id", "cached_pos", "read", "quality")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    wide = next(i for i, x in enumerate(lines) if "FileScan" in x and "quality" in x)
+    above = len(lines[wide]) - len(lines[wide].lstrip(" :+-|"))
+    for x in reversed(lines[:wide]):  # the nodes on the way from the wide scan to the top
+        depth = len(x) - len(x.lstrip(" :+-|"))
+        if depth < above:
+            above = depth
+            assert "Exchange" not in x, plan
+    assert plan.count("Exchange") > 0 and "Bucketed: true" in lines[wide]
+
+
 def test_plans_have_no_python(spark, sf_dir):
     from strandforge.queries import QUERIES
 
