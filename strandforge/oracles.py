@@ -214,6 +214,8 @@ _BIG = "(align_id*40000000-90000000000)"
 
 ORACLES: dict[str, str] = {
     "scan_aligned": _with(f"SELECT {_COLS} FROM aligned"),
+    "source_scan": _with(f"SELECT {_COLS} FROM aligned"),
+    "source_filters": _with(" UNION ALL ".join(f"SELECT '{t}' AS id_src, align_id, ref_name, ref_pos, mapq FROM {v} WHERE mapq>=30 AND ref_name IN ('chr3','chr5') AND ref_pos<50000" for t, v in (("PRIMARY_ALIGNMENT", "aligned"), ("SECONDARY_ALIGNMENT", "secondary")))),
     "scan_aligned_long_cigar": _with("SELECT align_id, cigar_long AS cigar FROM aligned"),
     "scan_sequence": _with("SELECT row_id, name, spot_group, read, len(ids)::int AS n_reads, list_sum(lens)::bigint AS bases FROM spots"),
     "list_tables": "SELECT unnest(['DEPENDENCIES','PRIMARY_ALIGNMENT','REFERENCE','SECONDARY_ALIGNMENT','SEQUENCE']) AS table_name",

@@ -16,7 +16,7 @@ from strandforge.operators.spots import emitted_reads
 from strandforge.plans.cli import cache_refs, convert
 from strandforge.plans.convert import ORDER, Options, aligned_rows, dictionary_table, header_of, key_histogram, records_plan, with_bam_ids
 from strandforge.plans.progress import Progress
-from strandforge.sources import fixture
+from strandforge.sources import fixture, reader
 from strandforge.sources import schemas as S
 from strandforge.sources.storage import Sink, new_path
 from strandforge.sources.writers import bucket_of, join_parts, ordered
@@ -59,6 +59,24 @@ def scan_aligned(a):
     return a.aligned().select("align_id", "sam_flags", "cigar", "mate_align_id", "mate_ref_name", "mate_ref_pos", "template_len", "read", "quality", "edit_distance", "spot_group", "seq_name", "alignment_count", "read_filter", "ref_pos", "mapq", "ref_name")
 
 
+def _source(a, table: str = S.PRIMARY, **options: object) -> DataFrame:
+    reader.register(a.spark)
+    return a.spark.read.format("strandforge_archive").options(table=table, **options).load(a.path)
+
+
+@query
+def source_scan(a):
+    """The alignment scan through the named source."""
+    return _source(a).withColumnRenamed("cigar_short", "cigar").select(*[n for n in S.ALIGNED_COLUMNS.names if not n.startswith("cigar_")], "cigar")
+
+
+@query
+def source_filters(a):
+    """Rows that the named source leaves out itself, on both alignment tables."""
+    kept = lambda t: _source(a, t, min_mapq=30, references="chr3,chr5").where(c("ref_pos") < 50_000).select(F.lit(t).alias("id_src"), "align_id", "ref_name", "ref_pos", "mapq")
+    return kept(S.PRIMARY).unionByName(kept(S.SECONDARY))
+
+
 @query
 def scan_aligned_long_cigar(a):
     return a.aligned(long_cigar=True).select("align_id", "cigar")
