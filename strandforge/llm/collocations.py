@@ -36,8 +36,8 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in hundredths.
 INSIDE = 50
 #: Words of a block, about; a longer piece is a block of its own.
-BLOCK_WORDS = 1 << 15
-BITS = 1 << 27
+BLOCK_WORDS = 1 << 14
+BITS = 1 << 26
 #: Hashed parts of a language in the rounds that take its first rows.
 ROUNDS = (512, 16, 1)
 _SEED = 42
@@ -45,7 +45,7 @@ _GAP = b"."  # no word can be one: it ends a piece
 #: bytes.translate() table: A-Z to lower case, ends of pieces to the gap, tabs to spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256))
 _RELATION = "lang string, n long, phrases array<string>, counts array<int>, groups array<int>"
-_ROW_GROUP = 8 << 20
+_ROW_GROUP = 4 << 20
 
 
 def tokens_of(text: bytes) -> list[bytes]:
