@@ -125,7 +125,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(getattr(args, "threads", None))
     if args.command == "cache-refs":
         return 1 if cache_refs(spark, args.accessions)[1] else 0
-    tosam(spark, args)
+    try:
+        tosam(spark, args)
+        sys.stdout.flush()
+    except BrokenPipeError:  # the reader of standard output has had enough
+        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+        return 1
     return 0
 
 

@@ -7,6 +7,7 @@ import threading
 import time
 from typing import TextIO
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,10 @@ class Status:
 
     def _run(self) -> None:
         while not self.ended.wait(self.interval):
-            seen = self.now()
+            try:
+                seen = self.now()
+            except Py4JJavaError:  # the stage ended in between, and its counts are gone
+                continue
             if seen and seen[:2] > self.said:  # a later stage, or more records: lines never go back
                 self.said = seen[:2]
                 print(self.line(*seen[1:]), file=self.out or sys.stderr, flush=True)

@@ -13,7 +13,6 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
-from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from strandforge.functions import bam, cigar, encoder, fields, flags, quality, sequence, text
