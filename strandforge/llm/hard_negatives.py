@@ -71,7 +71,8 @@ def scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     most = np.abs(anchors).max(initial=0.0) * np.abs(rows).max(initial=0.0) * anchors.shape[1]
     if most < _EXACT_FLOAT:
         return (anchors @ rows.T).astype(np.int64)
-    whole = lambda m: np.array([[int(c) for c in r] for r in m], dtype=object)
+    # 256 times a component may be no double any more: such a number fits with nothing but zero
+    whole = lambda m: np.array([[int(c) if np.isfinite(c) else int(np.sign(c)) << 2000 for c in r] for r in m], dtype=object)
     exact = whole(anchors) @ whole(rows).T
     return np.array([[s if -_EXACT_LONG < s < _EXACT_LONG else _NONE for s in r] for r in exact], dtype=np.int64)
 

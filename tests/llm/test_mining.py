@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +212,7 @@ def test_phrases_of_an_empty_table(spark):
 
 
 def brute_negatives(rows, every=50, positives=5, negatives=3):
-    use = {(i, (l + 1) % 10 if i % 7 == 0 else l, tuple(math.floor(256 * float(x)) for x in v)) for i, v, l in rows if i is not None and l is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    use = {(i, (l + 1) % 10 if i % 7 == 0 else l, tuple(math.floor(256 * Fraction(x)) for x in v)) for i, v, l in rows if i is not None and l is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
     for i, l, v in use:
         if i % every:
@@ -239,7 +240,7 @@ def test_hard_negatives_of_odd_rows_and_small_blocks(spark):
     rows = [(i, [float(rng.randrange(-2, 4)) / rng.choice([1, 2, 4]) for _ in range(rng.choice([3, 3, 3, 4]))], rng.randrange(3)) for i in range(1, 200)]  # many ties
     rows += [(200 + i, [1.0, 0.5, 0.25], i % 2) for i in range(150)]  # a third are copies
     rows += [(None, [1.0, 1.0, 1.0], 1), (50, None, 1), (100, [1.0, None, 1.0], 2), (150, [float("nan"), 1.0, 1.0], 2), (400, [math.inf, 1.0, 1.0], 1), (450, [1.0, 1.0, 1.0], None)]
-    rows += [(500, [0.0, 0.0, 0.0], 1), (501, [0.0, 0.0, 0.0], 2), (550, [], 1), (551, [], 1), (552, [], 3), (600, [1e300, 1.0, 1.0], 1), (601, [1e30, 1.0, 1.0], 1), (650, [3e7, 1.0, 2.0], 1), (651, [3e7, 2.0, 1.0], 1), (652, [2e7, 2.0, 1.0], 2)]
+    rows += [(500, [0.0, 0.0, 0.0], 1), (501, [0.0, 0.0, 0.0], 2), (550, [], 1), (551, [], 1), (552, [], 3), (600, [1e300, 1.0, 1.0], 1), (602, [1.5e308, 1.0, 1.0], 1), (601, [1e30, 1.0, 1.0], 1), (650, [3e7, 1.0, 2.0], 1), (651, [3e7, 2.0, 1.0], 1), (652, [2e7, 2.0, 1.0], 2)]
     rows += [rows[0], rows[0]]
     df = wide(spark, rows, "vec_id long, embedding array<double>, label int")
     want = brute_negatives(rows, every=10)
