@@ -9,8 +9,9 @@ semi-joined with its frequent groups.
 * A row of a relation is a block of whole pieces of one language: its different phrases with their counts, and a
   code for every position (-1 where no group begins). Pieces never cross blocks, so joins shuffle nothing;
   what is shuffled is counts, summed in every task before.
-* The semi-join asks a bitmap of hashes of the frequent groups, which has BITS bits however many there
-  are. A group that passes by chance is counted like any other and fails the exact count after it.
+* Groups are counted twice: by a hash of KEY_BITS bits, which shuffles numbers instead of phrases, and those whose
+  hash is frequent by the phrase itself, exactly. The semi-join asks a bitmap of the frequent hashes, which has BITS bits however many
+  there are. A group that passes by chance is joined like any other and fails the exact count.
 
 Scores come from joins of the frequent phrases with their parts, in decimals that do not pass over.
 The first rows of each language are taken in rounds over ever fewer hashed parts of it, so no task sorts a language.
@@ -36,15 +37,15 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in hundredths.
 INSIDE = 50
 #: Words of a block, about; a longer piece is a block of its own.
-BLOCK_WORDS = 1 << 14
-BITS = 1 << 26
+BLOCK_WORDS = 1 << 15
+BITS, KEY_BITS = 1 << 26, 40
 #: Hashed parts of a language in the rounds that take its first rows.
 ROUNDS = (512, 16, 1)
 _SEED = 42
 _GAP = b"."  # no word can be one: it ends a piece
 #: bytes.translate() table: A-Z to lower case, ends of pieces to the gap, tabs to spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256))
-_RELATION = "lang string, n long, phrases array<string>, counts array<int>, groups array<int>"
+_RELATION = "lang string, n long, phrases array<string>, counts array<int>, groups array<int>, held array<string>, held_counts array<int>"
 _ROW_GROUP = 4 << 20
 
 
@@ -78,17 +79,13 @@ def block(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(known)[1:], counts, groups
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of a relation from (language, n, phrases, counts, groups)."""
-    text = pa.list_(pa.string())
-    kinds = (pa.string(), pa.int64(), text, pa.list_(pa.int32()), pa.list_(pa.int32()))
-    columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * len(kinds)
-    arrays = [pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1])]
-    for values, kind in zip(columns[2:], kinds[2:], strict=True):
-        parts = [v.cast(kind.value_type) if isinstance(v, pa.Array) else pa.array(v, kind.value_type) for v in values]
-        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(parts) if parts else pa.array([], kind.value_type)))
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "phrases", "counts", "groups"])
+def _row(lang: str, n: int, phrases: pa.Array, counts: np.ndarray, groups: np.ndarray, held: pa.Array | None = None, held_counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row of a relation; held: the phrases of the relation it came from that may be frequent, with their counts."""
+    arrays = [pa.array([lang], pa.string()), pa.array([n], pa.int64())]
+    for values, kind in ((phrases, pa.string()), (counts, pa.int32()), (groups, pa.int32()), (held, pa.string()), (held_counts, pa.int32())):
+        part = pa.array([] if values is None else values, kind)
+        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part))
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "phrases", "counts", "groups", "held", "held_counts"])
 
 
 def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -100,7 +97,7 @@ def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
         def given(name: str, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
             for part in blocks_of(tokens):
                 words, counts, groups = block(part)
-                yield _rows([(name, int(counts.sum()), pa.array(words, pa.binary()).cast(pa.string()), counts, groups)])
+                yield _row(name, int(counts.sum()), pa.array(words, pa.binary()).cast(pa.string()), counts, groups)
 
         for b in pieces(batches):
             for name, said in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -119,20 +116,23 @@ def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     return picked.mapInArrow(run, _RELATION)
 
 
-def counted(relation: DataFrame) -> DataFrame:
-    """lang, phrase, f of all groups of a relation."""
+def frequent_keys(relation: DataFrame, least: int, bits: int = BITS) -> np.ndarray:
+    """The bits of hashed groups that are frequent: bits / 64 rows for the driver at most, however many groups."""
     each = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts")))
-    return each.groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum(F.col("counts").cast("long")).alias("f"))
+    key = F.xxhash64(F.concat_ws(" ", "lang", "phrases")).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    found = each.select(key.alias("key"), "counts").groupBy("key").agg(F.sum(F.col("counts").cast("long")).alias("f")).where(F.col("f") >= least)
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = found.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast(key & {min(bits, 64) - 1}L as int))").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    out = np.zeros(max(1, bits // 64), dtype=np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint64)
 
 
-def bitmap(groups: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The bits of hashes of the groups (lang, phrase): bits / 64 rows for the driver at most, however many groups."""
-    h = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(bits))
-    words = groups.select(F.shiftright(h, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(concat_ws(' ', lang, phrase)), {bits}L) & 63 as int))").alias("bit"))
-    found = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[found.column("at").to_numpy()] = found.column("word").to_numpy()
-    return out.view(np.uint64)
+def counted(relation: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, f of the frequent groups, exactly, from what the next relation holds of them."""
+    each = relation.select("lang", F.inline(F.arrays_zip("held", "held_counts")))
+    return each.groupBy("lang", F.col("held").alias("phrase")).agg(F.sum(F.col("held_counts").cast("long")).alias("f")).where(F.col("f") >= least)
 
 
 def passes(bits: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
@@ -142,13 +142,13 @@ def passes(bits: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def extended(lang: str, phrases: pa.Array, groups: np.ndarray, frequent: np.ndarray, last: bool) -> tuple | None:
-    """A row of R_(k+1) from one of R_k: the merge join by adjacent position of what is frequent."""
+def extended(phrases: pa.Array, groups: np.ndarray, frequent: np.ndarray, last: bool) -> tuple:
+    """What a row of R_(k+1) is made of, from one of R_k: the merge join by adjacent position of what is frequent."""
     there = groups >= 0
     there[there] = frequent[groups[there]]
     both = np.flatnonzero(there[:-1] & there[1:])
     if not len(both):
-        return None
+        return 0, [], [], []
     pairs, code, counts = np.unique(groups[both].astype(np.int64) << 32 | groups[both + 1], return_inverse=True, return_counts=True)
     left, right = pairs >> 32, pairs & 0xFFFFFFFF
     ends, where = np.unique(right, return_inverse=True)
@@ -157,23 +157,24 @@ def extended(lang: str, phrases: pa.Array, groups: np.ndarray, frequent: np.ndar
     new = np.full(0 if last else len(groups), -1, dtype=np.int32)
     if not last:
         new[both] = code.reshape(-1)
-    return lang, len(both), joined, counts, new
+    return len(both), joined, counts, new
 
 
-def next_relation(relation: DataFrame, frequent: np.ndarray, last: bool) -> DataFrame:
-    """R_(k+1) from R_k and the bitmap of its frequent groups; the last one needs no positions."""
+def next_relation(relation: DataFrame, frequent: np.ndarray, k: int, longest: int) -> DataFrame:
+    """R_(k+1) from R_k and the bitmap of its frequent groups, with what R_k holds of these; R_longest needs no
+    positions, and after it only the held groups are told."""
     shared = relation.sparkSession.sparkContext.broadcast(frequent)  # BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                lang, phrases, groups = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values.to_numpy()
-                row = extended(lang, phrases, groups, passes(shared.value, lang, phrases), last)
-                if row:
-                    yield _rows([row])
+                lang, phrases, counts, groups = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
+                known = passes(shared.value, lang, phrases)
+                longer = extended(phrases, groups, known, k + 1 == longest) if k < longest else (0, [], [], [])
+                yield _row(lang, *longer, phrases.filter(pa.array(known)), counts[known])
 
     bounded_batches(relation.sparkSession)
-    return relation.select("lang", "phrases", "groups").mapInArrow(run, _RELATION)
+    return relation.select("lang", "phrases", "counts", "groups").mapInArrow(run, _RELATION)
 
 
 def scored(frequent: list[DataFrame]) -> DataFrame:
@@ -226,11 +227,10 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     totals = materialize(relation.groupBy(F.col("lang").alias("n_lang")).agg(F.sum("n").alias("n")), "word-totals")
     frequent = []
     for k in range(1, max_words + 1):
-        frequent.append(materialize(counted(relation).where(F.col("f") >= least), f"frequent-{k}"))
-        if k < max_words:
-            longer = materialize(next_relation(relation, bitmap(frequent[-1]), k + 1 == max_words), f"occurrences-{k + 1}", **options)
-            discard(relation)
-            relation = longer
+        longer = materialize(next_relation(relation, frequent_keys(relation, least), k, max_words), f"occurrences-{k + 1}", **options)
+        frequent.append(materialize(counted(longer, least), f"frequent-{k}"))
+        discard(relation)
+        relation = longer
     discard(relation)
     found = scored(frequent)
     if max_words > 2:
