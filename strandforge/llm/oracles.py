@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandforge.llm.collocations import INSIDE, LEAST, TOP
 from strandforge.llm.decontaminate import WINDOW
+from strandforge.llm.hard_negatives import ANCHOR_EVERY, HIGHEST, LOWEST, NEGATIVES, POSITIVES, QUANTUM
 from strandforge.llm.license_scan import BASE_PHRASES, EDIT_SHARE, MAX_SHIFT, TEMPLATES
 from strandforge.llm.secrets import JWT, RULES
 
@@ -88,4 +89,14 @@ totals AS (SELECT lang, sum(f)::bigint AS n FROM f1 GROUP BY 1)
 SELECT lang, rank, phrase, a, l, r, n, score::bigint AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= {TOP}"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _licenses(), "op6_decontamination": _leaks(), "op10_secrets": _secrets(), "op12_collocations": _collocations()}
+def _negatives() -> str:
+    return f"""WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({QUANTUM} * x::double)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::bigint AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {ANCHOR_EVERY} = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::int AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND {LOWEST} * p.score <= 100 * s.score AND 100 * s.score <= {HIGHEST} * p.score)
+SELECT * FROM n WHERE rank <= {NEGATIVES}"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _licenses(), "op6_decontamination": _leaks(), "op10_secrets": _secrets(), "op12_collocations": _collocations(), "op13_hard_negatives": _negatives()}
