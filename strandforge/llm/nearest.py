@@ -4,14 +4,16 @@ Partitions come from k-means; what a vector differs from its centroid by is quan
 product code of four bits per two dimensions. Codebooks and codes minimise the score-aware loss
 ``|r|^2 + (eta - 1) (x.r / |x|)^2``: the part of the residual r parallel to the vector x costs eta
 times the rest, as it moves the scores of the queries that matter. A query scans the codes of its
-partitions with lookup tables and reranks the best exactly, in double precision.
+partitions with lookup tables and reranks exactly, in double precision, the best and all others whose
+code, with the length of what it leaves of the vector, does not rule them out.
 
-The index is fitted on a bounded sample (SAMPLE rows, by hash of the id), also used to measure how
-many partitions must be probed for TARGET_RECALL; every row is indexed. Equal vectors are one
+The index is fitted on a bounded sample (SAMPLE rows, by hash of the id); every row is indexed. What a
+search may leave out follows from the rows and queries themselves, not from the sample: a partition's
+largest distance from its centroid, and an entry's from its code, bound the scores that they can give. Equal vectors are one
 entry that keeps the k + 1 smallest ids, all that any result can name. Partitions and their queries
 are split into blocks, so a task holds CELL_ROWS entries and QUERY_ROWS queries at most. The partitions
-nearest to a query are searched first; its k-th best score there is the least that the other
-partitions give back, so what is dealt by query does not grow with how many are probed.
+nearest to a query are searched first; its k-th best score there is the least that the others must be
+able to reach to be searched, and the least that they give back.
 
 Defined results: null, zero, or non-finite vectors, vectors of another length than the most common
 one (the shorter on ties) and rows without an id take no part; repeated rows count as one; an empty
@@ -35,7 +37,6 @@ CELL_TARGET = 2_000
 MAX_CELLS = 4_096
 CELL_ROWS = 4_096
 QUERY_ROWS = 2_048
-TARGET_RECALL = 0.97
 THRESHOLD = 0.2  # of the score-aware loss: scores above this share of |q||x| matter
 RERANK = 10  # exact scores a block, per result asked for
 SCAN_QUERIES = 128  # queries of a table scan at once
@@ -46,7 +47,6 @@ class Index:
     centroids: np.ndarray  # cells x d
     books: np.ndarray  # subspaces x 16 x 2
     eta: float
-    probes: int
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -113,36 +113,32 @@ def _books(x: np.ndarray, centroid: np.ndarray, eta: float, rng: np.random.Gener
     return books
 
 
-def fit(x: np.ndarray, rows: int, k: int, recall: float = TARGET_RECALL, seed: int = 7) -> Index:
+def fit(x: np.ndarray, rows: int, seed: int = 7) -> Index:
     """An index of ``rows`` vectors, fitted on the sample x."""
     rng, d = np.random.default_rng(seed), x.shape[1]
     cells = int(min(max(1, rows // CELL_TARGET), MAX_CELLS, len(x)))
     centroids = _kmeans(x, cells, rng)
-    near = assign(x, centroids)
     eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    books = _books(x, centroids[near], eta, rng)
-    probe = rng.choice(len(x), min(len(x), 500), replace=False)
-    scores = x[probe] @ x.T
-    scores[np.arange(len(probe)), probe] = -np.inf
-    n = min(k, len(x) - 1)
-    probes = cells
-    if n > 0 and cells > 1:
-        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        rank = np.argsort(np.argsort(-(x[probe] @ centroids.T), axis=1), axis=1)
-        depth = np.sort(np.take_along_axis(rank, near[top], axis=1).ravel())
-        probes = min(cells, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1)
-    return Index(centroids, books, eta, probes)
-
-
-def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, centroid: np.ndarray, books: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query, the positions and exact inner products of the best ``top`` entries by table scan."""
-    top = min(top, len(x))
-    where, scores = np.empty((len(q), top), dtype=np.int64), np.empty((len(q), top))
-    m = books.shape[0]
+    return Index(centroids, _books(x, centroids[assign(x, centroids)], eta, rng), eta)
+
+
+def left_over(x: np.ndarray, centroid: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The length of what centroid and code leave of each vector."""
+    coded = np.stack([books[s][codes[:, s]] for s in range(len(books))], axis=1)
+    return np.sqrt(((_pairs(x - centroid) - coded) ** 2).sum(axis=(1, 2)))
+
+
+def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, centroid: np.ndarray, books: np.ndarray, n: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, positions and exact inner products of its n best entries and those equal to the last,
+    as far as they reach the query's least; others may be among them."""
+    top, m = min(RERANK * n, len(x)), books.shape[0]
     codes = np.pad(codes, ((0, 0), (0, m % 2)))
     packed = np.ascontiguousarray((codes[:, 0::2].astype(np.intp) << 4 | codes[:, 1::2]).T)  # two codes a lookup
+    # what sums in single precision may be off by, for a query of length 1
+    off = (m + 8) * 2e-7 * np.sqrt((books**2).sum(axis=2).max(axis=1).sum())
     for at in range(0, len(q), SCAN_QUERIES):
-        part = q[at : at + SCAN_QUERIES]
+        part, floor = q[at : at + SCAN_QUERIES], least[at : at + SCAN_QUERIES]
+        rows = np.arange(len(x))
         if len(x) > top:
             tables = np.einsum("qsd,scd->scq", _pairs(part), books).astype(np.float32)
             tables = np.pad(tables, ((0, m % 2), (0, 0), (0, 0)))
@@ -152,11 +148,21 @@ def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, centroid: np.n
             for table, column in zip(joined, packed, strict=True):
                 rough += np.take(table, column, axis=0, out=row, mode="clip")
             best = np.argpartition(-rough.T, top - 1, axis=1)[:, :top]
-        else:
-            best = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
-        where[at : at + len(part)] = best
-        scores[at : at + len(part)] = np.einsum("qnd,qd->qn", x[best], part)
-    return where, scores
+            reached = np.partition(np.einsum("qnd,qd->qn", x[best], part), top - n, axis=1)[:, top - n]
+            floor = np.maximum(floor, reached)
+            length = np.linalg.norm(part, axis=1)
+            base = part @ centroid
+            slack = length * off + 1e-9 * (np.abs(base) + np.abs(floor))
+            # an entry is ruled out where even an error along the query would not bring it to the floor
+            ruled_out = rough + (left[:, None] * length).astype(np.float32) * np.float32(1.000001) < (floor - base - slack).astype(np.float32)
+            rows = np.nonzero(~ruled_out.all(axis=1))[0]
+        scores = x[rows] @ part.T
+        if len(rows) > n:
+            floor = np.maximum(floor, np.partition(scores, len(rows) - n, axis=0)[len(rows) - n])
+        near = scores >= floor - 1e-9 * np.abs(floor)
+        for i, own in enumerate(part):
+            where = rows[near[:, i]]
+            yield where, np.einsum("nd,d->n", x[where], own)
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -172,7 +178,7 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, d)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TARGET_RECALL, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by every."""
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -186,7 +192,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
     entries = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")  # k + 1 ids at most
     rows = entries.count()
     sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(SAMPLE).select("v").toArrow()
-    index = fit(np.array(sample.column("v").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(-1, d), rows, k, recall)
+    index = fit(np.array(sample.column("v").combine_chunks().values.to_numpy(zero_copy_only=False)).reshape(-1, d), rows)
     shared = spark.sparkContext.broadcast(index)  # MAX_CELLS x d at most
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,52 +202,50 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
                 x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype("<f8")
                 cell = assign(x, ix.centroids)
                 codes = encode(x, ix.centroids[cell], ix.books, ix.eta)
+                left, away = left_over(x, ix.centroids[cell], codes, ix.books), np.linalg.norm(x - ix.centroids[cell], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())],
-                    names=["cell", "ids", "x", "code"],
+                    [pa.array(cell, pa.int32()), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(left), pa.array(away)],
+                    names=["cell", "ids", "x", "code", "left", "away"],
                 )
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest partitions of a query; where its least is given, all others that can reach it."""
         ix = shared.value
         for b in pieces(batches, 1 << 20):
             if b.num_rows:
                 q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype("<f8")
-                order = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")
+                toward = q @ ix.centroids.T
+                order = np.argsort(-toward, axis=1, kind="stable")
                 # cells that hold k + 1 entries at least, so no query comes back short
-                sure = np.cumsum(held[order], axis=1) - held[order] < k + 1
-                taken = sure | (np.arange(order.shape[1]) < ix.probes)
+                taken = np.cumsum(held[order], axis=1) - held[order] < k + 1
+                least = np.full(len(q), -np.inf)
+                if b.num_columns > 2:
+                    least, length = b.column(2).to_numpy(zero_copy_only=False), np.linalg.norm(q, axis=1)[:, None]
+                    reach = toward + length * away * (1 + 1e-9) + 1e-9 * length * np.linalg.norm(ix.centroids, axis=1)
+                    taken = ~taken & np.take_along_axis((reach >= least[:, None]) & (held > 0), order, axis=1)
                 row, rank = np.nonzero(taken)
-                raw = [r.tobytes() for r in q]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[row, rank], pa.int32()), pa.array(b.column(0).to_numpy()[row], pa.int64()), pa.array([raw[i] for i in row], pa.binary()), pa.array(sure[row, rank])],
-                    names=["cell", "query_id", "q", "first"],
-                )
+                for some in np.array_split(np.arange(len(row)), max(1, -(-len(row) * 8 * d // (4 << 20)))):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(order[row[some], rank[some]], pa.int32()), pa.array(b.column(0).to_numpy()[row[some]], pa.int64()), pa.array([q[i].tobytes() for i in row[some]], pa.binary()), pa.array(least[row[some]])],
+                        names=["cell", "query_id", "q", "least"],
+                    )
 
     bounded_batches(spark)
-    stored = materialize(entries.select("v", "ids").mapInArrow(coded, "cell int, ids array<long>, x binary, code binary"), "codes")
-    counts = {"x": dict(stored.groupBy("cell").count().collect())}  # a row for each cell
-    held = np.array([counts["x"].get(c, 0) for c in range(len(index.centroids))])
-    asked = base.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v")
-    asked = materialize(asked.mapInArrow(probed, "cell int, query_id long, q binary, first boolean"), "probes")
+    stored = materialize(entries.select("v", "ids").mapInArrow(coded, "cell int, ids array<long>, x binary, code binary, left double, away double"), "codes")
+    of_cell = {r["cell"]: r for r in stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect()}  # a row for each cell
+    held = np.array([of_cell[c]["n"] if c in of_cell else 0 for c in range(len(index.centroids))])
+    away = np.array([of_cell[c]["away"] if c in of_cell else 0.0 for c in range(len(index.centroids))])
+    asked = materialize(base.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v"), "asked")
     discard(base, entries)
 
-    counts["q"] = dict(asked.groupBy("cell").count().collect())
-    blocks = {
-        name: F.element_at(F.array(*[F.lit(-(-counts[name].get(c, 1) // most)) for c in range(len(index.centroids))]), F.col("cell") + 1)
-        for name, most in (("x", CELL_ROWS), ("q", QUERY_ROWS))
-    }
-    last = lambda b: F.sequence(F.lit(0), b - 1)
-    x = stored.withColumn("xb", F.pmod(F.xxhash64(F.col("ids")[0]), blocks["x"]).cast("int")).withColumn("qb", F.explode(last(blocks["q"])))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), blocks["q"]).cast("int")).withColumn("xb", F.explode(last(blocks["x"])))
-
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ix, ids, scores, of = shared.value, [], [], []
         if left.num_rows and right.num_rows:
             qs, xs = _matrix(left.column("q"), d), _matrix(right.column("x"), d)
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(len(xs), -1)
             names = right.column("ids").to_pylist()
-            where, exact = search_block(qs, xs, codes, ix.centroids[key[0].as_py()], ix.books, RERANK * (k + 1))
-            for own, least, at, s in zip(left.column("query_id").to_pylist(), left.column("least").to_pylist(), where, exact, strict=True):
+            found = search_block(qs, xs, codes, right.column("left").to_numpy(), ix.centroids[key[0].as_py()], ix.books, k + 1, left.column("least").to_numpy())
+            for own, least, (at, s) in zip(left.column("query_id").to_pylist(), left.column("least").to_pylist(), found, strict=True):
                 got, floor = [], -np.inf
                 for j in np.argsort(-s, kind="stable").tolist():
                     if s[j] < least or len(got) >= k and s[j] < floor:
@@ -253,11 +257,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = TA
         return pa.table({"query_id": pa.array(of, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     keys = ["cell", "xb", "qb"]
-    found_in = lambda rows: rows.drop("first").groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(search, out)
-    # the nearest cells of a query tell a score that its k-th result reaches; the others return nothing below it
-    near = materialize(found_in(q.where("first").withColumn("least", F.lit(float("-inf")))), "nearest-cells")
+
+    def found_in(questions: DataFrame, name: str) -> DataFrame:
+        q = materialize(questions.mapInArrow(probed, "cell int, query_id long, q binary, least double"), name)
+        counts = {"x": {c: int(n) for c, n in enumerate(held)}, "q": dict(q.groupBy("cell").count().collect())}
+        blocks = {
+            side: F.element_at(F.array(*[F.lit(max(1, -(-counts[side].get(c, 1) // most))) for c in range(len(index.centroids))]), F.col("cell") + 1)
+            for side, most in (("x", CELL_ROWS), ("q", QUERY_ROWS))
+        }
+        last = lambda b: F.sequence(F.lit(0), b - 1)
+        x = stored.drop("away").withColumn("xb", F.pmod(F.xxhash64(F.col("ids")[0]), blocks["x"]).cast("int")).withColumn("qb", F.explode(last(blocks["q"])))
+        q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), blocks["q"]).cast("int")).withColumn("xb", F.explode(last(blocks["x"])))
+        return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(search, out)
+
+    near = materialize(found_in(asked, "nearest-probes"), "nearest-cells")
     reached = near.groupBy("query_id").agg(F.coalesce(F.expr(f"try_element_at(sort_array(collect_list(score), false), {k})"), F.lit(float("-inf"))).alias("least"))
-    far = found_in(q.where("NOT first").join(broadcast_if_small(reached), "query_id").select(*q.columns, "least"))
+    # the nearest cells of a query tell a score that its k-th result reaches; cells that cannot give it are not searched
+    least = F.coalesce("least", F.lit(float("-inf"))).alias("least")
+    far = found_in(asked.join(broadcast_if_small(reached.withColumnRenamed("query_id", "id")), "id", "left").select("id", "v", least), "probes")
     found = near.unionByName(far)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

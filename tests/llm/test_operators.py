@@ -826,3 +826,28 @@ def test_digest_columns(spark, sf_dir):
     t = dict(docs_of(spark, sf_dir))[r["doc_id"]]
     assert r["base_sha256"] == hashlib.sha256(brute_personal(t).encode()).hexdigest()
     assert q.op5_simhash(spark, sf_dir).where(~F.col("fingerprint").rlike("^[0-9a-f]{16}$")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["queries apart", "few long", "equal scores"])
+def test_nearest_where_the_sample_tells_little(spark, monkeypatch, kind):
+    """Queries unlike the rows, rows too rare for the sample, many different vectors of one score."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 16))
+    if kind == "queries apart":
+        x[:, 0] *= np.where(np.arange(6000) % 20 == 0, 0, 1000)
+    elif kind == "few long":
+        x[rng.choice(6000, 30, replace=False)] *= 50
+    else:
+        x = rng.integers(0, 2, (6000, 16)).astype(float)
+        x[0, 0] = 1
+    monkeypatch.setattr(nn, "SAMPLE", 1000)
+    monkeypatch.setattr(nn, "CELL_TARGET", 200)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    used = [i for i in range(6000) if x[i].any()]
+    scores = x @ x.T if kind != "equal scores" else np.rint(x @ x.T)
+    for i in range(0, 6000, 20):
+        if i in used:
+            assert got[i] == sorted((j for j in used if j != i), key=lambda j: (-scores[i, j], j))[:20]
