@@ -7,10 +7,11 @@ order, so the join reads them side by side. Groups are then counted, and before
 semi-joined with its frequent groups.
 
 * A row of a relation is a block of whole pieces of one language: its different phrases with their counts, and a
-  code for every position (-1 where no group begins). Pieces never cross blocks, so joins shuffle nothing;
+  code for every position (-1 where no group begins), four bytes each. Pieces never cross blocks, so joins shuffle nothing;
   what is shuffled is counts, summed in every task before.
 * The semi-join asks a bitmap of hashes of the frequent groups, which has BITS bits however many there
   are. A group that passes by chance is counted like any other and fails the exact count after it.
+* A block's phrases are hashed, joined and counted as Arrow and NumPy columns, never one by one.
 
 Scores come from joins of the frequent phrases with their parts, in decimals that do not pass over.
 The first rows of each language are taken in rounds over ever fewer hashed parts of it, so no task sorts a language.
@@ -24,9 +25,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +37,16 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in hundredths.
 INSIDE = 50
 #: Words of a block, about; a longer piece is a block of its own.
-BLOCK_WORDS = 1 << 15
+BLOCK_WORDS = 1 << 17
 BITS = 1 << 27
 #: Hashed parts of a language in the rounds that take its first rows.
 ROUNDS = (512, 16, 1)
-_SEED = 42
 _GAP = b"."  # no word can be one: it ends a piece
 #: bytes.translate() table: A-Z to lower case, ends of pieces to the gap, tabs to spaces.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\v\f\r" else 0x20 if b == 9 else b for b in range(256))
-_RELATION = "lang string, n long, phrases array<string>, counts array<int>, groups array<int>"
-_ROW_GROUP = 8 << 20
+_RELATION = "lang string, n long, phrases array<string>, counts array<int>, groups binary"
+#: Row groups of about 8 MiB, also where fewer than the writer's 100 rows fill one; without dictionaries files are larger, but sooner written.
+_WRITER = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "4", "parquet.enable.dictionary": "false"}
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -56,39 +57,36 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 def blocks_of(tokens: list[bytes], most: int = BLOCK_WORDS) -> Iterator[list[bytes]]:
     """The tokens in runs of whole pieces, of at most so many tokens where pieces allow it."""
-    while len(tokens) > most:
+    at = 0
+    while len(tokens) - at > most:
         try:
-            cut = tokens.index(_GAP, most - 1) + 1
+            cut = tokens.index(_GAP, at + most - 1) + 1
         except ValueError:
             break
-        yield tokens[:cut]
-        tokens = tokens[cut:]
-    if tokens:
-        yield tokens
+        yield tokens[at:cut]
+        at = cut
+    if at < len(tokens):
+        yield tokens[at:]
 
 
 def block(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Different words, how often each stands, and the code of the word at every position (-1: a gap)."""
-    known = {_GAP: -1}
-    for w in dict.fromkeys(tokens):
-        if w is not _GAP and w != _GAP:
-            known[w] = len(known) - 1
-    groups = np.array(list(map(known.__getitem__, tokens)), dtype=np.int32)
-    counts = np.bincount(groups[groups >= 0], minlength=len(known) - 1)
-    return list(known)[1:], counts, groups
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of a relation from (language, n, phrases, counts, groups)."""
-    text = pa.list_(pa.string())
-    kinds = (pa.string(), pa.int64(), text, pa.list_(pa.int32()), pa.list_(pa.int32()))
-    columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * len(kinds)
-    arrays = [pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1])]
-    for values, kind in zip(columns[2:], kinds[2:], strict=True):
-        parts = [v.cast(kind.value_type) if isinstance(v, pa.Array) else pa.array(v, kind.value_type) for v in values]
-        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(parts) if parts else pa.array([], kind.value_type)))
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "phrases", "counts", "groups"])
+    known = pa.array(tokens, pa.binary()).dictionary_encode()
+    words, groups = known.dictionary.to_numpy(zero_copy_only=False).tolist(), known.indices.to_numpy()
+    if _GAP in words:
+        gap = words.index(_GAP)
+        del words[gap]
+        groups = np.where(groups == gap, -1, groups - (groups > gap)).astype(np.int32)
+    counts = np.bincount(groups[groups >= 0], minlength=len(words))
+    return words, counts, groups
+
+
+def _row(lang: str, phrases: pa.Array, counts: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    """A row of a relation."""
+    listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    codes = pa.array([groups.astype(np.int32, copy=False).tobytes()], pa.binary())
+    columns = [pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64()), listed(phrases), listed(pa.array(counts, pa.int32())), codes]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrases", "counts", "groups"])
 
 
 def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -96,23 +94,31 @@ def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
+        size = 0
 
-        def given(name: str, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for part in blocks_of(tokens):
+        def given(name: str, rest: bool = True) -> Iterator[pa.RecordBatch]:
+            for part in blocks_of(held.pop(name)):
+                if len(part) < BLOCK_WORDS and not rest:  # the last one, which has room
+                    held[name] = part
+                    return
                 words, counts, groups = block(part)
-                yield _rows([(name, int(counts.sum()), pa.array(words, pa.binary()).cast(pa.string()), counts, groups)])
+                yield _row(name, pa.array(words, pa.binary()).cast(pa.string()), counts, groups)
 
         for b in pieces(batches):
             for name, said in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                tokens = held.setdefault(name, [])
-                tokens += tokens_of(said)
+                tokens, new = held.setdefault(name, []), tokens_of(said)
+                tokens += new
+                size += len(new)
                 if len(tokens) >= BLOCK_WORDS:
-                    yield from given(name, held.pop(name))
-            if sum(map(len, held.values())) > 8 * BLOCK_WORDS:  # many languages
-                for name in list(held):
-                    yield from given(name, held.pop(name))
-        for name, tokens in held.items():
-            yield from given(name, tokens)
+                    size -= len(tokens)
+                    yield from given(name, rest=False)
+                    size += len(held.get(name, ()))
+                if size > 8 * BLOCK_WORDS:  # many languages
+                    for other in list(held):
+                        yield from given(other)
+                    size = 0
+        for name in list(held):
+            yield from given(name)
 
     bounded_batches(docs.sparkSession)
     picked = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -121,14 +127,27 @@ def words_relation(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
 
 def counted(relation: DataFrame) -> DataFrame:
     """lang, phrase, f of all groups of a relation."""
-    each = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts")))
-    return each.groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum(F.col("counts").cast("long")).alias("f"))
+    each = relation.select("lang", "counts", F.posexplode("phrases").alias("at", "phrase"))
+    return each.groupBy("lang", "phrase").agg(F.sum(F.get("counts", "at").cast("long")).alias("f"))
+
+
+def places(lang: str, phrases: pa.Array, bits: int) -> np.ndarray:
+    """The bit of each phrase in a bitmap of so many bits, by hash."""
+    h = lambda values: pd.util.hash_array(values.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
+    return (h(phrases) ^ h(pa.array([lang]))) % np.uint64(bits)
 
 
 def bitmap(groups: DataFrame, bits: int = BITS) -> np.ndarray:
     """The bits of hashes of the groups (lang, phrase): bits / 64 rows for the driver at most, however many groups."""
-    h = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(bits))
-    words = groups.select(F.shiftright(h, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(concat_ws(' ', lang, phrase)), {bits}L) & 63 as int))").alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang in b.column(0).unique().to_pylist():
+                at = places(lang, b.column(1).filter(pc.equal(b.column(0), lang)), bits)
+                words = [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(words, names=["at", "bit"])
+
+    words = groups.select("lang", "phrase").mapInArrow(run, "at long, bit long")
     found = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[found.column("at").to_numpy()] = found.column("word").to_numpy()
@@ -137,27 +156,29 @@ def bitmap(groups: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def passes(bits: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
     """Which phrases the bitmap knows."""
-    head, h, size = f"{lang} ".encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest, len(bits) * 64
-    at = np.array([h(head + p, _SEED) for p in phrases.cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64) % size  # numpy's % is pmod
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    at = places(lang, phrases, len(bits) * 64)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def last_words(phrases: pa.Array) -> pa.Array:
+    cut = pc.split_pattern(phrases, " ", max_splits=1, reverse=True)
+    return cut.values.take(pc.subtract(cut.offsets[1:], 1))
 
 
-def extended(lang: str, phrases: pa.Array, groups: np.ndarray, frequent: np.ndarray, last: bool) -> tuple | None:
-    """A row of R_(k+1) from one of R_k: the merge join by adjacent position of what is frequent."""
+def extended(phrases: pa.Array, groups: np.ndarray, frequent: np.ndarray, last: bool) -> tuple | None:
+    """phrases, counts, groups of R_(k+1) from those of R_k: the merge join by adjacent position of what is frequent."""
     there = groups >= 0
     there[there] = frequent[groups[there]]
     both = np.flatnonzero(there[:-1] & there[1:])
     if not len(both):
         return None
-    pairs, code, counts = np.unique(groups[both].astype(np.int64) << 32 | groups[both + 1], return_inverse=True, return_counts=True)
-    left, right = pairs >> 32, pairs & 0xFFFFFFFF
-    ends, where = np.unique(right, return_inverse=True)
-    words = pa.array([p.rpartition(" ")[2] for p in phrases.take(pa.array(ends)).to_pylist()], pa.string())
-    joined = pc.binary_join_element_wise(phrases.take(pa.array(left)), words.take(pa.array(where.reshape(-1))), " ")
+    pairs = pa.array(groups[both].astype(np.int64) << 32 | groups[both + 1]).dictionary_encode()
+    code, pair = pairs.indices.to_numpy(), pairs.dictionary.to_numpy()
+    joined = pc.binary_join_element_wise(phrases.take(pa.array(pair >> 32)), last_words(phrases).take(pa.array(pair & 0xFFFFFFFF)), " ")
     new = np.full(0 if last else len(groups), -1, dtype=np.int32)
     if not last:
-        new[both] = code.reshape(-1)
-    return lang, len(both), joined, counts, new
+        new[both] = code
+    return joined, np.bincount(code), new
 
 
 def next_relation(relation: DataFrame, frequent: np.ndarray, last: bool) -> DataFrame:
@@ -167,10 +188,10 @@ def next_relation(relation: DataFrame, frequent: np.ndarray, last: bool) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                lang, phrases, groups = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values.to_numpy()
-                row = extended(lang, phrases, groups, passes(shared.value, lang, phrases), last)
+                lang, phrases, groups = b.column(0)[i].as_py(), b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), dtype=np.int32)
+                row = extended(phrases, groups, passes(shared.value, lang, phrases), last)
                 if row:
-                    yield _rows([row])
+                    yield _row(lang, *row)
 
     bounded_batches(relation.sparkSession)
     return relation.select("lang", "phrases", "groups").mapInArrow(run, _RELATION)
@@ -221,14 +242,13 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     """lang, rank, phrase, a, l, r, n, score of each language's first phrases of 2 to max_words words."""
     if max_words < 2:
         raise ValueError("phrases have two words at least")
-    options = {"parquet.block.size": str(_ROW_GROUP)}
-    relation = materialize(words_relation(docs, text, lang), "occurrences-1", **options)
+    relation = materialize(words_relation(docs, text, lang), "occurrences-1", **_WRITER)
     totals = materialize(relation.groupBy(F.col("lang").alias("n_lang")).agg(F.sum("n").alias("n")), "word-totals")
     frequent = []
     for k in range(1, max_words + 1):
         frequent.append(materialize(counted(relation).where(F.col("f") >= least), f"frequent-{k}"))
         if k < max_words:
-            longer = materialize(next_relation(relation, bitmap(frequent[-1]), k + 1 == max_words), f"occurrences-{k + 1}", **options)
+            longer = materialize(next_relation(relation, bitmap(frequent[-1]), k + 1 == max_words), f"occurrences-{k + 1}", **_WRITER)
             discard(relation)
             relation = longer
     discard(relation)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -196,6 +197,41 @@ def test_small_blocks_and_bitmaps_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in col.collocations(docs).collect()) == brute_phrases(rows, 10, 2000)
 
 
+def test_blocks_are_filled_and_positions_packed(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(" ".join(rng.choices(vocabulary, k=20_000)), "en") for _ in range(20)], "text string, lang string").coalesce(1)
+    rows = col.words_relation(docs).collect()
+    sizes = [len(r.groups) // 4 for r in rows]  # positions, gaps too
+    assert sum(sizes) == 20 * 20_001 and sum(r.n for r in rows) == 400_000
+    assert len(rows) > 2 and all(x >= col.BLOCK_WORDS for x in sizes[:-1])
+    codes = np.frombuffer(rows[0].groups, dtype=np.int32)
+    assert np.bincount(codes[codes >= 0]).tolist() == rows[0].counts and codes.min() == -1
+
+
+def test_bitmap_knows_frequent_phrases_by_language(spark):
+    groups = [("en" if i % 2 else "de", f"one {i}é") for i in range(500)]
+    bits = col.bitmap(spark.createDataFrame(groups, "lang string, phrase string"))
+    phrases = pa.array(["?", *[p for _, p in groups], "!"]).slice(1, 500)
+    for name in ("en", "de"):
+        assert col.passes(bits, name, phrases).tolist() == [x == name for x, _ in groups]
+
+
+def test_phrases_of_a_block_are_hashed_together():
+    phrases = pa.array([f"some phrase {i}" for i in range(200_000)])
+    bits = np.zeros(1 << 10, dtype=np.uint64)
+
+    def least_time(f):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least_time(lambda: col.passes(bits, "en", phrases)) < least_time(phrases.to_pylist)
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000
     frequent = [spark.createDataFrame(rows, "lang string, phrase string, f long") for rows in ([("en", "a", big), ("en", "b", big + 7)], [("en", "a b", big - 1)], [("en", "a b a", 10)])]
